@@ -28,6 +28,12 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -43,6 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_wavelet_shards": op2_wavelet_shards,
+    "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_packing": op10_packing,
 }
