@@ -222,8 +222,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     rows = _keyed(docs, doc_id, text, key_bits)
     result = ["doc_id", F.col("top").alias("keep_id"), F.col("size").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("top"), F.lit(False)).alias("kept"), "text_sha256"]
     if not manifest.where("chained > 0").head(1):
-        return rows.drop("text").join(classes.drop("text"), "key").select(*result)
+        return rows.drop("text").join(classes.drop("text").hint("merge"), "key").select(*result)
     alone, chained = classes.where("text is null").drop("text"), classes.where("text is not null")
-    first = rows.drop("text").join(alone, "key").select(*result)
-    second = rows.withColumn("text", F.col("text").cast("binary")).join(chained, ["key", "text"]).select(*result)
+    first = rows.drop("text").join(alone.hint("merge"), "key").select(*result)
+    second = rows.withColumn("text", F.col("text").cast("binary")).join(chained.hint("merge"), ["key", "text"]).select(*result)
     return first.unionByName(second)
