@@ -28,6 +28,15 @@ def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold, identify, learn_profiles
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    profiles = learn_profiles(docs.where(~held_out))
+    return identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -40,6 +49,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold
+    from .toxicity import learn, score
+
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    model = learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "similarity")
+
+
+def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -49,8 +79,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_wavelet_shards": op2_wavelet_shards,
+    "op3_rank_order_language": op3_rank_order_language,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_secret_ownership": op7_secret_ownership,
+    "op8_toxicity_neighbours": op8_toxicity_neighbours,
+    "op9_anisotropic_search": op9_anisotropic_search,
     "op10_packing": op10_packing,
 }
 
