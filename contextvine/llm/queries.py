@@ -49,6 +49,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_scan
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op3_rank_order_language": op3_rank_order_language,
     "op4_backtracking_bpe": op4_backtracking_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_minhash_components": op6_minhash_components,
     "op7_secret_ownership": op7_secret_ownership,
     "op8_toxicity_neighbours": op8_toxicity_neighbours,
     "op9_anisotropic_search": op9_anisotropic_search,
