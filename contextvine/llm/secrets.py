@@ -59,7 +59,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owne
     none = F.array().cast("array<struct<start:bigint,number:int,end:bigint,kind:string,hash:string,placeholder:boolean,size:int>>")
     found = F.concat(*(F.coalesce(found_spans(F.col("body"), n, kind, *spec), none) for n, (kind, spec) in enumerate(kinds)))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.array_sort(found).alias("found"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("body").alias("text_key"), "owner", "repository", F.array_sort(found).alias("found"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -73,6 +73,20 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.max("placeholder").alias("placeholder"))
 
 
+def judged_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
+    """One row per document with its sorted spans, each marked live-looking or not: ``doc_id, text_key, s``."""
+    rows = materialise(candidates(docs, doc_id, text, owner, repository), "secret-candidates")
+    exploded = rows.where(F.size("found") > 0).select("row", "doc_id", "text_key", "owner", "repository", F.explode("found").alias("s")).select("row", "doc_id", "text_key", "owner", "repository", "s.*")
+    # written, so that the join deals both sides and can split a hash that a third of all rows hold
+    frequency = materialise(ownership(exploded.select("hash", "owner", "repository", "placeholder")), "secret-ownership").hint("merge")
+    judged = exploded.drop("placeholder", "owner", "repository").join(frequency, "hash")
+    live = (F.col("n_owners") <= most_owners) & ~F.col("placeholder")
+    span = F.struct("start", "number", "end", "kind", live.alias("live"))
+    per_row = judged.select("row", "doc_id", "text_key", span.alias("s")).groupBy("row", "doc_id", "text_key").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    empty = rows.where(F.size("found") == 0).select("row", "doc_id", "text_key", F.array().cast(per_row.schema["s"].dataType).alias("s"))
+    return per_row.unionByName(empty)
+
+
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = 2) -> DataFrame:
     """One row per document: counts and digest of the base spans, all spans, and how many look live or copied.
 
@@ -80,21 +94,36 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own
     or repository counts as one owner or repository.  Repeated rows are judged row
     by row.  An empty table gives no rows.
     """
-    rows = materialise(candidates(docs, doc_id, text, owner, repository), "secret-candidates")
-    exploded = rows.where(F.size("found") > 0).select("row", "doc_id", "owner", "repository", F.explode("found").alias("s")).select("row", "doc_id", "owner", "repository", "s.*")
-    # written, so that the join deals both sides and can split a hash that a third of all rows hold
-    frequency = materialise(ownership(exploded.select("hash", "owner", "repository", "placeholder")), "secret-ownership").hint("merge")
-    judged = exploded.drop("placeholder", "owner", "repository").join(frequency, "hash")
-    live = (F.col("n_owners") <= most_owners) & ~F.col("placeholder")
-    span = F.struct("start", "number", "end", "kind", live.alias("live"))
-    per_row = judged.select("row", "doc_id", span.alias("s")).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    empty = rows.where(F.size("found") == 0).select("row", "doc_id", F.array().cast(per_row.schema["s"].dataType).alias("s"))
     base = lambda s: s["number"] < len(BASE_KINDS)
     listed = lambda column: F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda test: F.size(F.filter("s", test)).cast("long")
     of_kind = lambda kind: n(lambda s: s["kind"] == kind).alias(f"n_{kind}")
-    return per_row.unionByName(empty).select(
+    return judged_spans(docs, doc_id, text, owner, repository, most_owners).select(
         "doc_id", *map(of_kind, BASE_KINDS),
         F.sha2(listed(F.filter("s", base)).cast("binary"), 256).alias("base_sha256"), listed(F.filter("s", lambda s: base(s) | s["live"])).alias("spans"),
         n(lambda s: s["live"]).alias("n_live"), n(lambda s: ~s["live"]).alias("n_copied"),
     )
+
+
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", broadcast_spans: int = 200_000, **options) -> DataFrame:
+    """The rows and columns of ``docs`` with every live-looking span of the text replaced by ``mark``.
+
+    Overlapping spans are replaced together.  Other texts, null among them, and
+    values that many owners hold stay as they are.
+    """
+    found = judged_spans(docs, doc_id, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.filter("s", lambda s: s["live"]).alias("_spans"))
+    # a row that repeats needs its spans once
+    found = materialise(found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_key"]), "secret-live")
+    total = found.agg(F.sum(F.size("_spans"))).head(1)[0][0] or 0
+    found = F.broadcast(found) if total <= broadcast_spans else found.hint("merge")
+    body = F.col(text)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(state, s):
+        before = F.substring(body, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], before, F.lit(mark))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    replaced = F.aggregate("_spans", start, step, lambda state: F.concat(state["out"], F.substring(body, (state["at"] + 1).cast("int"), F.length(body))))
+    joined = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(body.cast("string"), F.lit(""))) == F.col("_key")), "left")
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), replaced).otherwise(body)).select(*docs.columns)
