@@ -1,0 +1 @@
+"""Variable-length Markov chain analytics over symbol sequences, as DataFrame plans."""
