@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         # the node itself joins the least of its smaller neighbours
         linked = linked.unionByName(least.select("n", F.col("n").alias("m")))
     # dealt by another key first, so that the join below deals both sides itself
-    least = least.withColumnRenamed("n", "node").hint("merge")
+    least = least.withColumnRenamed("n", "node").repartition(F.xxhash64("node")).hint("merge")
     return linked.join(least, F.col("n") == F.col("node")).select(F.col("m").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
 
 

@@ -7,10 +7,12 @@ documents that agree on a band meet.  No bucket's pairs are ever listed:
 1. each document is held against the least members of its buckets, of which the
    one it shares most bands with is verified on full texts; components follow;
 2. buckets that still hold more than one component are compared in blocks by
-   signature estimate, and only pairs of different components whose estimate could
-   belong to a link are verified on full texts.
+   signature estimate, which joins components between which a link is possible to
+   families; the documents of a family are compared on full texts, again in blocks,
+   by counting intersections through shingle lists.
 
-A link between documents of one component changes nothing, so every link that
+Cells of blocks return forests, so nothing grows with the pairs of a bucket; and a
+link between documents of one component changes nothing, so every link that
 banding finds counts, whatever the size of a bucket.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, shuffle_width
+from .shared import materialise, shuffle_width, trimmed
 
 _U = np.uint64
 
@@ -142,7 +144,7 @@ def sketch(docs: DataFrame, settings: tuple[int, ...], doc_id: str = "doc_id", t
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, settings: tuple[int, ...], percent: int) -> DataFrame:
@@ -161,61 +163,127 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: tuple[int, ...], perc
 
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge")
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
-def _mixed_pairs(members: DataFrame, least_agree: int, block: int, width: int) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures agree in at least ``least_agree`` places.
+class _Sets:
+    """Union-find over the values of an array."""
 
-    ``members``: ``key, doc_id, component, signature, blocks, own``: a bucket of many
-    rows is cut in blocks and each two blocks meet in a cell, so a cell holds at
-    most about two blocks; signatures are compared in place and only pairs that
-    may be links leave the task.
-    """
+    def __init__(self, values: np.ndarray) -> None:
+        self.above = {int(v): int(v) for v in np.unique(values)}
+
+    def top(self, x: int) -> int:
+        while self.above[x] != x:
+            self.above[x] = x = self.above[self.above[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.top(x), self.top(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cells(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """Deal rows with ``blocks`` and ``own`` so that each two blocks of a key meet in one cell ``(key, i, j)``."""
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     cell = F.explode(F.transform(all_blocks, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    dealt = members.withColumn("cell", cell).select("key", "cell.i", "cell.j", "own", "doc_id", "component", "signature")
-    dealt = dealt.repartition(width, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = [c for c in rows.columns if c not in (key, "blocks", "own")]
+    dealt = rows.withColumn("cell", cell).select(key, "cell.i", "cell.j", "own", *rest)
+    return dealt.repartition(width, key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
+    """Hand the rows of each cell to ``compare(rows, left, right)``, which returns links."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        own, i, j = rows.column("own").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        found = compare(rows, np.flatnonzero(own == i), np.flatnonzero(own == j))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        keys = [batch.column(k).to_numpy() for k in range(3)]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        for lo, hi in zip([0, *change], [*change, len(batch)]):
+            now = tuple(k[lo] for k in keys)
+            if now != last and held:
+                yield from flush()
+            last = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from flush()
+
+
+def possible_links(members: DataFrame, least_agree: int, width: int) -> DataFrame:
+    """Links ``a, b`` that join all components of a bucket between which a link is possible.
+
+    ``members``: ``key, doc_id, component, signature, blocks, own``.  Two documents
+    may be linked if their signatures agree in ``least_agree`` places.  A cell
+    returns a forest over its components, never its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        def compare(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> list:
+            comp = rows.column("component").to_numpy()
+            if comp.min() == comp.max():
+                return []
+            ids = rows.column("doc_id").to_numpy()
+            sigs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(len(rows), -1)
+            sets, out = _Sets(comp), []
+            for x in left:
+                other = right[comp[right] != comp[x]]
+                near = other[(sigs[other] == sigs[x]).sum(1) >= least_agree]
+                out += [(int(ids[x]), int(ids[y])) for y in near if sets.join(int(comp[x]), int(comp[y]))]
+            return out
+
+        return _by_cell(batches, compare)
+
+    return _cells(members, "key", width).mapInArrow(trimmed(run), "a long, b long").distinct()
 
-        def compare(rows: pa.Table) -> pa.RecordBatch | None:
-            own, ids, comp = (rows.column(k).to_numpy() for k in (3, 4, 5))
+
+def exact_links(members: DataFrame, settings: tuple[int, ...], percent: int, width: int) -> DataFrame:
+    """Links between components of a family, from full sets: a forest per cell of all pairs that qualify.
+
+    ``members``: ``family, doc_id, component, text, blocks, own``.  A cell counts the
+    intersections of a document with all others at once, through lists of the
+    documents that hold each shingle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shingler(*settings)
+
+        def compare(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> list:
+            comp, ids = rows.column("component").to_numpy(), rows.column("doc_id").to_numpy()
             if comp.min() == comp.max():
-                return None
-            sigs = np.frombuffer(b"".join(rows.column(6).to_pylist()), dtype=np.uint32).reshape(len(rows), -1)
-            i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            out: list[list] = [[], []]
+                return []
+            full = [s.shingles(t.as_py()) for t in rows.column("text")]
+            sizes = np.array([len(x) for x in full])
+            owner = np.repeat(np.arange(len(right)), sizes[right])
+            every = np.concatenate([full[k] for k in right])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            sets, out = _Sets(comp), []
             for x in left:
-                other = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else (ids[right] != ids[x]))]
-                if len(other):
-                    near = other[(sigs[other] == sigs[x]).sum(1) >= least_agree]
-                    out[0] += np.minimum(ids[near], ids[x]).tolist()
-                    out[1] += np.maximum(ids[near], ids[x]).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"]) if out[0] else None
-
-        def flush() -> pa.RecordBatch | None:
-            rows = pa.Table.from_batches(held)
-            held.clear()
-            return compare(rows)
-
-        last = None
-        for batch in batches:
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for lo, hi in zip([0, *change], [*change, len(batch)]):
-                now = tuple(k[lo] for k in keys)
-                if now != last and held:
-                    if (found := flush()) is not None:
-                        yield found
-                last = now
-                held.append(batch.slice(lo, hi - lo))
-        if held and (found := flush()) is not None:
-            yield found
+                other = np.flatnonzero([sets.top(int(c)) for c in comp[right]] != np.int64(sets.top(int(comp[x]))))
+                if not len(other):
+                    continue
+                lo, hi = np.searchsorted(every, full[x]), np.searchsorted(every, full[x], side="right")
+                n = hi - lo
+                ends = np.cumsum(n)
+                at = np.repeat(lo - ends + n, n) + np.arange(ends[-1])
+                common = np.bincount(owner[at], minlength=len(right))[other]
+                linked = other[100 * common >= percent * (sizes[x] + sizes[right[other]] - common)]
+                out += [(int(ids[x]), int(ids[right[y]])) for y in linked if sets.join(int(comp[x]), int(comp[right[y]]))]
+            return out
+
+        return _by_cell(batches, compare)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _cells(members, "family", width).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 5.2, block: int = 1024, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -262,16 +330,24 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     n = bands * rows
     share = percent / 100
     least_agree = int(np.floor(n * share - slack * np.sqrt(n * share * (1 - share))))
+    blocks = lambda size: F.ceil(size / block).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
     signed = mixed.join(heads.select("doc_id", "signature").hint("merge"), "doc_id")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    signed = signed.select("key", "doc_id", "component", "signature", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
-    more = materialise(_mixed_pairs(signed, least_agree, block, width), "near-more-pairs")
-    late = more.join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    late_links = materialise(verified(late, texts, settings, percent).distinct(), "near-late-links")
-    if late_links.head(1):
-        # every node of a component links to its least, so the settled stars stand for the first round
+    signed = signed.select("key", "doc_id", "component", "signature", blocks(F.col("size")).alias("blocks")).select("*", own)
+    possible = materialise(possible_links(signed, least_agree, width), "near-possible")
+    if possible.head(1):
+        # families: components that a chain of possible links joins; any link is inside one
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = materialise(components(stars.unionByName(late_links)), "near-components")
+        families = materialise(components(stars.unionByName(possible)).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "near-families")
+        inside = mixed.select("doc_id", "component").distinct().join(families.hint("merge"), "doc_id")
+        inside = materialise(inside, "near-inside")
+        sizes = inside.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family", "size")
+        inside = inside.join(materialise(sizes, "near-family-sizes").hint("merge"), "family").join(texts.hint("merge"), "doc_id")
+        inside = inside.select("family", "doc_id", "component", "text", blocks(F.col("size")).alias("blocks")).select("*", own)
+        late = materialise(exact_links(inside, settings, percent, width), "near-late-links")
+        if late.head(1):
+            # every node of a component links to its least, so the settled stars stand for the first round
+            found = materialise(components(stars.unionByName(late)), "near-components")
 
     placed = classes.join(found.withColumnRenamed("node", "least").hint("merge"), "least", "left").select("set_key", F.coalesce("component", "least").alias("component"))
     placed = materialise(placed, "near-classes")
