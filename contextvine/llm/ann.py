@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
+
 CENTROIDS = 16
 
 
@@ -183,7 +185,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                         out[2] += exact[order].tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(trimmed(run), "query_id long, vec_id long, score double")
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

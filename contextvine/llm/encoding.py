@@ -2,22 +2,32 @@
 
 The pre-tokeniser of the vocabulary never joins a visible character and a space
 that follows it, so a text falls into pieces (a run of white space and the word
-after it) whose ids simply follow each other.  Words recur, hence ids of pieces
-are kept in a bounded two-generation cache of the Python worker and only unseen
-words reach the library, many at a time.
+after it) whose ids simply follow each other.  Arrow splits a batch at its spaces
+and numbers its different words; ids of words are kept in a bounded
+two-generation cache of the Python worker, only unseen words reach the library,
+and the ids of the batch are gathered from those of its words.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _PIECE = re.compile(r"\s*\S+|\s+$")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for Python, not for the pre-tokeniser
-#: A word of letters whose class no Unicode version changed, with one mark after it.
-_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?]?)")
+#: Letters whose class no Unicode version changed; a word of them, with one mark after it.
+_L = "A-Za-zÀ-ÖØ-öø-ſ"
+_LETTERS = re.compile(f"([{_L}]+)([.,;:!?]?)")
+#: Letters; then perhaps ASCII marks but the apostrophe with at most one line end after them, and letters; then perhaps a mark.
+_PARTS = re.compile(f"([{_L}]+)(?:([!-&(-/:-@[-`{{-~]+\n?|\n)([{_L}]*))??([.,;:!?]?)")
+#: White space beside a space, at either end, or other than space and line end: such a text is split with more care.
+_CAREFUL = r"  | \n|\n |^[ \n]|[ \n]$|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _byte_letters() -> list[str]:
@@ -38,7 +48,7 @@ class PieceEncoder:
     add_special_tokens=False).ids``: special tokens written in a text count.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000, chunk_chars: int = 200_000) -> None:
+    def __init__(self, path: str, cache_size: int = 150_000, chunk_chars: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,6 +61,8 @@ class PieceEncoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
+        self.tokenize = self.tokenizer.model.tokenize
+        self.code = "H" if self.dtype == np.uint16 else "I"
         self.marks = {m: np.array([vocabulary[m]], dtype=self.dtype).tobytes() for m in ".,;:!?"}
         self.cache_size, self.chunk_chars = cache_size, chunk_chars
         self.words: dict[str, bytes] = {}
@@ -59,20 +71,37 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, unseen: set[str]) -> None:
+    def letters(self, text: str) -> bytes:
+        """Ids of letters alone, a space before them included, by the library's model."""
+        shown = text.replace(" ", "Ġ") if text.isascii() else "".join(map(_BYTE_LETTER.__getitem__, text.encode()))
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def learn(self, unseen: list[str]) -> None:
         """Put words (each follows one space and holds none) in the cache."""
-        rest, tokenize = [], self.tokenizer.model.tokenize
+        rest, words, older, marks, letters, match = [], self.words, self.older, self.marks, self.letters, _PARTS.fullmatch
         for w in unseen:
-            if (known := self.older.get(w)) is not None:
-                self.words[w] = known
-            elif match := _LETTERS.fullmatch(w):
-                stem, mark = match.groups()
-                if (known := self.words.get(stem) or self.older.get(stem)) is None:
-                    letters = stem if stem.isascii() else "".join(map(_BYTE_LETTER.__getitem__, stem.encode()))
-                    known = np.array([t.id for t in tokenize("Ġ" + letters)], dtype=self.dtype).tobytes()
-                self.words[w] = known + self.marks[mark] if mark else known
+            if (known := older.get(w)) is not None:
+                words[w] = known
+            elif found := match(w):
+                stem, middle, second, mark = found.groups()
+                if (known := words.get(stem) or older.get(stem)) is None:
+                    known = words[stem] = letters(" " + stem)
+                if middle:
+                    if (between := marks.get(middle)) is None:
+                        between = marks[middle] = self.whole(middle)
+                    known += between
+                    if second:
+                        # a word's later part also has entries of its own, told from whole words by a space
+                        if (after := words.get(" " + second) or older.get(" " + second)) is None:
+                            after = words[" " + second] = letters(second)
+                        known += after
+                words[w] = known + marks[mark] if mark else known
             else:
                 rest.append(w)
+        if len(marks) > 100_000:
+            self.tokenize = self.tokenizer.model.tokenize
+        self.code = "H" if self.dtype == np.uint16 else "I"
+        self.marks = {m: marks[m] for m in ".,;:!?"}
         at = 0
         while at < len(rest):
             chars, end = 0, at
@@ -89,38 +118,76 @@ class PieceEncoder:
                 self.words[w] = raw[bounds[i] : bounds[i + 1]]
             at = end
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each follow one space."""
+        found = list(map(self.words.get, words))
+        if None in found:
+            self.learn([w for w, f in zip(words, found) if f is None])
+            known = self.words
+            found = [known[w] if f is None else f for w, f in zip(words, found)]
+        return found
+
+    def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
+        """``encode_batch`` for a bounded Arrow array of strings."""
         if len(self.words) > self.cache_size:
-            self.older, self.words = self.words, {}
-        get, out, todo, unseen = self.words.get, [], [], set()
-        for k, text in enumerate(texts):
-            text = text or ""
-            if not text:
-                out.append(b"")
-                continue
-            if any(s in text for s in self.special) or _SEPARATORS.search(text):
-                out.append(self.whole(text))
-                continue
-            words = text.split(" ")
-            first = words[0]
-            words[0] = "a"  # any word: the first one follows no space
-            found = list(map(get, words))
-            if None in found:
-                new = {w for w, f in zip(words, found) if f is None}
-                if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-                    out.append(self.pieces(text))
-                    continue
-                unseen |= new
-                todo.append((k, words, found))
-            found[0] = self.whole(first) if first else b""
-            out.append(found)
-        if unseen:
-            self.learn(unseen)
-        known = self.words
-        for k, words, found in todo:
-            out[k] = [known[w] if f is None else f for w, f in zip(words, found)]
-        out = [b"".join(x) if isinstance(x, list) else x for x in out]
-        return [np.frombuffer(x, dtype=self.dtype) for x in out]
+            self.older, self.words = self._compact(), {}
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        careful = pc.match_substring_regex(texts, _CAREFUL)
+        for s in self.special:
+            careful = pc.or_(careful, pc.match_substring(texts, s))
+        careful = pc.or_(careful, pc.equal(pc.binary_length(texts), 0))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for k in np.flatnonzero(careful.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.frombuffer(self.careful(texts[k].as_py()), dtype=self.dtype)
+        plain = np.flatnonzero(~careful.to_numpy(zero_copy_only=False))
+        if not len(plain):
+            return out
+        words = pc.split_pattern(texts.take(pa.array(plain)) if len(plain) < len(texts) else texts, " ")
+        del texts
+        starts = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+        numbered = words.flatten().dictionary_encode()
+        del words
+        index = numbered.indices.to_numpy(zero_copy_only=False).copy()
+        own = numbered.dictionary.to_pylist()
+        del numbered
+        # the first word of a text follows no space: it gets an entry of its own
+        heads, places = np.unique(index[starts], return_inverse=True)
+        index[starts] = len(own) + places
+        pool = self.of_words(own) + [self.whole(own[h]) for h in heads.tolist()]
+        del own
+        raw = np.frombuffer(b"".join(pool), dtype=self.dtype)
+        sizes = np.fromiter(map(len, pool), dtype=np.int32, count=len(pool)) // np.int32(raw.itemsize)
+        del pool
+        # one gather: each word's place in the pool less its place in the result, spread over its ids
+        size = sizes[index]
+        ends = np.cumsum(size, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[index]
+        shift -= ends
+        shift += size
+        at = np.repeat(shift, size)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = raw[at]
+        edges = np.append(ends[starts] - size[starts], ends[-1])
+        for j, k in enumerate(plain.tolist()):
+            out[k] = ids[edges[j] : edges[j + 1]]
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.encode_array(pa.array(texts, pa.large_string()))
+
+    def _compact(self) -> dict[str, bytes]:
+        """The cache in new storage: words met long apart lie scattered among freed ones and hold whole memory blocks."""
+        keys = "\x00".join(self.words)
+        sizes = list(map(len, self.words.values()))
+        values, ends = b"".join(self.words.values()), list(accumulate(sizes))
+        self.words = self.older = {}
+        words = keys.split("\x00")
+        return {w: values[e - n : e] for w, n, e in zip(words, sizes, ends)} if len(words) == len(sizes) else {}
+
+    def careful(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or _SEPARATORS.search(text):
+            return self.whole(text)
+        return self.pieces(text)
 
     def pieces(self, text: str) -> bytes:
         """A text in which white space stands beside a space."""
@@ -128,7 +195,7 @@ class PieceEncoder:
         plain = [p[0] == " " and len(p) > 1 and not p[1].isspace() for p in parts]
         new = {p[1:] for p, ok in zip(parts, plain) if ok} - self.words.keys()
         if new:
-            self.learn(new)
+            self.learn(list(new))
         return b"".join(self.words[p[1:]] if ok else self.whole(p) for p, ok in zip(parts, plain))
 
 
@@ -139,13 +206,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def slices(values: list, weight=len, most_rows: int = 256, most_weight: int = 4_000_000):
-    """Ranges of a batch that hold a bounded number of characters (one text at least)."""
+def slices(texts: pa.Array, most_bytes: int = 10_000_000):
+    """Ranges of an Arrow array of strings of a bounded size each (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
-    while at < len(values):
-        end, total = at, 0
-        while end < len(values) and end - at < most_rows and (total < most_weight or end == at):
-            total += weight(values[end] or "")
-            end += 1
-        yield at, end
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes)))
+        yield at, min(end, len(texts))
         at = end

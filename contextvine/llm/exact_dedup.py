@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attempt_name, filesystem, fresh, materialise, shuffle_width
+from .shared import attempt_name, filesystem, fresh, materialise, shuffle_width, trimmed
 
 ENTRY = struct.Struct("<QIqqB")  # key, place in the chain, representative, size, whether it has a representative
 MAGIC = b"EXTHASH1"
@@ -185,9 +185,9 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
         if owner is not None:
             yield end_owner()
 
-    merged = _keyed(docs, doc_id, text, key_bits).select("doc_id", "text", "key").mapInArrow(merge, "key long, text string, top long, size long")
+    merged = _keyed(docs, doc_id, text, key_bits).select("doc_id", "text", "key").mapInArrow(trimmed(merge), "key long, text string, top long, size long")
     dealt = merged.repartition(shuffle_width(spark), F.shiftright("key", key_bits - owner_bits)).sortWithinPartitions("key")
-    return materialise(dealt.mapInArrow(own, INDEX), "exact-manifest")
+    return materialise(dealt.mapInArrow(trimmed(own), INDEX), "exact-manifest")
 
 
 def read_classes(manifest: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def read_classes(manifest: DataFrame) -> DataFrame:
                 columns = [pa.array([e[0] for e in entries], pa.int64()), pa.array([e[1] for e in entries], pa.int32()), pa.array([e[2] if e[4] else None for e in entries], pa.int64()), pa.array([e[3] for e in entries], pa.int64()), pa.array([chains.get(e[:2]) for e in entries], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "place", "top", "size", "text"])
 
-    return manifest.select("path").mapInArrow(read, "key long, place int, top long, size long, text binary")
+    return manifest.select("path").mapInArrow(trimmed(read), "key long, place int, top long, size long, text binary")
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key_bits: int = 63, **options) -> DataFrame:

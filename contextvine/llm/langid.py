@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import trimmed
+
 _BITS = 21  # a code point; up to three of them stand in one signed 64-bit key
 _GAP = ord("_")
 
@@ -143,9 +145,9 @@ def learn_profiles(labelled: DataFrame, lang: str = "lang", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "gram", "n"])
 
     kind = "lang string, gram long, n long"
-    totals = chosen.select(lang, text).mapInArrow(count, kind).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = chosen.select(lang, text).mapInArrow(trimmed(count), kind).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for r in totals.coalesce(8).mapInArrow(best, kind).collect():
+    for r in totals.coalesce(8).mapInArrow(trimmed(best), kind).collect():
         found[r.lang].append((-r.n, r.gram))
     return Profiles({k: [g for _, g in sorted(v)[:length]] for k, v in found.items()}, length)
 
@@ -170,7 +172,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", predicted:
                 scores.append(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, predicted, score])
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, T.StructType([*schema.fields, T.StructField(predicted, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(trimmed(run), T.StructType([*schema.fields, T.StructField(predicted, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

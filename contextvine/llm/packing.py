@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoder, slices
+from .shared import trimmed
 
 TIERS = (256, 512, 1024)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -146,8 +147,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, tiers: tuple[int
         held_ids, held, total = [], [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts.to_pylist()):
-                for i, found in zip(ids[a:b], encode.encode_batch(texts.slice(a, b - a).to_pylist())):
+            for a, b in slices(texts):
+                for i, found in zip(ids[a:b], encode.encode_array(texts.slice(a, b - a))):
                     held_ids.append(i)
                     held.append(np.concatenate([found, end]))
                     total += len(found) + 1
@@ -157,4 +158,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, tiers: tuple[int
         if held:
             yield flush(held_ids, held)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), SCHEMA)

@@ -54,5 +54,32 @@ def attempt_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}{suffix}"
 
 
+def trim() -> None:
+    """Give memory that a finished task no longer needs back to the machine: idle workers keep what they hold."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """A task function of batches that trims memory when its last batch is out."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

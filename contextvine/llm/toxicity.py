@@ -20,13 +20,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise, trimmed
+
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
+STEMS = (3, 4, 5, 6)  # beginnings of words that are terms besides the words: inflected forms share them
+
+
+def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def terms_of(word: str) -> list[str]:
+    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+
+
+def count_terms(text: str | None) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter(words(text)).items():
+        for t in terms_of(word):
+            out[t] += n
+    return out
+
+
+class Vocabulary:
+    """Places of a bounded list of terms; remembers the places of the words it has met."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.at = {t: i for i, t in enumerate(terms)}
+        self.met: dict[str, tuple[int, ...]] = {}
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        if len(self.met) > 400_000:
+            self.met.clear()
+        found = self.met[word] = tuple(i for t in terms_of(word) if (i := self.at.get(t)) is not None)
+        return found
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How often each term of the vocabulary occurs in a text."""
+        out: dict[int, int] = {}
+        get = self.met.get
+        for w in words(text):
+            if (places := get(w)) is None:
+                places = self.of_word(w)
+            for i in places:
+                out[i] = out.get(i, 0) + 1
+        return out
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing fit by pooling adjacent violators; knots and their values."""
     order = np.argsort(x, kind="stable")
@@ -91,12 +133,13 @@ class BlockMaxIndex:
 
 
 class Model:
-    """Vocabulary with its weights, the index of examples and the calibration."""
+    """A vocabulary of terms with their weights, the index of examples and the calibration."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int | None, int, dict[str, int]]], base_rate: float, k: int = 15) -> None:
-        self.at = {t: i for i, t in enumerate(vocabulary)}
+        self.vocabulary = Vocabulary(vocabulary)
         self.idf, self.k = idf, k
-        vectors = [self.vector(counts) for _, _, counts in examples]
+        at = self.vocabulary.at
+        vectors = [self.vector({at[t]: n for t, n in counts.items()}) for _, _, counts in examples]
         labels = [y for _, y, _ in examples]
         self.ids = [i for i, _, _ in examples]
         self.index = BlockMaxIndex(vectors, labels, max(1, len(vocabulary)))
@@ -111,8 +154,8 @@ class Model:
         self.without = float((toxic + base_rate) / (mass + 1))
         self.knots, self.values = isotonic(votes[~none], self.labels[~none], weights[~none]) if (~none).any() else (np.array([0.0]), np.array([base_rate]))
 
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        raw = {i: (1 + math.log(n)) * self.idf[i] for t, n in counts.items() if n and (i := self.at.get(t)) is not None}
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        raw = {i: (1 + math.log(n)) * self.idf[i] for i, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {i: w / norm for i, w in raw.items()} if norm else {}
 
@@ -125,14 +168,13 @@ class Model:
         return float(closeness @ self.labels[[e for _, e in near]] / closeness.sum()), near
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        counts = Counter(t for t in terms(text) if t in self.at)
-        vote, near = self.vote(self.vector(counts))
+        vote, near = self.vote(self.vector(self.vocabulary.counts(text)))
         if vote < 0:
             return self.without, near
         return float(min(1.0, max(0.0, np.interp(vote, self.knots, self.values)))), near
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_toxic: int = 1500, sample_clean: int = 3000, most_terms: int = 512, least_surprise: float = 25.0, least_lift: float = 3.0, least_docs: int = 5, k: int = 15) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_toxic: int = 1500, sample_clean: int = 3000, most_terms: int = 512, least_surprise: float = 15.0, least_lift: float = 5.0, least_docs: int = 4, k: int = 15) -> Model:
     """Fit on a sample of at most about ``sample_toxic + sample_clean`` labelled rows, chosen by a hash of the id.
 
     ``labels`` holds the rows that may be learned from.  Terms are the at most
@@ -154,12 +196,10 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = Counter(terms(t))
+                found = count_terms(t)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([list(found)], pa.list_(pa.string())), pa.array([list(found.values())], pa.list_(pa.int32()))], names=["doc_id", "y", "terms", "counts"])
 
-    from .shared import materialise
-
-    sample = materialise(body.select("doc_id", "text", "y").mapInArrow(tally, "doc_id long, y int, terms array<string>, counts array<int>"), "toxicity-sample")
+    sample = materialise(body.select("doc_id", "text", "y").mapInArrow(trimmed(tally), "doc_id long, y int, terms array<string>, counts array<int>"), "toxicity-sample")
     n1, n0 = (sample.where(F.col("y") == y).count() for y in (1, 0))
     per_term = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), float(n1 + n0)
@@ -177,21 +217,20 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
     """Smoothed inverse document frequencies of a bounded vocabulary over all rows of ``docs``."""
-    place = {t: i for i, t in enumerate(vocabulary)}
+    known = Vocabulary(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(len(place), dtype=np.int64), 0
-        own = place.keys()
+        held, n = np.zeros(len(known.at), dtype=np.int64), 0
         for batch in batches:
             for t in batch.column(0):
                 n += 1
-                for w in own & set(terms(t.as_py())):
-                    held[place[w]] += 1
+                for i in known.counts(t.as_py()):
+                    held[i] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(held)), -1), pa.int32()), pa.array(np.append(held, n))], names=["term", "n"])
 
     if not vocabulary:
         return np.empty(0)
-    found = {r.term: r.n for r in docs.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    found = {r.term: r.n for r in docs.mapInArrow(trimmed(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = found.get(-1, 0)
     return np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(vocabulary))])
 
@@ -213,4 +252,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 sims.append([c for c, _ in near[:evidence]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], names=["doc_id", "score", "predicted", "evidence", "similarity"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")

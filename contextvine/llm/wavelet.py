@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import encoder, slices
-from .shared import attempt_name, filesystem, fresh, shuffle_width
+from .shared import attempt_name, filesystem, fresh, shuffle_width, trimmed
 
 MAGIC = b"WVLT0001"
 SAMPLE = 512  # bits between rank samples
@@ -39,9 +39,9 @@ class WaveletMatrix:
         for bit in range(bits - 1, -1, -1):
             ones = (cur & cur.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones))
-            low = cur[~ones]
+            low = cur.compress(~ones)
             zeros.append(len(low))
-            cur = np.concatenate([low, cur[ones]])
+            cur = np.concatenate([low, cur.compress(ones)])
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -51,8 +51,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             bit, z, up = kind(1 << (len(self.planes) - 1 - level)), self.zeros[level], np.empty(self.n, dtype=kind)
-            up[~ones] = cur[:z]
-            up[ones] = cur[z:] | bit
+            up[np.flatnonzero(~ones)] = cur[:z]
+            up[np.flatnonzero(ones)] = cur[z:] | bit
             cur = up
         return cur
 
@@ -152,7 +152,7 @@ class WaveletMatrix:
 class ShardWriter:
     """Appends documents to a shard file block by block; a block closes at ``block_ids``."""
 
-    def __init__(self, sink, bits: int, block_ids: int = 1 << 20) -> None:
+    def __init__(self, sink, bits: int, block_ids: int = 1 << 18) -> None:
         self.sink, self.bits, self.block_ids = sink, bits, block_ids
         self.blocks, self.parts, self.docs, self.held, self.at = [], [], [], 0, len(MAGIC)
         sink.write(MAGIC)
@@ -230,8 +230,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id:
         bits = max(1, int(max(len(encode.opens) - 1, end_id)).bit_length())
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in slices(texts.to_pylist()):
-                for i, found in zip(ids[a:b], encode.encode_batch(texts.slice(a, b - a).to_pylist())):
+            for a, b in slices(texts):
+                for i, found in zip(ids[a:b], encode.encode_array(texts.slice(a, b - a))):
                     if out is None:
                         fs, at = filesystem(folder)
                         fs.create_dir(at, recursive=True)
@@ -245,7 +245,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     dealt = rows.repartitionByRange(shards or shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     path = f"{folder}-manifest"
-    dealt.mapInArrow(write, MANIFEST).write.parquet(path)
+    dealt.mapInArrow(trimmed(write), MANIFEST).write.parquet(path)
     return spark.read.schema(MANIFEST).parquet(path)
 
 
@@ -277,4 +277,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(files, "path string, base long").repartition(max(1, len(files)))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
