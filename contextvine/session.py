@@ -8,11 +8,15 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+ARROW_ROWS = 2500
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the package's modules to the executors of this application, once."""
+    """Give the package's modules to the executors of this application, once, and bound its Arrow batches."""
+    # rows of whole texts are large: smaller batches bound what a task and its worker hold
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
