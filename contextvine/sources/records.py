@@ -21,13 +21,14 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The same from four-line records; qualities are dropped.
 
-    A file is cut at the line that opens a record (an id line whose third line
-    after opens with +), inside one expression per file, so lines keep their order.
+    The reader cuts at line starts with ``@``, so one file spreads over tasks.  A
+    quality line may start so too: what is cut off there is a lone line, while a
+    record has its ``+`` on the third.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    starts = F.sequence(F.lit(1), F.size("lines") - 3, F.lit(4))
-    rows = whole.where(F.size("lines") >= 4).select("path", F.posexplode(F.transform(starts, lambda i: F.struct(F.element_at("lines", i).alias("id"), F.element_at("lines", i + 1).alias("seq")))).alias("n", "r"))
-    return rows.where("r.id like '@%'").select("path", F.col("n").cast("long").alias("ord"), F.substring("r.id", 2, 1 << 20).alias("seq_id"), normalise(F.col("r.seq")).alias("seq"))
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
+    rows = raw.select("path", F.monotonically_increasing_id().alias("ord"), lines.alias("l")).where(F.get("l", F.lit(2)).startswith("+"))
+    return rows.select("path", "ord", F.regexp_replace(F.get("l", F.lit(0)), "^@", "").alias("seq_id"), normalise(F.get("l", F.lit(1))).alias("seq"))
 
 
 def load_sequences(spark: SparkSession, path: str) -> DataFrame:
