@@ -31,7 +31,7 @@ def threshold_grid(start: float = 1.3, steps: int = 500, step: float = 0.1) -> l
 
 def information_criteria(seqs: DataFrame, models: DataFrame) -> DataFrame:
     """BIC, AIC and AICc of each sequence under its own model; n counts N too."""
-    sizes = child_counts(models).groupBy("model_id").agg((3 * F.sum((F.col("n_children") < 4).cast("long"))).alias("n_params"), F.min("count").alias("observed_min_count"), F.max(F.length("context")).alias("observed_max_depth"))
+    sizes = child_counts(models).groupBy("model_id").agg((3 * F.sum((F.col("n_children") < 4).cast("long"))).alias("n_params"), F.min("count").alias("observed_min_count"), F.max(F.length("context")).cast("long").alias("observed_max_depth"))
     return _criteria(log_likelihood(seqs, models, own=True).join(sizes, "model_id")).drop("seq_id", "n_scored", "length")
 
 
@@ -63,7 +63,7 @@ def parameter_grid(seqs: DataFrame, min_counts: Iterable[int], max_depths: Itera
             # a model id for each setting; the root has no subtree delta and stays
             models = kept.crossJoin(F.broadcast(grid)).where((F.col("context") == "") | (F.col("most") >= F.col("threshold")))
             models = models.withColumn("id", F.col("model_id")).withColumn("model_id", F.concat_ws("\t", "model_id", "threshold"))
-            sizes = child_counts(models).groupBy("model_id", "id", "threshold").agg((3 * F.sum((F.col("n_children") < 4).cast("long"))).alias("n_params"), F.min("count").alias("observed_min_count"), F.max(F.length("context")).alias("observed_max_depth"))
+            sizes = child_counts(models).groupBy("model_id", "id", "threshold").agg((3 * F.sum((F.col("n_children") < 4).cast("long"))).alias("n_params"), F.min("count").alias("observed_min_count"), F.max(F.length("context")).cast("long").alias("observed_max_depth"))
             met = seen.join(F.broadcast(grid)).select(F.concat_ws("\t", "model_id", "threshold").alias("model_id"), F.col("model_id").alias("id"), "threshold", "probe", "symbol", "n")
             states = symbol_scores(closest_state(met.select("model_id", "probe").distinct(), models, d))
             score = F.lit(0.0)
@@ -77,6 +77,6 @@ def parameter_grid(seqs: DataFrame, min_counts: Iterable[int], max_depths: Itera
 
 
 def best_parameters(grid: DataFrame, criterion: str = "bic_score") -> DataFrame:
-    """The setting of least criterion for each sequence; ties to the stricter one by threshold, count, then depth."""
-    order = F.struct(F.col(criterion), -F.col("threshold"), -F.col("min_count"), F.col("max_depth"))
+    """The setting of least criterion for each sequence; ties (to six places) to the stricter one by threshold, count, then depth."""
+    order = F.struct(F.round(criterion, 6), -F.col("threshold"), -F.col("min_count"), F.col("max_depth"))
     return grid.where(F.col(criterion).isNotNull()).groupBy("seq_id").agg(F.min_by(F.struct(*(c for c in grid.columns if c != "seq_id")), order).alias("best")).select("seq_id", "best.*")

@@ -98,12 +98,13 @@ def parameters_prune(contexts: DataFrame, n_params: int) -> DataFrame:
     """Remove leaves of least delta until three times the terminal contexts are at most ``n_params``.
 
     A context goes once all that end with it are gone, so the order of removal is
-    by the largest delta of its subtree, deeper ones first; ties go by context.
+    by the largest delta of its subtree, deeper ones first; ties (to nine places, so
+    that sums in another order agree) go by context.
     Removing one takes a terminal context away unless its parent turns terminal.
     A window per model: its rows are the contexts of one model.
     """
     rows = contexts.join(subtree_delta(contexts), ["model_id", "context"], "left")
-    order = [F.col("most"), F.col("depth").desc(), F.col("context")]
+    order = [F.round("most", 9), F.col("depth").desc(), F.col("context")]
     siblings = Window.partitionBy("model_id", "above")
     rows = rows.withColumn("above", F.when(F.col("context") != "", parent(F.col("context"))))
     others = rows.where("context <> ''").withColumn("n_siblings", F.count("*").over(siblings)).withColumn("nth", F.row_number().over(siblings.orderBy(*order)))
@@ -158,7 +159,7 @@ def model_sizes(models: DataFrame) -> DataFrame:
     """Nodes, terminal nodes, parameters, deepest context and observed support of each model."""
     return child_counts(models).groupBy("model_id").agg(
         F.count("*").alias("n_nodes"), F.sum((F.col("n_children") < 4).cast("long")).alias("n_terminal"), (3 * F.sum((F.col("n_children") < 4).cast("long"))).alias("n_params"),
-        F.max(F.length("context")).alias("max_order"), F.min("count").alias("observed_min_count"),
+        F.max(F.length("context")).cast("long").alias("max_order"), F.min("count").alias("observed_min_count"),
     )
 
 

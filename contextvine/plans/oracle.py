@@ -205,9 +205,9 @@ ORACLE_SQL: dict[str, str] = {
     "cutoff_prune": f"{_MODELS} SELECT model_id, context, count, {_PS} FROM models",
     "parameters_prune": f"""WITH {_SEQS},{_training(3, 2, -1e300)},{_CHILDREN},
 full_t AS (SELECT model_id, sum(CASE WHEN n_children < 4 THEN 1 ELSE 0 END) AS n_terminal FROM kids GROUP BY 1),
-o AS (SELECT m.model_id, m.context, m.count, sub.most, length(m.context) AS depth, count(*) OVER s AS sib, row_number() OVER (PARTITION BY m.model_id, substr(m.context, 2) ORDER BY sub.most, length(m.context) DESC, m.context) AS nth
+o AS (SELECT m.model_id, m.context, m.count, sub.most, length(m.context) AS depth, count(*) OVER s AS sib, row_number() OVER (PARTITION BY m.model_id, substr(m.context, 2) ORDER BY round(sub.most, 9), length(m.context) DESC, m.context) AS nth
   FROM models m JOIN sub ON sub.model_id = m.model_id AND sub.context = m.context WHERE m.context <> '' WINDOW s AS (PARTITION BY m.model_id, substr(m.context, 2))),
-f AS (SELECT o.*, n_terminal - coalesce(sum(CASE WHEN sib = 4 AND nth = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY o.model_id ORDER BY most, depth DESC, context ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+f AS (SELECT o.*, n_terminal - coalesce(sum(CASE WHEN sib = 4 AND nth = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY o.model_id ORDER BY round(most, 9), depth DESC, context ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM o JOIN full_t ON full_t.model_id = o.model_id)
 SELECT model_id, context, count FROM f WHERE before * 3 <= 24 UNION ALL SELECT model_id, context, count FROM models WHERE context = ''""",
     "reprune_support": f"{_MODELS} SELECT model_id, context, count, {_PS} FROM models WHERE context = '' OR (count >= 4 AND length(context) <= 2)",
@@ -227,7 +227,7 @@ SELECT model_id, context, count, {", ".join(_r(f"(e_{x} + 1) / (e_a + e_c + e_g
     "closest_state": f"{_MODELS},{_OWN} SELECT model_id, probe, context, count, {_PS} FROM st",
     "log_likelihood": f"""{_MODELS},{_OWN},{_SCORED} SELECT sc.seq_id, model_id, {_r("sum(CASE WHEN symbol <> 'N' THEN s ELSE 0 END)", "ll")}, CAST(sum(CASE WHEN symbol <> 'N' AND s <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_scored,
   length(any_value(seq)) AS length FROM sc JOIN seqs ON seqs.seq_id = sc.seq_id GROUP BY 1, 2""",
-    "likelihood": f"{_MODELS},{_OWN},{_SCORED} SELECT seq_id, model_id, {_r(chr(101) + 'xp(sum(s))', 'likelihood')} FROM sc WHERE pos < 6 GROUP BY 1, 2",
+    "likelihood": f"{_MODELS}, {_chances(3)} SELECT model_id, word, {_r('ln(p)', 'log_p')} FROM chance",
     "nll": f"{_MODELS},{_OWN},{_SCORED} {_NLL}",
     "nll_max_adjusted": f"{_MODELS},{_OWN},{_SCORED.replace(_LN, _PICK)} {_NLL}",
     "nll_background": f"{_MODELS},{_BG} {_NLL}",
@@ -256,7 +256,7 @@ l AS (SELECT sc.model_id, sum(CASE WHEN symbol <> 'N' THEN s ELSE 0 END) AS ll,
 SELECT model_id, {_r("ll", "ll")}, n_params, observed_min_count, observed_max_depth, {_r("n_params * ln(n) - 2 * ll", "bic_score")}, {_r("2 * n_params - 2 * ll", "aic_score")},
   {_r("2 * n_params - 2 * ll + CASE WHEN n - n_params - 1 <> 0 THEN (2 * n_params * n_params + 2 * n_params) / CAST(n - n_params - 1 AS DOUBLE) END", "aicc_score")} FROM z JOIN l USING (model_id)""",
     "bic_grid": f"{_GRID} SELECT seq_id, min_count, max_depth, threshold, {', '.join(_r(c, c) for c in ('bic_score', 'aic_score', 'aicc_score', 'log_likelihood'))}, n_params, observed_min_count, observed_max_depth FROM result",
-    "best_parameters": f"{_GRID} SELECT seq_id, threshold, {_r('bic_score', 'bic_score')} FROM result QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY bic_score, threshold DESC, min_count DESC, max_depth) = 1",
+    "best_parameters": f"{_GRID} SELECT seq_id, threshold, {_r('bic_score', 'bic_score')} FROM result QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY round(bic_score, 6), threshold DESC, min_count DESC, max_depth) = 1",
     "d2": f"{_MODELS}, {_RAW}{_pairs(_HALF, _DOT, '1.0')}",
     "dv": f"{_MODELS}, {_RAW}{_pairs(_ANGLE, _DOT, '1.0')}",
     "dvstar": f"{_MODELS}, {_star(0)}{_pairs(_ANGLE, _DOT, '1.0')}",

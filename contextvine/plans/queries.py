@@ -169,7 +169,7 @@ def log_likelihood(spark, sf):
 
 @query
 def likelihood(spark, sf):
-    return scoring.likelihood(sequences(spark, sf).withColumn("seq", F.left("seq", F.lit(6))), models(spark, sf), own=True)
+    return D.word_probabilities(models(spark, sf), 3).select("model_id", "word", F.log("p").alias("log_p"))
 
 
 @query
