@@ -95,9 +95,55 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + r"'), '[^\x20\x09-\x0D]+')"
+
+
+def _spans_sql(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: places are the lengths of what stands between matches and of the matches before."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, text, source, {number} AS number, '{kind}' AS kind, start, start + length(whole[k]) AS stop, held[k] AS held FROM (
+    SELECT doc_id, text, source, whole, held, k, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+    FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM (
+      SELECT doc_id, text, source, regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS held, string_split_regex(text, '{pattern}') AS parts FROM docs))) WHERE length(held[k]) >= {least}"""
+
+
+def _secrets_sql(most_owners: int = 2) -> str:
+    from .secrets import ADDED_KINDS, BASE_KINDS, PLACEHOLDER
+
+    kinds = [*BASE_KINDS.items(), *ADDED_KINDS.items()]
+    every = " UNION ALL ".join(_spans_sql(n, kind, *spec) for n, (kind, spec) in enumerate(kinds))
+    listed = lambda test: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER ({test}), '')"
+    counts = ", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    base = f"number < {len(BASE_KINDS)}"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents), every AS ({every}),
+seen AS (SELECT held, count(DISTINCT source) AS owners, max(regexp_matches(held, '{PLACEHOLDER}')) AS placeholder FROM every GROUP BY held),
+judged AS (SELECT every.*, owners <= {most_owners} AND NOT placeholder AS live FROM every JOIN seen ON seen.held = every.held)
+SELECT docs.doc_id, {counts}, sha256({listed(base)}) AS base_sha256, {listed(base + " OR live")} AS spans, count(kind) FILTER (live) AS n_live, count(kind) FILTER (NOT live) AS n_copied
+FROM docs LEFT JOIN judged ON judged.doc_id = docs.doc_id GROUP BY docs.doc_id"""
+
+
 ORACLE_SQL = {
+    "op1_warc_normaliser": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+        SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM p""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op6_minhash_components": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(words[k:k + 4], chr(1)) AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS k FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+        met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)),
+        edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT x, y FROM edges UNION SELECT r.x, b.y FROM reach r JOIN edges b ON b.x = r.y)
+        SELECT w.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(reach.y), w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(min(reach.y), w.doc_id)) AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id""",
+    "op7_secret_ownership": _secrets_sql(),
 }
