@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import P, background_context, log_or_zero, probability, reverse_complement, suffixes
+from ..session import stored
 from .words import positions
 
+BROADCAST_STATES = 500_000  # rows of a model, a probe and four scores: some tens of megabytes
+
 def deepest(models: DataFrame) -> int:
     """The longest context of all models: how many symbols a score can look back."""
     return models.agg(F.max(F.length("context"))).head(1)[0][0] or 0
@@ -84,6 +87,12 @@ def log_likelihood(seqs: DataFrame, models: DataFrame, own: bool = False, score:
     else:
         probes = seen.select("probe").distinct()
     scored = symbol_scores(closest_state(probes, models, order), score, models, background_order).select("model_id", "probe", *(f"s_{p[-1]}" for p in P))
+    if not own:
+        # every sequence meets every model: a small table of states goes to where the sequences are, a large one is dealt by probe
+        scored = stored(scored, "states")
+        if scored.count() <= BROADCAST_STATES:
+            scored = F.broadcast(scored)
+        seen = seen.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
     met = seen.join(scored, ["model_id", "probe"] if own else ["probe"]).withColumn("s", _score_of("symbol"))
     sums = met.groupBy("seq_id", "model_id").agg(F.sum(F.col("n") * F.col("s")).alias("ll"), F.sum(F.when(F.col("s") != 0, F.col("n")).otherwise(0)).alias("n_scored"))
     lengths = seqs.select("seq_id", F.length("seq").cast("long").alias("length"))

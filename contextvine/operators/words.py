@@ -9,27 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Symbols of a piece: a substring of UTF-8 text is found by walking from its start, so long texts are cut first.
-PIECE = 1024
+PIECE = 128
 
 
 def pieces(seqs: DataFrame, overlap: int, size: int = PIECE, before: int = 0) -> DataFrame:
-    """``seq_id, first, piece, lead``: sequences cut in pieces of ``size`` positions.
+    """``seq_id, first, piece, lead, own``: sequences cut in pieces of ``size`` positions, ``own`` of them in a last piece.
 
     ``first`` is the 0-based position the piece is about; ``overlap`` symbols more
-    stand after it, and up to ``before`` symbols before (``lead`` of them), so one
-    very long sequence spreads over many rows.
+    stand after it, and up to ``before`` symbols before (``lead`` of them).  One
+    pass of a pattern cuts a sequence, so a very long one costs no more than many
+    short ones and spreads over many rows.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
-    cut = seqs.where(F.length("seq") > 0).select("seq_id", "seq", F.explode(starts).alias("first"))
-    lead = F.least(F.col("first"), F.lit(before))
-    return cut.select("seq_id", F.col("first").cast("long"), F.substring(F.col("seq"), F.col("first") - lead + 1, lead + F.lit(size + overlap)).alias("piece"), lead.alias("lead"))
+    size = max(size, overlap, before)
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    none = F.lit("")
+    whole = lambda p, i: F.struct(
+        F.length(p).alias("own"), F.when(i > 0, F.right(F.get("parts", i - 1), F.lit(before))).otherwise(none).alias("head"),
+        p.alias("body"), F.coalesce(F.left(F.get("parts", i + 1), F.lit(overlap)), none).alias("rest"),
+    )
+    cut = seqs.where(F.length("seq") > 0).select("seq_id", parts.alias("parts")).select("seq_id", F.posexplode(F.transform("parts", whole)).alias("i", "p"))
+    return cut.select("seq_id", (F.col("i").cast("long") * size).alias("first"), F.concat("p.head", "p.body", "p.rest").alias("piece"), F.length("p.head").alias("lead"), F.col("p.own").alias("own"))
 
 
 def positions(seqs: DataFrame, order: int, size: int = PIECE) -> DataFrame:
     """``seq_id, pos, probe, symbol``: every position with the up to ``order`` symbols before it (0-based)."""
     cut = pieces(seqs, 0, size, before=order)
-    inside = F.sequence(F.col("lead") + 1, F.length("piece"))
-    at = cut.select("seq_id", "first", "piece", "lead", F.explode(inside).alias("i"))
+    at = cut.select("seq_id", "first", "piece", "lead", F.explode(F.sequence(F.col("lead") + 1, F.col("lead") + F.col("own"))).alias("i"))
     start = F.greatest(F.col("i") - order, F.lit(1))
     return at.select(
         "seq_id", (F.col("first") + F.col("i") - F.col("lead") - 1).alias("pos"),
@@ -39,9 +44,9 @@ def positions(seqs: DataFrame, order: int, size: int = PIECE) -> DataFrame:
 
 def tail_counts(seqs: DataFrame, length: int) -> DataFrame:
     """``seq_id, tail, n``: from every position up to ``length`` symbols, cut before an N; counted before anything is expanded."""
-    cut = pieces(seqs, length - 1)
-    of_piece = F.transform(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE))), lambda i: F.substring_index(F.substring(F.col("piece"), i, F.lit(length)), "N", 1))
-    return cut.select("seq_id", F.explode(of_piece).alias("tail")).where("tail <> ''").groupBy("seq_id", "tail").agg(F.count("*").alias("n"))
+    cut = pieces(seqs, length - 1).select("seq_id", "piece", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i"))
+    tails = cut.select("seq_id", F.substring_index(F.substring(F.col("piece"), F.col("i"), F.lit(length)), "N", 1).alias("tail"))
+    return tails.where("tail <> ''").groupBy("seq_id", "tail").agg(F.count("*").alias("n"))
 
 
 def word_counts(seqs: DataFrame, length: int) -> DataFrame:
@@ -75,7 +80,7 @@ def search(seqs: DataFrame, patterns: DataFrame) -> DataFrame:
             part = seqs.select("seq_id", F.lit("").alias("pattern"), places)
         else:
             cut = pieces(seqs, n - 1)
-            inside = cut.select("seq_id", "first", "piece", F.explode(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE)))).alias("i"))
+            inside = cut.select("seq_id", "first", "piece", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i"))
             words = inside.select("seq_id", F.substring(F.col("piece"), F.col("i"), F.lit(n)).alias("pattern"), (F.col("first") + F.col("i") - 1).alias("pos"))
             part = words.join(patterns.where(F.length("pattern") == n).select("pattern").distinct(), "pattern").select("seq_id", "pattern", "pos")
         out = part if out is None else out.unionByName(part)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.symbols import P, all_words_column, background_context, reverse_complement
 from ..operators import distances as D
 from ..operators import sampling, scoring, selection, training, vectors, words
+from ..session import stored
 from ..sources.records import document_sequences, event_sequences
 from ..sources.trees import parse_trees, to_tree_text
 
@@ -40,6 +41,11 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.cutoff_prune(loose(spark, sf_dir), PARAMS.threshold)
 
 
+def stored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table, for plans that read models several times."""
+    return stored(models(spark, sf_dir), "models")
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(F.col(n), 6).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes))
 
@@ -174,27 +180,27 @@ def likelihood(spark, sf):
 
 @query
 def nll(spark, sf):
-    return scoring.nll(sequences(spark, sf), models(spark, sf), own=True, order=3)
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, order=3)
 
 
 @query
 def nll_max_adjusted(spark, sf):
-    return scoring.nll(sequences(spark, sf), models(spark, sf), own=True, score="max_adjusted", order=3)
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, score="max_adjusted", order=3)
 
 
 @query
 def nll_background(spark, sf):
-    return scoring.nll(sequences(spark, sf), models(spark, sf), own=True, score="background", background_order=1, order=3)
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, score="background", background_order=1, order=3)
 
 
 @query
 def score_matrix(spark, sf):
-    return scoring.nll(sequences(spark, sf), models(spark, sf), order=3)
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), order=3)
 
 
 @query
 def nll_symmetric(spark, sf):
-    return scoring.nll(sequences(spark, sf), models(spark, sf), both_strands=True, order=3)
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), both_strands=True, order=3)
 
 
 @query
@@ -204,27 +210,27 @@ def reverse_complement_of(spark, sf):
 
 @query
 def sliding_windows(spark, sf):
-    return scoring.sliding_windows(sequences(spark, sf), models(spark, sf), [10], own=True)
+    return scoring.sliding_windows(sequences(spark, sf), stored_models(spark, sf), [10], own=True)
 
 
 @query
 def sliding_windows_multi(spark, sf):
-    return scoring.sliding_windows(sequences(spark, sf), models(spark, sf), [5, 20], own=True)
+    return scoring.sliding_windows(sequences(spark, sf), stored_models(spark, sf), [5, 20], own=True)
 
 
 @query
 def sliding_windows_background(spark, sf):
-    return scoring.sliding_windows(sequences(spark, sf), models(spark, sf), [10], own=True, score="background", background_order=1)
+    return scoring.sliding_windows(sequences(spark, sf), stored_models(spark, sf), [10], own=True, score="background", background_order=1)
 
 
 @query
 def sliding_windows_min_reverse(spark, sf):
-    return scoring.sliding_windows_both(sequences(spark, sf), models(spark, sf), [10], own=True)
+    return scoring.sliding_windows_both(sequences(spark, sf), stored_models(spark, sf), [10], own=True)
 
 
 @query
 def information_criteria(spark, sf):
-    return selection.information_criteria(sequences(spark, sf), models(spark, sf))
+    return selection.information_criteria(sequences(spark, sf), stored_models(spark, sf))
 
 
 @query
@@ -240,7 +246,7 @@ def best_parameters(spark, sf):
 
 def _distance(name: str, registered: str, **options) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return rounded(D.distance(registered, models(spark, sf), **options).drop("name"))
+        return rounded(D.distance(registered, stored_models(spark, sf), **options).drop("name"))
 
     QUERIES[name] = run
 
@@ -256,13 +262,13 @@ for _name, _registered, _options in (
 
 @query
 def shared_contexts(spark, sf):
-    m = models(spark, sf)
+    m = stored_models(spark, sf)
     return vectors.shared_contexts(m, m)
 
 
 @query
 def context_union(spark, sf):
-    m = models(spark, sf)
+    m = stored_models(spark, sf)
     return vectors.context_union(m, m).groupBy("left_id", "right_id").agg(F.sum((F.col("in_left") & F.col("in_right")).cast("long")).alias("n_both"), F.sum((~F.col("in_right")).cast("long")).alias("n_left"), F.sum((~F.col("in_left")).cast("long")).alias("n_right"))
 
 
@@ -273,32 +279,32 @@ def all_words(spark, sf):
 
 @query
 def background_contexts(spark, sf):
-    return models(spark, sf).select("model_id", "context", background_context(F.col("context"), 1).alias("background"))
+    return stored_models(spark, sf).select("model_id", "context", background_context(F.col("context"), 1).alias("background"))
 
 
 @query
 def composition_vector(spark, sf):
-    return vectors.composition_vector(models(spark, sf), None, 1)
+    return vectors.composition_vector(stored_models(spark, sf), None, 1)
 
 
 @query
 def scaled_composition_vector(spark, sf):
-    return vectors.scaled_composition_vector(models(spark, sf), 2, 1)
+    return vectors.scaled_composition_vector(stored_models(spark, sf), 2, 1)
 
 
 @query
 def adjusted_transition_vector(spark, sf):
-    return vectors.adjusted_transition_vector(models(spark, sf), 1)
+    return vectors.adjusted_transition_vector(stored_models(spark, sf), 1)
 
 
 @query
 def word_frequency_vector(spark, sf):
-    return vectors.word_frequency_vector(models(spark, sf), 2)
+    return vectors.word_frequency_vector(stored_models(spark, sf), 2)
 
 
 @query
 def adjusted_word_frequency_vector(spark, sf):
-    return vectors.word_frequency_vector(models(spark, sf), 2, True, 0)
+    return vectors.word_frequency_vector(stored_models(spark, sf), 2, True, 0)
 
 
 @query
@@ -319,24 +325,24 @@ def tree_height(spark, sf):
 
 @query
 def generate_sequence(spark, sf):
-    return sampling.generate(models(spark, sf), 100, seed=1)
+    return sampling.generate(stored_models(spark, sf), 100, seed=1)
 
 
 @query
 def jaccard(spark, sf):
-    return sampling.jaccard(models(spark, sf), models(spark, sf), length=5, n=200)
+    return sampling.jaccard(m := stored_models(spark, sf), m, length=5, n=200)
 
 
 @query
 def jaccard_prob(spark, sf):
-    return sampling.jaccard_prob(models(spark, sf), models(spark, sf), length=5, n=200)
+    return sampling.jaccard_prob(m := stored_models(spark, sf), m, length=5, n=200)
 
 
 @query
 def nll_distance(spark, sf):
-    return sampling.nll_distance(models(spark, sf), models(spark, sf), 100)
+    return sampling.nll_distance(m := stored_models(spark, sf), m, 100)
 
 
 @query
 def nll_background_distance(spark, sf):
-    return sampling.nll_background_distance(models(spark, sf), models(spark, sf), 100, 1)
+    return sampling.nll_background_distance(m := stored_models(spark, sf), m, 100, 1)

@@ -4,12 +4,34 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 2500
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="contextvine-")
+    return _local[context.applicationId]
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that a plan reads more than once, a trained model above all, and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -40,6 +62,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():

@@ -66,7 +66,14 @@ def event_sequences(events: DataFrame) -> DataFrame:
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt over all of them; more files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def document_sequences(documents: DataFrame) -> DataFrame:
     """Whole texts as sequences: ASCII letters read cyclically as A, C, G, T, anything else as N; null text is left out."""
+    documents = spread(documents.select("doc_id", "text"))
     mapped = F.translate("text", _LETTERS, ("ACGT" * 13)[: len(_LETTERS)])
     return documents.where("text is not null").select(F.col("doc_id").cast("string").alias("seq_id"), F.regexp_replace(mapped, "[^ACGT]", "N").alias("seq"))
