@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.symbols import P, SYMBOLS, parent, suffixes
 from .scoring import log_likelihood
-from .training import TrainingParams, child_counts, reprune_support, subtree_delta, train_unpruned
+from .training import child_counts, followers, nodes, with_delta, with_probabilities
+from .words import word_counts
 
 
 def count_grid(least: int, most: int) -> list[int]:
@@ -41,39 +43,56 @@ def _criteria(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bic_score", k * F.log(n) - 2 * ll).withColumn("aic_score", aic).withColumn("aicc_score", aic + F.try_divide((2 * k * k + 2 * k).cast("double"), (n - k - 1).cast("double")))
 
 
+def _log_gains(words: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Contexts with ``gain``: what the log-likelihood gains where a context replaces its parent, over all it precedes.
+
+    The root's gain is the log-likelihood under the root alone, so the gains of a
+    suffix-closed set of contexts add up to its log-likelihood.
+    """
+    last = F.right("word", F.lit(1))
+    sums = [F.sum(F.when(last == s, F.col("n")).otherwise(0)).alias(f"n_{s.lower()}") for s in SYMBOLS]
+    seen = words.groupBy("model_id", F.left("word", F.length("word") - 1).alias("context")).agg(*sums)
+    above = contexts.select("model_id", F.col("context").alias("above"), *(F.col(p).alias(f"above_{p}") for p in P))
+    own = contexts.withColumn("above", F.when(F.col("context") != "", parent(F.col("context")))).join(above, ["model_id", "above"], "left")
+    counted = own.join(seen, ["model_id", "context"], "left").na.fill(0, [f"n_{s.lower()}" for s in SYMBOLS])
+    term = lambda s, p: F.col(f"n_{s.lower()}") * (F.log(F.col(p)) - F.coalesce(F.log(F.col(f"above_{p}")), F.lit(0.0)))
+    return counted.select("model_id", "context", "depth", "count", "delta", sum((term(s, p) for s, p in zip(SYMBOLS, P)), F.lit(0.0)).alias("gain"))
+
+
 def parameter_grid(seqs: DataFrame, min_counts: Iterable[int], max_depths: Iterable[int], thresholds: Iterable[float], pseudo_count: float = 1.0) -> DataFrame:
-    """One row of criteria per sequence and setting.
+    """One row of criteria per sequence and setting, from one plan.
 
-    Settings are few and known on the driver; for each support setting one plan
-    serves all thresholds: contexts carry the largest threshold they survive, and
-    a setting's model is a filter on it.
+    Under a support setting a context survives all thresholds up to its largest
+    subtree delta, and is terminal above the fourth largest of its children's.  So
+    each context adds its gain to the log-likelihood, and one to the terminal
+    count, over an interval of thresholds: running sums over the grid give every
+    setting, and neither sequences nor models are met again.
     """
-    from .scoring import closest_state, symbol_scores, transition_counts
-
-    counts, depths, cuts = sorted(set(min_counts)), sorted(set(max_depths)), sorted(set(thresholds))
-    loose = train_unpruned(seqs, TrainingParams(max(depths), min(counts), 0.0, pseudo_count=pseudo_count))
-    spark = seqs.sparkSession
-    out = None
-    seen = transition_counts(seqs, max(depths)).withColumnRenamed("seq_id", "model_id")
-    for c in counts:
-        for d in depths:
-            stricter = reprune_support(loose, c, d)
-            kept = stricter.join(subtree_delta(stricter), ["model_id", "context"], "left")
-            grid = spark.createDataFrame([(float(t),) for t in cuts], "threshold double")
-            # a model id for each setting; the root has no subtree delta and stays
-            models = kept.crossJoin(F.broadcast(grid)).where((F.col("context") == "") | (F.col("most") >= F.col("threshold")))
-            models = models.withColumn("id", F.col("model_id")).withColumn("model_id", F.concat_ws("\t", "model_id", "threshold"))
-            sizes = child_counts(models).groupBy("model_id", "id", "threshold").agg((3 * F.sum((F.col("n_children") < 4).cast("long"))).alias("n_params"), F.min("count").alias("observed_min_count"), F.max(F.length("context")).cast("long").alias("observed_max_depth"))
-            met = seen.join(F.broadcast(grid)).select(F.concat_ws("\t", "model_id", "threshold").alias("model_id"), F.col("model_id").alias("id"), "threshold", "probe", "symbol", "n")
-            states = symbol_scores(closest_state(met.select("model_id", "probe").distinct(), models, d))
-            score = F.lit(0.0)
-            for s in "ACGT":
-                score = F.when(F.col("symbol") == s, F.col(f"s_{s.lower()}")).otherwise(score)
-            ll = met.join(states.select("model_id", "probe", "s_a", "s_c", "s_g", "s_t"), ["model_id", "probe"]).groupBy("model_id").agg(F.sum(F.col("n") * score).alias("ll"))
-            rows = sizes.join(ll, "model_id", "left").na.fill(0.0, ["ll"]).join(seqs.select(F.col("seq_id").alias("id"), F.length("seq").cast("long").alias("length")), "id")
-            part = _criteria(rows).select(F.col("id").alias("seq_id"), F.lit(c).alias("min_count"), F.lit(d).alias("max_depth"), "threshold", "bic_score", "aic_score", "aicc_score", F.col("ll").alias("log_likelihood"), "n_params", "observed_min_count", "observed_max_depth")
-            out = part if out is None else out.unionByName(part)
-    return out
+    counts, depths, cuts = sorted(set(min_counts)), sorted(set(max_depths)), sorted(set(map(float, thresholds)))
+    spark, top = seqs.sparkSession, len(cuts)
+    words = word_counts(seqs, max(depths) + 1)
+    contexts = with_delta(with_probabilities(nodes(words, seqs, max(depths), min(counts)), followers(words, min(counts)), pseudo_count))
+    settings = F.broadcast(spark.createDataFrame([(c, d) for c in counts for d in depths], "min_count int, max_depth int"))
+    key = ["model_id", "min_count", "max_depth"]
+    rows = _log_gains(words, contexts).crossJoin(settings).where((F.col("context") == "") | ((F.col("count") >= F.col("min_count")) & (F.col("depth") <= F.col("max_depth"))))
+    ends = F.filter(suffixes(F.col("context"), 1 << 20), lambda x: x != "")
+    most = rows.where("context <> ''").select(*key, F.explode(ends).alias("context"), "delta").groupBy(*key, "context").agg(F.max("delta").alias("most"))
+    # how many thresholds of the grid a value reaches
+    reach = lambda value: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t <= value))
+    rows = rows.join(most, [*key, "context"], "left").withColumn("last", F.when(F.col("context") == "", F.lit(top)).otherwise(reach(F.col("most"))))
+    kept = rows.groupBy(*key, "last").agg(F.sum("gain").alias("ll"), F.count("*").alias("terminal"), F.min("count").alias("least"), F.max("depth").cast("long").alias("deepest"))
+    fourth = rows.where("context <> ''").groupBy(*key, parent(F.col("context")).alias("above")).agg(F.get(F.sort_array(F.collect_list("last"), False), F.lit(3)).alias("last"))
+    inner = fourth.where("last > 0").groupBy(*key, "last").agg(F.count("*").alias("inner"))
+    every = seqs.select(F.col("seq_id").alias("model_id"), F.length("seq").cast("long").alias("length")).crossJoin(settings)
+    grid = every.select(*key, "length", F.posexplode(F.array(*map(F.lit, cuts))).alias("i", "threshold")).withColumn("last", F.col("i") + 1)
+    dense = grid.join(kept, [*key, "last"], "left").join(inner, [*key, "last"], "left")
+    above = Window.partitionBy(*key).orderBy(F.col("last").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dense.select(
+        *key, "threshold", "length", F.sum(F.coalesce("ll", F.lit(0.0))).over(above).alias("ll"),
+        (3 * (F.sum(F.coalesce("terminal", F.lit(0))).over(above) - F.sum(F.coalesce("inner", F.lit(0))).over(above))).alias("n_params"),
+        F.min("least").over(above).alias("observed_min_count"), F.max("deepest").over(above).alias("observed_max_depth"),
+    )
+    return _criteria(summed).select(F.col("model_id").alias("seq_id"), "min_count", "max_depth", "threshold", "bic_score", "aic_score", "aicc_score", F.col("ll").alias("log_likelihood"), "n_params", "observed_min_count", "observed_max_depth")
 
 
 def best_parameters(grid: DataFrame, criterion: str = "bic_score") -> DataFrame:
