@@ -117,10 +117,12 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, key_bits: int) -> DataFrame:
     return rows.withColumn("key", key)
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key_bits: int = 63, owner_bits: int = 12, capacity: int = 256, combine_bytes: int = 32_000_000) -> DataFrame:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key_bits: int = 63, owner_bits: int | None = None, capacity: int = 256, combine_bytes: int = 32_000_000) -> DataFrame:
     """Write the index of all texts; the committed manifest has a row per key range that has rows."""
     spark = docs.sparkSession
     folder = fresh(spark, "exact-index")
+    if owner_bits is None:  # several ranges for each task that owns some
+        owner_bits = max(12, (8 * shuffle_width(spark) - 1).bit_length())
     owner_bits = min(owner_bits, key_bits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,25 +9,14 @@ attempts are ever read, and a lost executor merely leaves an unread file.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-_local: dict[str, str] = {}
+from contextvine.session import shared_dir
+from contextvine.session import stored as materialise
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if context.applicationId not in _local:
-        _local[context.applicationId] = tempfile.mkdtemp(prefix="contextvine-")
-    return _local[context.applicationId]
+__all__ = ["attempt_name", "filesystem", "fresh", "materialise", "shared_dir", "shuffle_width", "trim", "trimmed"]
 
 
 def fresh(spark: SparkSession, label: str) -> str:
@@ -35,13 +24,6 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends here."""
-    path = fresh(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """``(filesystem, path)`` of a folder or file for code that runs in a task."""
     from pyarrow import fs

@@ -120,8 +120,9 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     folder = fresh(spark, "warc")
     body = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("sha1"))
-    top = rows.groupBy("sha1").agg(F.max("page_id").alias("top"))
-    rows = rows.join(top, "sha1")
+    # written, so that the join deals both sides and can split a payload that a third of all pages hold
+    top = materialise(rows.groupBy("sha1").agg(F.max("page_id").alias("top")), "warc-top")
+    rows = rows.join(top.hint("merge"), "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = filesystem(folder)
