@@ -9,6 +9,7 @@ from ..functions.symbols import P, background_context, log_or_zero, probability,
 from ..session import stored
 from .words import positions
 
+STRETCH = 16_384  # positions a window task sorts at once
 BROADCAST_STATES = 500_000  # rows of a model, a probe and four scores: some tens of megabytes
 
 def deepest(models: DataFrame) -> int:
@@ -139,16 +140,22 @@ def position_scores(seqs: DataFrame, models: DataFrame, own: bool = False, score
 def sliding_windows(seqs: DataFrame, models: DataFrame, sizes: list[int], own: bool = False, score: str = "log", background_order: int = 0) -> DataFrame:
     """``seq_id, model_id, window_size, pos, nll``: the mean over the trailing window's non-zero scores, -1 without any.
 
-    One sort per (sequence, model) serves all sizes.
+    One sort serves all sizes.  A sequence is cut in stretches that also hold the
+    positions a window reaches back to, so a long one fills many tasks.
     """
+    reach = max(sizes) - 1
+    stretch = max(STRETCH, 4 * reach)
     rows = position_scores(seqs, models, own, score, background_order)
-    base = Window.partitionBy("seq_id", "model_id").orderBy("pos")
+    part = F.floor(F.col("pos") / stretch)
+    parts = F.when(F.col("pos") % stretch >= stretch - reach, F.array(part, part + 1)).otherwise(F.array(part))
+    rows = rows.select("seq_id", "model_id", "pos", "s", F.explode(parts).alias("part"))
+    base = Window.partitionBy("seq_id", "model_id", "part").orderBy("pos")
     columns = []
     for size in sizes:
         frame = base.rowsBetween(-(size - 1), 0)
         total, n = F.sum("s").over(frame), F.sum((F.col("s") != 0).cast("long")).over(frame)
         columns.append(F.struct(F.lit(size).alias("window_size"), F.coalesce(F.try_divide(-total, n), F.lit(-1.0)).alias("nll")))
-    wide = rows.select("seq_id", "model_id", "pos", F.array(*columns).alias("w"))
+    wide = rows.select("seq_id", "model_id", "pos", "part", F.array(*columns).alias("w")).where(F.floor(F.col("pos") / stretch) == F.col("part"))
     return wide.select("seq_id", "model_id", "pos", F.explode("w").alias("w")).select("seq_id", "model_id", "w.window_size", "pos", "w.nll")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,13 @@ _shipped: set[str] = set()
 _local: dict[str, str] = {}
 
 
+def _temporary() -> str:
+    """A folder of this process, gone at its end."""
+    path = tempfile.mkdtemp(prefix="contextvine-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,13 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if context.applicationId not in _local:
-        _local[context.applicationId] = tempfile.mkdtemp(prefix="contextvine-")
+        _local[context.applicationId] = _temporary()
     return _local[context.applicationId]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table that a plan reads more than once, a trained model above all, and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    # schemas are not inferred again, so empty tables read back too
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,7 +53,7 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="contextvine-"), "contextvine.zip")
+    path = os.path.join(_temporary(), "contextvine.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(top):
             for name in names:

@@ -77,6 +77,13 @@ def test_matrix_strands_and_windows(trained):
             assert rows[s, i] == pytest.approx(-sum(part) / n if n else -1.0)
 
 
+def test_windows_across_stretches(trained, monkeypatch):
+    _, df, models, _ = trained
+    whole = sorted((r.seq_id, r.window_size, r.pos, round(r.nll, 9)) for r in scoring.sliding_windows(df, models, [3, 7], own=True).collect())
+    monkeypatch.setattr(scoring, "STRETCH", 20)
+    assert sorted((r.seq_id, r.window_size, r.pos, round(r.nll, 9)) for r in scoring.sliding_windows(df, models, [3, 7], own=True).collect()) == whole
+
+
 def test_nothing_to_score(spark, trained):
     _, _, models, _ = trained
     seqs = spark.createDataFrame([("none", ""), ("n", "NN")], "seq_id string, seq string")
