@@ -3,9 +3,9 @@
 The pre-tokeniser of the vocabulary never joins a visible character and a space
 that follows it, so a text falls into pieces (a run of white space and the word
 after it) whose ids simply follow each other.  Arrow splits a batch at its spaces
-and numbers its different words; ids of words are kept in a bounded
-two-generation cache of the Python worker, only unseen words reach the library,
-and the ids of the batch are gathered from those of its words.
+and numbers its different words; ids of words are kept in a bounded cache of the
+Python worker, only unseen words reach the library, and the ids of the batch are
+gathered from those of its words.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,12 @@ class PieceEncoder:
 
     A null text has no ids.  Ids equal ``Tokenizer.encode(text,
     add_special_tokens=False).ids``: special tokens written in a text count.
+
+    Known words are one Arrow array, their ids one run of numbers with the place
+    of each word's; words not met for long make room for new ones.
     """
 
-    def __init__(self, path: str, cache_size: int = 150_000, chunk_chars: int = 200_000) -> None:
+    def __init__(self, path: str, cache_size: int = 400_000, chunk_chars: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,8 +67,11 @@ class PieceEncoder:
         self.code = "H" if self.dtype == np.uint16 else "I"
         self.marks = {m: np.array([vocabulary[m]], dtype=self.dtype).tobytes() for m in ".,;:!?"}
         self.cache_size, self.chunk_chars = cache_size, chunk_chars
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.ids = np.empty(0, dtype=self.dtype)
+        self.begins, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+        self.met, self.turn = np.empty(0, dtype=np.int64), 0  # when each word was last seen
+        self.stems: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -76,70 +81,89 @@ class PieceEncoder:
         shown = text.replace(" ", "Ġ") if text.isascii() else "".join(map(_BYTE_LETTER.__getitem__, text.encode()))
         return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
-    def learn(self, unseen: list[str]) -> None:
-        """Put words (each follows one space and holds none) in the cache."""
-        rest, words, older, marks, letters, match = [], self.words, self.older, self.marks, self.letters, _PARTS.fullmatch
-        for w in unseen:
-            if (known := older.get(w)) is not None:
-                words[w] = known
-            elif found := match(w):
-                stem, middle, second, mark = found.groups()
-                if (known := words.get(stem) or older.get(stem)) is None:
-                    known = words[stem] = letters(" " + stem)
-                if middle:
-                    if (between := marks.get(middle)) is None:
-                        between = marks[middle] = self.whole(middle)
-                    known += between
-                    if second:
-                        # a word's later part also has entries of its own, told from whole words by a space
-                        if (after := words.get(" " + second) or older.get(" " + second)) is None:
-                            after = words[" " + second] = letters(second)
-                        known += after
-                words[w] = known + marks[mark] if mark else known
-            else:
-                rest.append(w)
-        if len(marks) > 100_000:
-            self.tokenize = self.tokenizer.model.tokenize
-        self.code = "H" if self.dtype == np.uint16 else "I"
-        self.marks = {m: marks[m] for m in ".,;:!?"}
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each follow one space and hold none."""
+        if len(self.stems) > self.cache_size // 4:
+            self.stems = {}
+        if len(self.marks) > 100_000:
+            self.marks = {m: self.marks[m] for m in ".,;:!?"}
+        stems, marks, letters, match = self.stems, self.marks, self.letters, _PARTS.fullmatch
+        out: list[bytes | None] = []
+        rest = []
+        for k, w in enumerate(words):
+            if (found := match(w)) is None:
+                rest.append(k)
+                out.append(None)
+                continue
+            stem, middle, second, mark = found.groups()
+            if (known := stems.get(stem)) is None:
+                known = stems[stem] = letters(" " + stem)
+            if middle:
+                if (between := marks.get(middle)) is None:
+                    between = marks[middle] = self.whole(middle)
+                known += between
+                if second:
+                    # a word's later part has entries of its own, told from whole words by a space
+                    if (after := stems.get(" " + second)) is None:
+                        after = stems[" " + second] = letters(second)
+                    known += after
+            out.append(known + marks[mark] if mark else known)
         at = 0
         while at < len(rest):
             chars, end = 0, at
             while end < len(rest) and chars < self.chunk_chars:
-                chars += len(rest[end]) + 1
+                chars += len(words[rest[end]]) + 1
                 end += 1
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(rest[at:end])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            text = " " + " ".join(words[k] for k in rest[at:end])
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
             starts = np.flatnonzero(self.opens[ids])
             raw, size = ids.tobytes(), ids.itemsize
             bounds = [*(starts * size).tolist(), len(raw)]
             if len(starts) != end - at:
                 raise ValueError("a word's ids do not begin with its space")
-            for i, w in enumerate(rest[at:end]):
-                self.words[w] = raw[bounds[i] : bounds[i + 1]]
+            for i, k in enumerate(rest[at:end]):
+                out[k] = raw[bounds[i] : bounds[i + 1]]
             at = end
+        return out
 
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that each follow one space."""
-        found = list(map(self.words.get, words))
-        if None in found:
-            self.learn([w for w, f in zip(words, found) if f is None])
-            known = self.words
-            found = [known[w] if f is None else f for w, f in zip(words, found)]
-        return found
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some different words stands among the known ones, learning those that are not."""
+        self.turn += 1
+        if len(self.known) > self.cache_size:
+            # the half met last stays, their ids close up
+            keep = np.sort(np.argpartition(self.met, -(self.cache_size // 2))[-(self.cache_size // 2) :])
+            sizes = self.sizes[keep].astype(np.int64)
+            ends = np.cumsum(sizes)
+            self.ids = self.ids[np.repeat(self.begins[keep] - ends + sizes, sizes) + np.arange(ends[-1])]
+            self.known, self.sizes, self.begins, self.met = self.known.take(pa.array(keep)), self.sizes[keep], ends - sizes, self.met[keep]
+        found = pc.index_in(words, value_set=self.known)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if new.any():
+            unseen = words.filter(pa.array(new))
+            learned = self.of_words(unseen.to_pylist())
+            sizes = np.fromiter(map(len, learned), dtype=np.int64, count=len(learned)) // self.ids.itemsize
+            at[new] = len(self.known) + np.arange(len(learned))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+            self.met = np.concatenate([self.met, np.zeros(len(learned), dtype=np.int64)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(learned), dtype=self.dtype)])
+            self.known = pa.concat_arrays([self.known, unseen])
+        self.met[at] = self.turn
+        return at
 
     def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
         """``encode_batch`` for a bounded Arrow array of strings."""
-        if len(self.words) > self.cache_size:
-            self.older, self.words = self._compact(), {}
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         careful = pc.match_substring_regex(texts, _CAREFUL)
         for s in self.special:
             careful = pc.or_(careful, pc.match_substring(texts, s))
         careful = pc.or_(careful, pc.equal(pc.binary_length(texts), 0))
         out: list[np.ndarray | None] = [None] * len(texts)
-        for k in np.flatnonzero(careful.to_numpy(zero_copy_only=False)).tolist():
+        odd = careful.to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(odd).tolist():
             out[k] = np.frombuffer(self.careful(texts[k].as_py()), dtype=self.dtype)
-        plain = np.flatnonzero(~careful.to_numpy(zero_copy_only=False))
+        plain = np.flatnonzero(~odd)
         if not len(plain):
             return out
         words = pc.split_pattern(texts.take(pa.array(plain)) if len(plain) < len(texts) else texts, " ")
@@ -148,20 +172,19 @@ class PieceEncoder:
         numbered = words.flatten().dictionary_encode()
         del words
         index = numbered.indices.to_numpy(zero_copy_only=False).copy()
-        own = numbered.dictionary.to_pylist()
-        del numbered
         # the first word of a text follows no space: it gets an entry of its own
-        heads, places = np.unique(index[starts], return_inverse=True)
-        index[starts] = len(own) + places
-        pool = self.of_words(own) + [self.whole(own[h]) for h in heads.tolist()]
-        del own
-        raw = np.frombuffer(b"".join(pool), dtype=self.dtype)
-        sizes = np.fromiter(map(len, pool), dtype=np.int32, count=len(pool)) // np.int32(raw.itemsize)
-        del pool
-        # one gather: each word's place in the pool less its place in the result, spread over its ids
-        size = sizes[index]
+        heads, which = np.unique(index[starts], return_inverse=True)
+        bare = [self.whole(numbered.dictionary[h].as_py()) for h in heads.tolist()]
+        index[starts] = len(numbered.dictionary) + which
+        places = self.places(numbered.dictionary)
+        del numbered
+        head_sizes = np.array([len(x) // self.ids.itemsize for x in bare], dtype=np.int32)
+        raw = np.concatenate([self.ids, np.frombuffer(b"".join(bare), dtype=self.dtype)])
+        begins = np.concatenate([self.begins[places], len(self.ids) + np.cumsum(head_sizes) - head_sizes]).astype(np.int32)
+        size = np.concatenate([self.sizes[places], head_sizes])[index]
+        # one gather: each word's place among the known ids less its place in the result, spread over its ids
         ends = np.cumsum(size, dtype=np.int32)
-        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[index]
+        shift = begins[index]
         shift -= ends
         shift += size
         at = np.repeat(shift, size)
@@ -175,15 +198,6 @@ class PieceEncoder:
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         return self.encode_array(pa.array(texts, pa.large_string()))
 
-    def _compact(self) -> dict[str, bytes]:
-        """The cache in new storage: words met long apart lie scattered among freed ones and hold whole memory blocks."""
-        keys = "\x00".join(self.words)
-        sizes = list(map(len, self.words.values()))
-        values, ends = b"".join(self.words.values()), list(accumulate(sizes))
-        self.words = self.older = {}
-        words = keys.split("\x00")
-        return {w: values[e - n : e] for w, n, e in zip(words, sizes, ends)} if len(words) == len(sizes) else {}
-
     def careful(self, text: str) -> bytes:
         if any(s in text for s in self.special) or _SEPARATORS.search(text):
             return self.whole(text)
@@ -192,11 +206,9 @@ class PieceEncoder:
     def pieces(self, text: str) -> bytes:
         """A text in which white space stands beside a space."""
         parts = _PIECE.findall(text)
-        plain = [p[0] == " " and len(p) > 1 and not p[1].isspace() for p in parts]
-        new = {p[1:] for p, ok in zip(parts, plain) if ok} - self.words.keys()
-        if new:
-            self.learn(list(new))
-        return b"".join(self.words[p[1:]] if ok else self.whole(p) for p, ok in zip(parts, plain))
+        plain = {p for p in parts if p[0] == " " and len(p) > 1 and not p[1].isspace()}
+        ids = dict(zip(plain, self.of_words([p[1:] for p in plain])))
+        return b"".join(ids[p] if p in ids else self.whole(p) for p in parts)
 
 
 def encoder(path: str) -> PieceEncoder:
