@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.symbols import P, background_context, log_or_zero, probability, reverse_complement, suffixes
+from ..functions.symbols import P, SYMBOLS, background_context, log_or_zero, probability, reverse_complement, suffixes
 from ..session import stored
 from .words import positions
 
@@ -34,8 +34,9 @@ def closest_state(probes: DataFrame, models: DataFrame, order: int, keys: list[s
 
 
 def transition_counts(seqs: DataFrame, order: int) -> DataFrame:
-    """``seq_id, probe, symbol, n``: positions that look the same are scored once; targets of N are skipped."""
-    return positions(seqs, order).where("symbol <> 'N'").groupBy("seq_id", "probe", "symbol").agg(F.count("*").alias("n"))
+    """``seq_id, probe, c_a..c_t``: how often each symbol follows what looks the same; targets of N are skipped."""
+    times = [F.sum((F.col("symbol") == x).cast("long")).alias(f"c_{x.lower()}") for x in SYMBOLS]
+    return positions(seqs, order).where("symbol <> 'N'").groupBy("seq_id", "probe").agg(*times)
 
 
 def _with_background(states: DataFrame, models: DataFrame, background_order: int) -> DataFrame:
@@ -94,8 +95,10 @@ def log_likelihood(seqs: DataFrame, models: DataFrame, own: bool = False, score:
         if scored.count() <= BROADCAST_STATES:
             scored = F.broadcast(scored)
         seen = seen.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
-    met = seen.join(scored, ["model_id", "probe"] if own else ["probe"]).withColumn("s", _score_of("symbol"))
-    sums = met.groupBy("seq_id", "model_id").agg(F.sum(F.col("n") * F.col("s")).alias("ll"), F.sum(F.when(F.col("s") != 0, F.col("n")).otherwise(0)).alias("n_scored"))
+    met = seen.join(scored, ["model_id", "probe"] if own else ["probe"])
+    total = sum((F.col(f"c_{x}") * F.col(f"s_{x}") for x in "acgt"), F.lit(0.0))
+    scored_times = sum((F.when(F.col(f"s_{x}") != 0, F.col(f"c_{x}")).otherwise(0) for x in "acgt"), F.lit(0))
+    sums = met.groupBy("seq_id", "model_id").agg(F.sum(total).alias("ll"), F.sum(scored_times).alias("n_scored"))
     lengths = seqs.select("seq_id", F.length("seq").cast("long").alias("length"))
     ids = lengths.withColumn("model_id", F.col("seq_id")).join(models.select("model_id").distinct(), "model_id", "left_semi") if own else lengths.crossJoin(models.select("model_id").distinct())
     # sequences without a scored position still have a row

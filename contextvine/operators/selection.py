@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import P, SYMBOLS, parent, suffixes
+from ..session import stored
 from .scoring import log_likelihood
 from .training import child_counts, followers, nodes, with_delta, with_probabilities
 from .words import word_counts
@@ -70,8 +71,9 @@ def parameter_grid(seqs: DataFrame, min_counts: Iterable[int], max_depths: Itera
     """
     counts, depths, cuts = sorted(set(min_counts)), sorted(set(max_depths)), sorted(set(map(float, thresholds)))
     spark, top = seqs.sparkSession, len(cuts)
-    words = word_counts(seqs, max(depths) + 1)
-    contexts = with_delta(with_probabilities(nodes(words, seqs, max(depths), min(counts)), followers(words, min(counts)), pseudo_count))
+    words = stored(word_counts(seqs, max(depths) + 1), "words")
+    contexts = stored(with_probabilities(nodes(words, seqs, max(depths), min(counts)), followers(words, min(counts)), pseudo_count), "contexts")
+    contexts = stored(with_delta(contexts), "contexts")
     settings = F.broadcast(spark.createDataFrame([(c, d) for c in counts for d in depths], "min_count int, max_depth int"))
     key = ["model_id", "min_count", "max_depth"]
     rows = _log_gains(words, contexts).crossJoin(settings).where((F.col("context") == "") | ((F.col("count") >= F.col("min_count")) & (F.col("depth") <= F.col("max_depth"))))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import P, SYMBOLS, parent, suffixes
+from ..session import stored
 from .words import word_counts
 
 ROOT_DELTA = 1.7976931348623157e308
@@ -121,10 +122,15 @@ def reprune_support(contexts: DataFrame, min_count: int, max_depth: int) -> Data
 
 
 def train_unpruned(seqs: DataFrame, params: TrainingParams) -> DataFrame:
-    """Contexts with support, their probabilities and deltas."""
-    words = word_counts(seqs, params.max_depth + 1)
+    """Contexts with support, their probabilities and deltas.
+
+    Counts, the one large table, and the contexts are each read several times by
+    what follows, so each is written once.
+    """
+    words = stored(word_counts(seqs, params.max_depth + 1), "words")
     kept = nodes(words, seqs, params.max_depth, params.min_count)
-    return with_delta(with_probabilities(kept, followers(words, params.min_count), params.pseudo_count), params.estimator)
+    contexts = stored(with_probabilities(kept, followers(words, params.min_count), params.pseudo_count), "contexts")
+    return with_delta(contexts, params.estimator)
 
 
 def train(seqs: DataFrame, params: TrainingParams = TrainingParams(), **changes) -> DataFrame:

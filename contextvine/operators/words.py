@@ -5,9 +5,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.symbols import SYMBOLS
+
 #: Symbols of a piece: a substring of UTF-8 text is found by walking from its start, so long texts are cut first.
 PIECE = 128
 
@@ -49,14 +54,62 @@ def tail_counts(seqs: DataFrame, length: int) -> DataFrame:
     return tails.where("tail <> ''").groupBy("seq_id", "tail").agg(F.count("*").alias("n"))
 
 
-def word_counts(seqs: DataFrame, length: int) -> DataFrame:
+def tail_counts_arrow(seqs: DataFrame, length: int, size: int = 1 << 20) -> DataFrame:
+    """The same rows as ``tail_counts``, counted on number-coded symbols of whole pieces.
+
+    A piece's tails are base-4 numbers from a few array operations, so no row per
+    position is made; counts of distinct tails leave the task.  Tails have up to 31
+    symbols.
+    """
+    if length > 31:
+        return tail_counts(seqs, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        code = np.full(256, 4, dtype=np.int64)
+        code[[ord(s) for s in SYMBOLS]] = range(4)
+        letters = np.frombuffer("".join(SYMBOLS).encode(), dtype=np.uint8)
+        for batch in batches:
+            for seq_id, piece, own in zip(*(c.to_pylist() for c in batch.columns)):
+                symbols = code[np.frombuffer(piece.encode(), dtype=np.uint8)]
+                n = len(symbols)
+                stops = np.append(np.flatnonzero(symbols == 4), n)
+                run_length = np.minimum(stops[np.searchsorted(stops, np.arange(own))] - np.arange(own), length)
+                padded = np.append(symbols, np.zeros(length, dtype=np.int64))
+                value, tails, counts = np.zeros(own, dtype=np.int64), [], []
+                for k in range(1, length + 1):
+                    value = value * 4 + padded[k - 1 : k - 1 + own]
+                    here = value[run_length == k]
+                    if not len(here):
+                        continue
+                    if k <= 9:
+                        seen = np.bincount(here, minlength=1)
+                        found = np.flatnonzero(seen)
+                        seen = seen[found]
+                    else:
+                        found, seen = np.unique(here, return_counts=True)
+                    digits = found[:, None] // 4 ** np.arange(k - 1, -1, -1) % 4
+                    text = letters[digits].tobytes().decode()
+                    tails += [text[i : i + k] for i in range(0, len(text), k)]
+                    counts += seen.tolist()
+                if tails:
+                    yield pa.RecordBatch.from_arrays([pa.array([seq_id] * len(tails), pa.string()), pa.array(tails, pa.string()), pa.array(counts, pa.int64())], names=["seq_id", "tail", "n"])
+
+    counted = pieces(seqs, length - 1, size).select(F.col("seq_id").cast("string"), "piece", "own").mapInArrow(run, "seq_id string, tail string, n long")
+    return counted.groupBy("seq_id", "tail").agg(F.sum("n").alias("n"))
+
+
+def word_counts(seqs: DataFrame, length: int, engine: str = "arrow") -> DataFrame:
     """``model_id, word, n`` for all words of A, C, G, T of 1 to ``length`` symbols.
 
     Only different tails are expanded to their prefixes, so the second shuffle
-    carries counts of distinct words, not positions.
+    carries counts of distinct words, not positions.  ``engine``: ``arrow`` counts
+    coded pieces, ``sql`` a row per position; the rows are the same.
     """
+    tails = {"arrow": tail_counts_arrow, "sql": tail_counts}[engine](seqs, length)
     prefixes = F.transform(F.sequence(F.lit(1), F.length("tail")), lambda k: F.left(F.col("tail"), k))
-    return tail_counts(seqs, length).select(F.col("seq_id").alias("model_id"), F.explode(prefixes).alias("word"), "n").groupBy("model_id", "word").agg(F.sum("n").alias("n"))
+    return tails.select(F.col("seq_id").alias("model_id"), F.explode(prefixes).alias("word"), "n").groupBy("model_id", "word").agg(F.sum("n").alias("n"))
 
 
 def find(text: Column, pattern: Column) -> Column:

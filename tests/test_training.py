@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contextvine.functions.symbols import P, all_words, background_context, reverse_complement
 from contextvine.operators import training
-from contextvine.operators.words import PIECE, word_counts
+from contextvine.operators.words import PIECE, tail_counts, tail_counts_arrow, word_counts
 from contextvine.sources.trees import load_models, parse_trees, to_tree_text
 
 
@@ -98,9 +98,12 @@ def test_pruning_equals_the_iterative_one(spark, seed):
 
 
 def test_counts_across_pieces_of_a_long_sequence(spark):
-    seq = random_sequence(9, 2 * PIECE + 37, "ACGTN")
-    want = Counter(seq[i : i + k] for i in range(len(seq)) for k in (1, 2, 3) if i + k <= len(seq) and "N" not in seq[i : i + k])
-    assert {r.word: r.n for r in word_counts(one(spark, seq), 3).collect()} == dict(want)
+    seq = random_sequence(9, 2 * PIECE + 37, "ACGTACGTN")
+    for length, engine in ((3, "sql"), (3, "arrow"), (12, "arrow"), (12, "sql")):
+        want = Counter(seq[i : i + k] for i in range(len(seq)) for k in range(1, length + 1) if i + k <= len(seq) and "N" not in seq[i : i + k])
+        assert {r.word: r.n for r in word_counts(one(spark, seq), length, engine).collect()} == dict(want)
+    cut = {(r.tail, r.n) for r in tail_counts_arrow(one(spark, seq), 4, 50).collect()}
+    assert cut == {(r.tail, r.n) for r in tail_counts(one(spark, seq), 4).collect()}
 
 
 def test_empty_and_unusual_sequences(spark):
