@@ -50,7 +50,7 @@ class PieceEncoder:
     of each word's; words not met for long make room for new ones.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000, chunk_chars: int = 200_000) -> None:
+    def __init__(self, path: str, cache_size: int = 250_000, chunk_chars: int = 200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -218,7 +218,7 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def slices(texts: pa.Array, most_bytes: int = 10_000_000):
+def slices(texts: pa.Array, most_bytes: int = 3_000_000):
     """Ranges of an Arrow array of strings of a bounded size each (one text at least)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
