@@ -4,8 +4,10 @@ A vector is cut in subspaces of a few dimensions, each coded by one of 16
 centroids.  Codes and centroids minimise a score-aware loss: the part of the
 residual parallel to the vector, which shifts its inner products with the queries
 it is near to, costs more than the orthogonal part.  A query's inner products with
-all centroids are a table; blocks of candidates are scanned through the tables and
-the best of each block are scored again on the original vectors.
+all centroids are a table; blocks of candidates are scanned through the tables.  A
+score differs from its approximation by at most the norms of the query and of the
+residual, so every candidate that this bound lets among the best is scored again on
+the original vectors, and the result is exact.
 """
 
 from __future__ import annotations
@@ -117,6 +119,69 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
+class CandidateBlock:
+    """Coded candidates: each distinct vector once, with the sorted ids that have it."""
+
+    def __init__(self, quantiser: AnisotropicQuantiser, ids: np.ndarray, x: np.ndarray) -> None:
+        x = np.ascontiguousarray(x) + 0.0  # one zero only
+        _, first, group = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_index=True, return_inverse=True)
+        order = np.lexsort((ids, group))
+        self.quantiser, self.x, self.ids = quantiser, x[first], ids[order]
+        self.starts = np.searchsorted(group[order], np.arange(len(first) + 1))
+        self.counts = np.diff(self.starts)
+        self.groups_of: dict[int, list[int]] = {}
+        for i, g in zip(ids.tolist(), group.tolist()):
+            self.groups_of.setdefault(i, []).append(g)
+        codes = quantiser.encode(self.x)
+        decoded = quantiser.decode(codes)
+        self.packed = quantiser.pack(codes)
+        # what a query's norm is multiplied by: the residual, and the rounding of the scan's sums
+        self.error = np.linalg.norm(self.x - decoded, axis=1) + (decoded.shape[1] + 8) * 2.0**-23 * np.linalg.norm(decoded, axis=1)
+        self.largest = np.linalg.norm(self.x, axis=1).max()
+
+    def _kth(self, scores: np.ndarray, counts: np.ndarray, k: int) -> float:
+        """The ``k``-th largest score where each counts as often as ids have it."""
+        order = np.argsort(-scores)
+        at = np.searchsorted(np.cumsum(counts[order]), k)
+        return scores[order[at]] if at < len(order) else -np.inf
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(query_id, ids, scores)`` of the ``k`` largest inner products of each query, ties to the smaller id."""
+        norms = np.linalg.norm(queries, axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            bounds = self.quantiser.scan(queries, self.packed) + norms[:, None] * self.error
+        bounds[~np.isfinite(bounds)] = np.inf
+        first, least, counts = [], np.empty(len(queries)), []
+        for q, line in enumerate(bounds):
+            own = self.counts.copy()
+            for g in self.groups_of.get(int(query_ids[q]), ()):
+                own[g] -= 1
+            counts.append(own)
+            near = _best(line, rerank)
+            least[q] = self._kth((self.x[near] * queries[q]).sum(1), own[near], k)
+        slack = norms * self.largest * queries.shape[1] * 2.0**-50
+        open_ = bounds >= (least - slack)[:, None]
+        columns = np.flatnonzero(open_.any(0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            products = queries @ self.x[columns].T
+        for q in range(len(queries)):
+            # products narrow the open ones; the sums below do not depend on a vector's place
+            among = np.flatnonzero(open_[q, columns] & ~(products[q] < least[q] - slack[q]))
+            if len(among) > rerank:
+                line = products[q, among]
+                among = among[~(line < self._kth(line, counts[q][columns[among]], k) - slack[q])]
+            near = columns[among]
+            exact = (self.x[near] * queries[q]).sum(1)
+            limit = self._kth(exact, counts[q][near], k)
+            near, exact = near[exact >= limit], exact[exact >= limit]
+            some = np.minimum(self.counts[near], k + len(self.groups_of.get(int(query_ids[q]), ())))
+            ids = np.concatenate([self.ids[a : a + n] for a, n in zip(self.starts[near], some)]) if len(near) else self.ids[:0]
+            scores = np.repeat(exact, some)
+            ids, scores = ids[ids != query_ids[q]], scores[ids != query_ids[q]]
+            order = np.lexsort((ids, -scores))[:k]
+            yield int(query_ids[q]), ids[order], scores[order]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 4096, rerank: int = 120, fit_rows: int = 8000, dimension: int | None = None) -> DataFrame:
     """The ``k`` candidates of largest inner product for each query: ``query_id, rank, vec_id, score``.
 
@@ -125,6 +190,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     its vector count once; ties go to the smaller id.  Fewer candidates than ``k``
     give as many rows; an empty table gives none.  The quantiser is fitted on
     about ``fit_rows`` vectors chosen by a hash of the id; every vector is coded.
+    ``rerank`` candidates of a block are scored exactly to find what the others
+    must reach; all whose bound reaches it are scored too, so nothing is missed.
 
     Work is a grid of candidate blocks and query blocks, each of about
     ``block_rows`` rows; a task holds one block of candidates and streams queries.
@@ -154,7 +221,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     dealt = candidates.unionByName(queries).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "cell").sortWithinPartitions("cell", "role", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, parts, block, packed, ids = None, [], None, None, None
+        cell, parts, block = None, [], None
         for batch in batches:
             cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             batch_ids = batch.column(2).to_numpy()
@@ -169,20 +236,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 if not parts and block is None:
                     continue
                 if block is None:
-                    ids, block = (np.concatenate(p) for p in zip(*parts))
-                    packed, parts = quantiser.pack(quantiser.encode(block)), []
+                    block, parts = CandidateBlock(quantiser, *(np.concatenate(p) for p in zip(*parts))), []
                 for at in range(lo, hi, 64):
                     end = min(at + 64, hi)
-                    approximate = quantiser.scan(x[at:end], packed)
                     out: list[list] = [[], [], []]
-                    for q, line in zip(range(at, end), approximate):
-                        near = _best(np.where(ids == batch_ids[q], -np.inf, line), rerank)
-                        near = near[ids[near] != batch_ids[q]]
-                        exact = (block[near] * x[q]).sum(1)
-                        order = np.lexsort((ids[near], -exact))[:k]
-                        out[0] += [batch_ids[q]] * len(order)
-                        out[1] += ids[near][order].tolist()
-                        out[2] += exact[order].tolist()
+                    for q, near, exact in block.nearest(batch_ids[at:end], x[at:end], k, rerank):
+                        out[0] += [q] * len(near)
+                        out[1] += near.tolist()
+                        out[2] += exact.tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(trimmed(run), "query_id long, vec_id long, score double")

@@ -163,6 +163,20 @@ def test_search(spark):
     assert len(few) == 20 and max(r["rank"] for r in few) == 4
 
 
+def test_search_finds_all_among_near_copies(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x[::3] = x[0] + 0.02 * rng.normal(size=(1000, 32))
+    x[1::30] = x[1]  # and exact copies
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = dict(enumerate(x.tolist()))
+    df = spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    want = brute_search(vectors, 20, lambda i: i % 50 == 0)
+    found = len({(q, i) for q, _, i in got} & {(q, i) for q, _, i in want}) / len(want)
+    assert found == 1.0 and got == want, found
+
+
 def test_anisotropic_loss_keeps_inner_products():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1500, 16))
