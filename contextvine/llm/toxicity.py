@@ -1,10 +1,11 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled documents is indexed: per term a posting list, cut
-in blocks of examples, with the largest weight of each block.  For a document the
-blocks' upper bounds are summed over its terms; blocks are scored exactly from the
-highest bound down until no bound can reach the k-th best similarity.  The votes
-of the nearest, weighted by closeness, are turned into a probability by isotonic
+A bounded sample of labelled documents is indexed with all its terms: per term a
+posting list, cut in blocks of examples, with the largest weight of each block;
+the most common terms, whose lists would be long, are columns of a matrix.  For a
+document the blocks' upper bounds are summed over its terms; the blocks of highest
+bound are scored, then all others whose bound can reach the k-th best similarity,
+and what comes near it is summed again in double precision.  The votes of the nearest, weighted by closeness, are turned into a probability by isotonic
 regression over left-out votes of the examples.
 """
 
@@ -14,9 +15,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,28 +49,37 @@ def count_terms(text: str | None) -> Counter:
 
 
 class Vocabulary:
-    """Places of a bounded list of terms; remembers the places of the words it has met."""
+    """Places of a list of terms that holds the beginnings of its words; remembers the places of the words it has met."""
 
     def __init__(self, terms: list[str]) -> None:
         self.at = {t: i for i, t in enumerate(terms)}
         self.met: dict[str, tuple[int, ...]] = {}
 
+    def __reduce__(self):
+        return Vocabulary, (list(self.at),)
+
     def of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.met) > 400_000:
+        if len(self.met) > 200_000:
             self.met.clear()
-        found = self.met[word] = tuple(i for t in terms_of(word) if (i := self.at.get(t)) is not None)
+        places = []
+        for t in [*(f"{word[:n]}*" for n in STEMS if len(word) > n), word]:
+            if (i := self.at.get(t)) is None:  # where a beginning is no term, nothing longer is
+                break
+            places.append(i)
+        found = self.met[word] = tuple(places)
         return found
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        """How often each term of the vocabulary occurs in a text."""
-        out: dict[int, int] = {}
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that a text holds, ascending, and how often."""
+        seen = Counter(words(text))
         get = self.met.get
-        for w in words(text):
-            if (places := get(w)) is None:
-                places = self.of_word(w)
-            for i in places:
-                out[i] = out.get(i, 0) + 1
-        return out
+        places = [found if (found := get(w)) is not None else self.of_word(w) for w in seen]
+        flat = np.fromiter(chain.from_iterable(places), dtype=np.int64)
+        if not len(flat):
+            return flat, flat
+        times = np.repeat(np.fromiter(seen.values(), dtype=np.int64), np.fromiter(map(len, places), dtype=np.int64))
+        terms, at = np.unique(flat, return_inverse=True)
+        return terms, np.bincount(at, weights=times).astype(np.int64)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,57 +102,143 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array(knots), np.array(values)
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+#: A vector: ascending terms and their weights.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors over a bounded vocabulary."""
+    """Examples as unit TF-IDF vectors; equal vectors stand once, with the examples that have them.
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], n_terms: int, block: int = 64) -> None:
+    Terms that more than ``common`` of the vectors hold, ``most_columns`` of them at
+    most, are columns of a matrix; all others have posting lists cut in blocks.
+    """
+
+    def __init__(self, vectors: list[dict[int, float] | Sparse], labels: list[int], n_terms: int, block: int = 64, common: float = 0.03, most_columns: int = 4096) -> None:
+        self.labels = np.array(labels, dtype=np.float64)
+        groups: dict[bytes, list[int]] = {}
+        distinct: list[Sparse] = []
+        for i, v in enumerate(vectors):
+            terms, weights = self._sparse(v)
+            members = groups.setdefault(blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest(), [])
+            if not members:
+                distinct.append((terms, weights))
+            members.append(i)
         # examples with the same strongest terms stand together, so bounds of blocks differ
-        order = sorted(range(len(vectors)), key=lambda i: ([t for t, _ in sorted(vectors[i].items(), key=lambda e: (-e[1], e[0]))[:3]], i))
-        self.original = np.array(order, dtype=np.int64)
-        self.labels = np.array([labels[i] for i in order], dtype=np.float64)
-        self.block, n_blocks = block, -(-len(order) // block)
-        self.bounds = np.zeros((n_terms, n_blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((place, w))
-                self.bounds[t, place // block] = max(self.bounds[t, place // block], w)
-        self.places = [np.array([p for p, _ in x], dtype=np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(p, np.arange(n_blocks + 1) * block) for p in self.places]
-
-    def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
+        order = sorted(range(len(distinct)), key=lambda i: (distinct[i][0][np.argsort(-distinct[i][1], kind="stable")[:3]].tolist(), i))
+        held = list(groups.values())
+        self.members = [np.array(held[i]) for i in order]
+        distinct = [distinct[i] for i in order]
+        self.block, self.n = block, len(distinct)
+        self.n_blocks = -(-self.n // block)
+        self.offsets = np.cumsum([0, *(len(t) for t, _ in distinct)])
+        self.terms = np.concatenate([t for t, _ in distinct] or [np.empty(0)]).astype(np.int32)
+        self.weights = np.concatenate([w for _, w in distinct] or [np.empty(0)]).astype(np.float64)
+        self.n_terms, self.common, self.most_columns = n_terms, common, most_columns
+        self._build()
+
+    def __getstate__(self) -> dict:
+        return {n: getattr(self, n) for n in ("labels", "members", "block", "n", "n_blocks", "offsets", "terms", "weights", "n_terms", "common", "most_columns")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._build()
+
+    def _build(self) -> None:
+        """The matrix and the lists; they are built where they are used, as they are larger than the vectors."""
+        n_terms, block = self.n_terms, self.block
+        seen = np.bincount(self.terms, minlength=n_terms)
+        columns = np.argsort(-seen, kind="stable")[: self.most_columns]
+        columns = columns[seen[columns] > self.common * self.n]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[columns] = np.arange(len(columns))
+        self.matrix = np.zeros((len(columns), self.n_blocks * block), dtype=np.float32)
+        place = np.repeat(np.arange(self.n), np.diff(self.offsets))
+        dense = self.column[self.terms] >= 0
+        self.matrix[self.column[self.terms[dense]], place[dense]] = self.weights[dense]
+        rare_terms, rare_places, rare_weights = self.terms[~dense], place[~dense], self.weights[~dense]
+        by_term = np.lexsort((rare_places, rare_terms))
+        rare_terms = rare_terms[by_term]
+        self.places, self.values = rare_places[by_term].astype(np.int32), rare_weights[by_term]
+        # a stretch is the part of a term's list in one block
+        edge = np.flatnonzero(np.diff(rare_terms.astype(np.int64) * (self.n_blocks + 1) + self.places // block, prepend=-1))
+        self.stretch_start = np.append(edge, len(rare_terms))
+        self.stretch_block = self.places[edge] // block
+        self.stretch_most = np.maximum.reduceat(self.values, edge) if len(edge) else np.empty(0)
+        self.stretches = np.searchsorted(rare_terms[edge], np.arange(n_terms + 1)).astype(np.int32)
+        self.slack = 4 * (len(columns) + 4) * 2.0**-24
+
+    @staticmethod
+    def _sparse(v: dict[int, float] | Sparse) -> Sparse:
+        if isinstance(v, dict):
+            return np.array(sorted(v), dtype=np.int64), np.array([v[t] for t in sorted(v)], dtype=np.float64)
+        return v
+
+    def nearest(self, query: dict[int, float] | Sparse, k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The ``k`` examples of largest positive cosine, ties to the earlier example: ``(similarity, example)``."""
-        if not query or not len(self.labels):
+        return self.nearest_of([query], k, [without])[0]
+
+    def nearest_of(self, queries: list[dict[int, float] | Sparse], k: int, without: list[int | None]) -> list[list[tuple[float, int]]]:
+        """The same for several queries at once."""
+        queries = [self._sparse(q) for q in queries]
+        if not self.n:
+            return [[] for _ in queries]
+        common = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
+        for line, (terms, weights) in zip(common, queries):
+            at = self.column[terms]
+            line[at[at >= 0]] = weights[at >= 0]
+        scores = (common @ self.matrix).astype(np.float64)
+        return [self._nearest(q, line, k, w) if len(q[0]) else [] for q, line, w in zip(queries, scores, without)]
+
+    def _nearest(self, query: Sparse, scores: np.ndarray, k: int, without: int | None) -> list[tuple[float, int]]:
+        terms, weights = query
+        rare = self.column[terms] < 0
+        first = self.stretches[terms[rare]]
+        n = self.stretches[terms[rare] + 1] - first
+        stretch, weight = _ranges(first, n), np.repeat(weights[rare], n)
+        blocks = self.stretch_block[stretch]
+        bound = scores.reshape(-1, self.block).max(1) + np.bincount(blocks, weights=weight * self.stretch_most[stretch], minlength=self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        wanted = k + (without is not None)
+        open_ = np.zeros(self.n_blocks, dtype=bool)
+        head = -(-wanted // self.block) + 2
+        for chosen in (order[:head], order[head:]):
+            if len(chosen) and open_.any():
+                known = scores.reshape(-1, self.block)[open_].ravel()
+                least = np.partition(known, len(known) - wanted)[len(known) - wanted] if len(known) >= wanted else -np.inf
+                chosen = chosen[bound[chosen] >= least - self.slack]
+            now = np.zeros(self.n_blocks, dtype=bool)
+            now[chosen] = True
+            open_ |= now
+            s, w = stretch[now[blocks]], weight[now[blocks]]
+            lengths = self.stretch_start[s + 1] - self.stretch_start[s]
+            at = _ranges(self.stretch_start[s], lengths)
+            scores += np.bincount(self.places[at], weights=np.repeat(w, lengths) * self.values[at], minlength=len(scores))
+        scores = np.where(np.repeat(open_, self.block), scores, -1.0)[: self.n]
+        least = np.partition(scores, self.n - wanted)[self.n - wanted] if self.n > wanted else 0.0
+        near = np.flatnonzero((scores >= least - self.slack) & (scores > 0))
+        if not len(near):
             return []
-        own = sorted(query)
-        weight = [query[t] for t in own]
-        bound = np.array(weight) @ self.bounds[own]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(own, weight):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    scores[self.places[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
-            for at in np.flatnonzero(scores > 0):
-                example = int(self.original[b * self.block + at])
-                if example != without:
-                    best.append((-round(float(scores[at]), 12), example))
-            best = sorted(best)[: max(k, 1)]
-        return [(-s, e) for s, e in best]
+        full = np.zeros(self.n_terms)
+        full[terms] = weights
+        lengths = self.offsets[near + 1] - self.offsets[near]
+        at = _ranges(self.offsets[near], lengths)
+        exact = np.add.reduceat(full[self.terms[at]] * self.weights[at], np.cumsum(lengths) - lengths)
+        best = sorted((-round(float(e), 12), int(i)) for p, e in zip(near, exact) for i in self.members[p][:wanted] if e > 0 and i != without)[:k]
+        return [(-e, i) for e, i in best]
 
 
 class Model:
     """A vocabulary of terms with their weights, the index of examples and the calibration."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int | None, int, dict[str, int]]], base_rate: float, k: int = 15) -> None:
+    def __init__(self, vocabulary: list[str], weights: np.ndarray, examples: list[tuple[int | None, int, Sparse]], base_rate: float, k: int = 15) -> None:
         self.vocabulary = Vocabulary(vocabulary)
-        self.idf, self.k = idf, k
-        at = self.vocabulary.at
-        vectors = [self.vector({at[t]: n for t, n in counts.items()}) for _, _, counts in examples]
+        self.weights, self.k = weights, k
+        vectors = [self.vector(*counts) for _, _, counts in examples]
         labels = [y for _, y, _ in examples]
         self.ids = [i for i, _, _ in examples]
         self.index = BlockMaxIndex(vectors, labels, max(1, len(vocabulary)))
@@ -147,41 +246,43 @@ class Model:
         share = self.labels.mean() if labels else 0.0
         # the sample holds more toxic rows than the corpus: weights restore the rate of the labelled rows
         self.weight = {1: base_rate / share if share else 1.0, 0: (1 - base_rate) / (1 - share) if share < 1 else 1.0}
-        votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)]) if labels else np.empty(0)
+        votes = np.array([v for v, _ in self.votes(vectors, list(range(len(vectors))))])
         weights = np.array([self.weight[y] for y in labels])
         none = votes < 0
         mass, toxic = weights[none].sum(), (weights * self.labels)[none].sum() if labels else 0.0
         self.without = float((toxic + base_rate) / (mass + 1))
         self.knots, self.values = isotonic(votes[~none], self.labels[~none], weights[~none]) if (~none).any() else (np.array([0.0]), np.array([base_rate]))
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {i: (1 + math.log(n)) * self.idf[i] for i, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {i: w / norm for i, w in raw.items()} if norm else {}
-
-    def vote(self, vector: dict[int, float], without: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-        """Share of toxic among the nearest, closer ones counting more; -1 where no example shares a term."""
-        near = self.index.nearest(vector, self.k, without)
-        if not near:
-            return -1.0, near
-        closeness = np.array([self.weight[int(self.labels[e])] / (1.05 - min(1.0, s)) for s, e in near])
-        return float(closeness @ self.labels[[e for _, e in near]] / closeness.sum()), near
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> Sparse:
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        return terms, raw / (math.sqrt((raw * raw).sum()) or 1.0)
+
+    def votes(self, vectors: list[Sparse], without: list[int | None], at_once: int = 64) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Shares of toxic among the nearest, closer ones counting more; -1 where no example shares a term."""
+        out = []
+        for at in range(0, len(vectors), at_once):
+            for near in self.index.nearest_of(vectors[at : at + at_once], self.k, without[at : at + at_once]):
+                if not near:
+                    out.append((-1.0, near))
+                    continue
+                closeness = np.array([self.weight[int(self.labels[e])] / (1.05 - min(1.0, s)) for s, e in near])
+                out.append((float(closeness @ self.labels[[e for _, e in near]] / closeness.sum()), near))
+        return out
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        vote, near = self.vote(self.vector(self.vocabulary.counts(text)))
-        if vote < 0:
-            return self.without, near
-        return float(min(1.0, max(0.0, np.interp(vote, self.knots, self.values)))), near
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        voted = self.votes([self.vector(*self.vocabulary.counts(t)) for t in texts], [None] * len(texts))
+        return [(self.without if vote < 0 else float(min(1.0, max(0.0, np.interp(vote, self.knots, self.values)))), near) for vote, near in voted]
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_toxic: int = 1500, sample_clean: int = 3000, most_terms: int = 512, least_surprise: float = 15.0, least_lift: float = 5.0, least_docs: int = 4, k: int = 15) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_toxic: int = 1500, sample_clean: int = 3000, sure_surprise: float = 15.0, sure_lift: float = 5.0, least_weight: float = 0.03, k: int = 15) -> Model:
     """Fit on a sample of at most about ``sample_toxic + sample_clean`` labelled rows, chosen by a hash of the id.
 
-    ``labels`` holds the rows that may be learned from.  Terms are the at most
-    ``most_terms`` of largest log-likelihood ratio among those at least
-    ``least_lift`` times as frequent in toxic rows; their document frequencies
-    come from all of ``docs``.  A label repeated for an id
-    counts once, toxic if any row says so.
+    ``labels`` holds the rows that may be learned from.  All terms of the sample
+    count; their document frequencies come from all of ``docs``.  A term weighs its
+    inverse document frequency times a factor: 1 from a log-likelihood ratio of
+    ``sure_surprise`` and a frequency in toxic rows ``sure_lift`` times that in clean
+    ones on, less below, and never less than ``least_weight``.  A label repeated for
+    an id counts once, toxic if any row says so.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -200,23 +301,43 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([list(found)], pa.list_(pa.string())), pa.array([list(found.values())], pa.list_(pa.int32()))], names=["doc_id", "y", "terms", "counts"])
 
     sample = materialise(body.select("doc_id", "text", "y").mapInArrow(trimmed(tally), "doc_id long, y int, terms array<string>, counts array<int>"), "toxicity-sample")
-    n1, n0 = (sample.where(F.col("y") == y).count() for y in (1, 0))
-    per_term = sample.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    a, b, n = F.col("a"), F.col("b"), float(n1 + n0)
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-    both = a + b
-    surprise = 2 * (part(a, both * n1 / n) + part(b, both * n0 / n) + part(n1 - a, (n - both) * n1 / n) + part(n0 - b, (n - both) * n0 / n)) if n1 and n0 else F.lit(0.0)
-    best = per_term.where((both >= least_docs) & (a * n0 >= least_lift * b * n1)).withColumn("g", surprise).where(F.col("g") >= least_surprise).orderBy(F.col("g").desc(), "term").limit(most_terms)
-    vocabulary = sorted(r.term for r in best.select("term").collect())
-    idf = inverse_frequencies(docs.select(F.col(text).alias("text")), vocabulary)
-    kept = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    slim = sample.select("doc_id", "y", F.filter(F.arrays_zip("terms", "counts"), lambda e: F.array_contains(kept, e["terms"])).alias("found"))
-    examples = sorted(((r.doc_id, r.y, {e["terms"]: e["counts"] for e in r.found}) for r in slim.collect()), key=lambda e: e[0])
-    return Model(vocabulary, idf, examples, base_rate, k)
+    held = sample.toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    ids, y = held["doc_id"].to_pylist(), held["y"].to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(held["terms"]).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(held["terms"]).combine_chunks().dictionary_encode() if len(ids) else pa.array([], pa.string()).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    vocabulary = coded.dictionary.take(pa.array(order)).to_pylist()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    terms = place[coded.indices.to_numpy()]
+    counts = pc.list_flatten(held["counts"]).to_numpy() if len(ids) else np.empty(0)
+    del held, coded
+    toxic = np.repeat(y == 1, lengths)
+    a, b = (np.bincount(terms[m], minlength=len(order)).astype(np.float64) for m in (toxic, ~toxic))
+    factor = np.maximum(least_weight, _toxic_weight(a, b, int((y == 1).sum()), int((y == 0).sum()), sure_surprise, sure_lift))
+    weights = inverse_frequencies(docs.select(F.col(text).alias("text")), vocabulary) * factor
+    examples = []
+    for i, label_, at, n in zip(ids, y.tolist(), (np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+        own = np.argsort(terms[at : at + n])
+        examples.append((i, label_, (terms[at : at + n][own].astype(np.int32), counts[at : at + n][own])))
+    del terms, counts, toxic
+    return Model(vocabulary, weights, examples, base_rate, k)
+
+
+def _toxic_weight(a: np.ndarray, b: np.ndarray, n1: int, n0: int, sure_surprise: float, sure_lift: float) -> np.ndarray:
+    """From 0 to 1: how surely terms in ``a`` of ``n1`` toxic and ``b`` of ``n0`` clean rows are more frequent in toxic ones."""
+    if not n1 or not n0:
+        return np.ones(len(a))
+    both, n = a + b, float(n1 + n0)
+    part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+    surprise = 2 * (part(a, both * n1 / n) + part(b, both * n0 / n) + part(n1 - a, (n - both) * n1 / n) + part(n0 - b, (n - both) * n0 / n))
+    lift = np.log(np.maximum(a * n0, 1e-300)) - np.log(np.maximum(b * n1, 1e-300))
+    return np.clip(surprise / sure_surprise, 0, 1) ** 2 * np.clip(lift / math.log(sure_lift), 0, 1) ** 2
 
 
 def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
-    """Smoothed inverse document frequencies of a bounded vocabulary over all rows of ``docs``."""
+    """Smoothed inverse document frequencies of a vocabulary over all rows of ``docs``."""
     known = Vocabulary(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +345,20 @@ def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
         for batch in batches:
             for t in batch.column(0):
                 n += 1
-                for i in known.counts(t.as_py()):
-                    held[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(held)), -1), pa.int32()), pa.array(np.append(held, n))], names=["term", "n"])
+                held[known.counts(t.as_py())[0]] += 1
+        met = np.flatnonzero(held)
+        for at in range(0, len(met), 10_000):
+            some = met[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["term", "n"])
 
     if not vocabulary:
         return np.empty(0)
-    found = {r.term: r.n for r in docs.mapInArrow(trimmed(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = found.get(-1, 0)
-    return np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    found = docs.mapInArrow(trimmed(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
+    held, total = np.zeros(len(vocabulary)), n[term < 0].sum()
+    held[term[term >= 0]] = n[term >= 0]
+    return np.log((1 + total) / (1 + held)) + 1
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, evidence: int = 3) -> DataFrame:
@@ -242,11 +368,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     calibrated rate of such examples.  Repeated rows repeat; empty stays empty.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # loaded once per worker, not per task
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             scores, ids, sims = [], [], []
-            for t in batch.column(1):
-                s, near = model.score(t.as_py())
+            for s, near in model.scores(batch.column(1).to_pylist()):
                 scores.append(s)
                 ids.append([model.ids[e] for _, e in near[:evidence]])
                 sims.append([c for c, _ in near[:evidence]])

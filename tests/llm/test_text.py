@@ -138,6 +138,28 @@ def test_toxicity(spark, edge):
     assert {r.predicted for r in toxicity.score(docs, nothing).collect()} == {0}
 
 
+def test_toxicity_finds_a_copy_without_frequent_toxic_words(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(200)]) for _ in range(30)) + (" vile" if i % 7 == 0 and i != 210 else ""), int(i % 7 == 0)) for i in range(420)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, rows[210][1]), (1001, rows[5][1])], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for copy, example in ((1000, 210), (1001, 5)):
+        assert got[copy].evidence[0] == example and got[copy].similarity[0] == pytest.approx(1.0)
+
+
+def test_nearest_with_lists_and_columns():
+    rng = random.Random(14)
+    unit = lambda v: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()}
+    vectors = [unit({int(400 * rng.random() ** 3): rng.random() + 0.1 for _ in range(rng.randint(1, 12))}) for _ in range(400)]
+    vectors += vectors[:100]  # equal ones
+    index = toxicity.BlockMaxIndex(vectors, [0] * 500, 400, block=16)
+    assert 0 < len(index.matrix) < 400 and len(index.places)
+    for i, q in enumerate(vectors[:120]):
+        brute = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), j) for j, v in enumerate(vectors) if j != i)
+        assert [(j, pytest.approx(s)) for s, j in index.nearest(q, 10, i)] == [(j, -s) for s, j in brute if s < 0][:10]
+
+
 def brute_search(rows, k, is_query):
     out = []
     for i, q in sorted(rows.items()):
