@@ -142,24 +142,91 @@ def search(seqs: DataFrame, patterns: DataFrame) -> DataFrame:
     return out
 
 
-def substring_labels(seqs: DataFrame, most: int) -> DataFrame:
+def suffix_order(seq: str):
+    """Starts of the suffixes in order (prefix doubling), and the symbols each shares with the one before."""
+    import numpy as np
+
+    n = len(seq)
+    rank = np.unique(np.frombuffer(seq.encode("utf-32-le"), dtype="<u4"), return_inverse=True)[1].astype(np.int64)
+    order, width = np.argsort(rank, kind="stable"), 1
+    while n > 1 and rank.max() < n - 1:
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
+        width *= 2
+    starts, places = order.tolist(), np.argsort(order).tolist()
+    shared, h = [0] * n, 0
+    for i, p in enumerate(places):
+        if p == 0:
+            h = 0
+            continue
+        j = starts[p - 1]
+        while i + h < n and j + h < n and seq[i + h] == seq[j + h]:
+            h += 1
+        shared[p] = h
+        h = max(0, h - 1)
+    return starts, shared
+
+
+def suffix_nodes(seq: str) -> Iterator[tuple[int, int, int]]:
+    """``(start, length, n)`` of the explicit nodes of a suffix tree but for the root: linear many, without their texts."""
+    n = len(seq)
+    starts, shared = suffix_order(seq) if n else ([], [])
+    shared = [*shared, 0]
+    stack: list[tuple[int, int]] = []  # open repeats: length and the place of their first suffix
+    for p in range(n):
+        if n - starts[p] > max(shared[p], shared[p + 1]):
+            yield starts[p], n - starts[p], 1
+        left, least = p, shared[p + 1]
+        while stack and stack[-1][0] > least:
+            length, left = stack.pop()
+            yield starts[left], length, p + 1 - left
+        if least and (not stack or stack[-1][0] < least):
+            stack.append((least, left))
+
+
+def _node_rows(seqs: DataFrame, texts: bool) -> DataFrame:
+    """``seq_id, seq, nodes``: nodes in portions; where their texts are wanted a portion is worth carrying the sequence along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("n", pa.int64())]))
+        for batch in batches:
+            for seq_id, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                portion, size = [], 0
+                for start, length, n in suffix_nodes(seq or ""):
+                    portion.append({"start": start, "length": length, "n": n})
+                    size += length
+                    if len(portion) >= 1 << 16 or texts and size >= max(1 << 20, 4 * len(seq)):
+                        yield pa.RecordBatch.from_arrays([pa.array([seq_id], pa.string()), pa.array([seq if texts else ""], pa.string()), pa.array([portion], kind)], names=["seq_id", "seq", "nodes"])
+                        portion, size = [], 0
+                if portion:
+                    yield pa.RecordBatch.from_arrays([pa.array([seq_id], pa.string()), pa.array([seq if texts else ""], pa.string()), pa.array([portion], kind)], names=["seq_id", "seq", "nodes"])
+
+    rows = seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, seq string, nodes array<struct<start: long, length: long, n: long>>")
+    return rows.select(F.col("seq_id").cast(seqs.schema["seq_id"].dataType).alias("seq_id"), "seq", "nodes")
+
+
+def substring_labels(seqs: DataFrame, most: int | None = None) -> DataFrame:
     """``seq_id, label, n``: the explicit nodes of a suffix tree as a relation.
 
-    Substrings of at most ``most`` symbols that different symbols (or the end)
-    follow, with their counts, and every suffix that occurs once as a substring,
-    the empty one too; the root is left out.  N counts as a symbol here.
+    Substrings that different symbols (or the end) follow, with their counts, and
+    every suffix that occurs once as a substring, the empty one too; the root is
+    left out.  N counts as a symbol here.  With ``most``, labels of at most so many
+    symbols.  Nodes come from a suffix array, a sequence per task; their texts, whose
+    length grows with the square of the sequence's, are cut in other tasks.
     """
-    cut = seqs.select("seq_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq"))).alias("i"))
-    longest = F.least(F.lit(most), F.length("seq") - F.col("i") + 1)
-    words = cut.select("seq_id", "seq", "i", F.explode(F.sequence(F.lit(1), longest)).alias("k"))
-    word = F.substring(F.col("seq"), F.col("i"), F.col("k"))
-    follower = F.substring(F.col("seq"), F.col("i") + F.col("k"), F.lit(1))  # empty at the end
-    at_end = F.max(F.col("i") + F.col("k") > F.length("seq"))
-    counts = words.groupBy("seq_id", word.alias("label")).agg(F.count("*").alias("n"), F.count_distinct(follower).alias("followers"), at_end.alias("at_end"))
-    inner = counts.where("followers > 1 or (n = 1 and at_end)").select("seq_id", "label", "n")
-    return inner.unionByName(seqs.select("seq_id", F.lit("").alias("label"), F.lit(1).cast("long").alias("n")))
-
-
-def height(seqs: DataFrame, most: int) -> DataFrame:
-    """The length of the longest repeated substring of each sequence, up to ``most``."""
-    return substring_labels(seqs, most).where("n > 1").groupBy("seq_id").agg(F.max(F.length("label")).cast("long").alias("height"))
+    at = _node_rows(seqs, True).repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("seq_id", "seq", F.explode("nodes").alias("at"))
+    if most is not None:
+        at = at.where(F.col("at.length") <= most)
+    label = F.substring(F.col("seq"), (F.col("at.start") + 1).cast("int"), F.col("at.length").cast("int"))
+    return at.select("seq_id", label.alias("label"), F.col("at.n").alias("n")).unionByName(seqs.select("seq_id", F.lit("").alias("label"), F.lit(1).cast("long").alias("n")))
+
+
+def height(seqs: DataFrame, most: int | None = None) -> DataFrame:
+    """The length of the longest repeated substring of each sequence; with ``most``, of the longest explicit node up to it."""
+    at = _node_rows(seqs, False).select("seq_id", F.explode("nodes").alias("at")).where("at.n > 1")
+    if most is not None:
+        at = at.where(F.col("at.length") <= most)
+    return at.groupBy("seq_id").agg(F.max("at.length").alias("height"))

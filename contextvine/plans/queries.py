@@ -315,12 +315,12 @@ def search_pattern(spark, sf):
 
 @query
 def substring_labels(spark, sf):
-    return words.substring_labels(sequences(spark, sf), 100)
+    return words.substring_labels(sequences(spark, sf))
 
 
 @query
 def tree_height(spark, sf):
-    return words.height(sequences(spark, sf), 100)
+    return words.height(sequences(spark, sf))
 
 
 @query

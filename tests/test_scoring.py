@@ -190,3 +190,22 @@ def test_stream_of_sequences(spark, tmp_path, trained):
 
 def test_probability_columns():
     assert P == ("p_a", "p_c", "p_g", "p_t")
+
+
+def test_labels_and_height_have_no_limit(spark, tmp_path):
+    import random
+
+    from contextvine.plans.queries import QUERIES
+
+    letters = random.Random(4).choices("cpevs", k=150)
+    rows = [(i, i, 7, s) for i, s in enumerate(letters * 2)] + [(400, 400, 8, "c")]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(ts) AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    seq = "".join({"c": "A", "p": "C", "e": "G", "v": "T", "s": "N"}[s] for s in letters * 2)
+    found, n = {}, len(seq)
+    for i in range(n):
+        for k in range(i + 1, n + 1):
+            found.setdefault(seq[i:k], []).append(seq[k : k + 1])
+    want = {w: len(f) for w, f in found.items() if len(set(f)) > 1 or f == [""]} | {"": 1}
+    got = [(r.label, r.n) for r in QUERIES["substring_labels"](spark, str(tmp_path)).collect() if str(r.seq_id) == "7"]
+    assert dict(got) == want and len(got) == len(want)
+    assert {str(r.seq_id): r.height for r in QUERIES["tree_height"](spark, str(tmp_path)).collect()} == {"7": 150}
