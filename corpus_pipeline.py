@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextvine.llm.exact_dedup import exact_dedup
-from contextvine.llm.langid import fold, identify, learn_profiles
+from contextvine.llm.langid import Profiles, fold, identify, learn_profiles
 from contextvine.llm.near_dedup import near_dedup
 from contextvine.llm.packing import pack
 from contextvine.llm.queries import vocabulary
@@ -30,9 +30,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, or no letter) go."""
+    """Documents in which no language can be told (no text, or no letter) go; where none is known, those without a letter."""
     ship_package(spark)
     profiles = learn_profiles(docs.where(fold(F.col("doc_id"), 3) != 1))
+    if not profiles.languages:
+        profiles = Profiles({"any": [0]}, 1)  # every text with a letter is nearest to the only one
     return identify(docs, profiles, predicted="_language", score="_score").where(F.col("_language") != "und").select(*docs.columns)
 
 

@@ -53,3 +53,10 @@ def test_queries_are_registered():
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+def test_language_stage_keeps_text_where_no_language_is_known(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some text", None), (2, "123 ...", None), (3, "été", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 3]
