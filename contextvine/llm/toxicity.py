@@ -5,7 +5,8 @@ posting list, cut in blocks of examples, with the largest weight of each block;
 the most common terms, whose lists would be long, are columns of a matrix.  For a
 document the blocks' upper bounds are summed over its terms; the blocks of highest
 bound are scored, then all others whose bound can reach the k-th best similarity,
-and what comes near it is summed again in double precision.  The votes of the nearest, weighted by closeness, are turned into a probability by isotonic
+and what comes near it is summed again in double precision.  The votes of the
+nearest, weighted by closeness, are turned into a probability by isotonic
 regression over left-out votes of the examples.
 """
 
@@ -28,12 +29,23 @@ from .shared import materialise, trimmed
 
 _WORD = re.compile(r"\w+")
 
+STEMS = (4,)  # lengths of beginnings of words that are terms besides the words: inflected forms share them
 
-STEMS = (3, 4, 5, 6)  # beginnings of words that are terms besides the words: inflected forms share them
+
+#: What of ASCII is no letter, digit or underscore is read as a space.
+_ASCII = "".join(chr(c) if _WORD.match(chr(c)) else " " for c in range(128))
+_BYTES = _ASCII.encode() + bytes(range(128, 256))
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, digits and underscores in lower case."""
+    if not text:
+        return []
+    lower = text.lower()
+    if lower.isascii():
+        return lower.translate(_ASCII).split()
+    parts = lower.encode("utf-8", "surrogatepass").translate(_BYTES).decode("utf-8", "surrogatepass").split()
+    return [w for p in parts for w in ((p,) if p.isalnum() else _WORD.findall(p))]
 
 
 def terms_of(word: str) -> list[str]:
@@ -48,38 +60,46 @@ def count_terms(text: str | None) -> Counter:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of terms; a word that is no term has the number of its longest beginning that is one, else ``none``."""
+
+    def __init__(self, terms: list[str]) -> None:
+        super().__init__(zip(terms, range(len(terms))))
+        self.none = len(terms)
+
+    def __missing__(self, word: str) -> int:
+        for n in reversed(STEMS):
+            if len(word) > n and (i := self.get(f"{word[:n]}*")) is not None:
+                return i
+        return self.none
+
+
 class Vocabulary:
-    """Places of a list of terms that holds the beginnings of its words; remembers the places of the words it has met."""
+    """Places of a list of terms that holds the beginnings of its words."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.met: dict[str, tuple[int, ...]] = {}
+        self.terms, self.at = terms, _Numbers(terms)
+        # a word counts for the term it is or begins with and for the beginnings of that
+        chains = [[i, *(self.at[f"{t[:n]}*"] for n in STEMS if n < len(t) - t.endswith("*"))] for i, t in enumerate(terms)]
+        self.edges = np.cumsum([0, *map(len, chains), 0])
+        self.places = np.fromiter(chain.from_iterable(chains), dtype=np.int64, count=self.edges[-1])
 
     def __reduce__(self):
-        return Vocabulary, (list(self.at),)
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.met) > 200_000:
-            self.met.clear()
-        places = []
-        for t in [*(f"{word[:n]}*" for n in STEMS if len(word) > n), word]:
-            if (i := self.at.get(t)) is None:  # where a beginning is no term, nothing longer is
-                break
-            places.append(i)
-        found = self.met[word] = tuple(places)
-        return found
+        return Vocabulary, (self.terms,)
+
+    def counts_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, term, count)`` of every term that a text holds, ascending."""
+        seen = [Counter(words(t)) for t in texts]
+        sizes = [len(s) for s in seen]
+        word = np.fromiter(map(self.at.__getitem__, chain.from_iterable(seen)), dtype=np.int64, count=sum(sizes))
+        times = np.fromiter(chain.from_iterable(s.values() for s in seen), dtype=np.int64, count=len(word))
+        n, n_terms = self.edges[word + 1] - self.edges[word], max(1, len(self.terms))
+        key, at = np.unique(np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * n_terms + self.places[_ranges(self.edges[word], n)], return_inverse=True)
+        return key // n_terms, key % n_terms, np.bincount(at, weights=np.repeat(times, n)).astype(np.int64)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The terms that a text holds, ascending, and how often."""
-        seen = Counter(words(text))
-        get = self.met.get
-        places = [found if (found := get(w)) is not None else self.of_word(w) for w in seen]
-        flat = np.fromiter(chain.from_iterable(places), dtype=np.int64)
-        if not len(flat):
-            return flat, flat
-        times = np.repeat(np.fromiter(seen.values(), dtype=np.int64), np.fromiter(map(len, places), dtype=np.int64))
-        terms, at = np.unique(flat, return_inverse=True)
-        return terms, np.bincount(at, weights=times).astype(np.int64)
+        return self.counts_of([text])[1:]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +138,7 @@ class BlockMaxIndex:
     most, are columns of a matrix; all others have posting lists cut in blocks.
     """
 
-    def __init__(self, vectors: list[dict[int, float] | Sparse], labels: list[int], n_terms: int, block: int = 64, common: float = 0.03, most_columns: int = 4096) -> None:
+    def __init__(self, vectors: list[dict[int, float] | Sparse], labels: list[int], n_terms: int, block: int = 256, common: float = 0.03, most_columns: int = 4096, most_postings: int = 100_000) -> None:
         self.labels = np.array(labels, dtype=np.float64)
         groups: dict[bytes, list[int]] = {}
         distinct: list[Sparse] = []
@@ -138,11 +158,11 @@ class BlockMaxIndex:
         self.offsets = np.cumsum([0, *(len(t) for t, _ in distinct)])
         self.terms = np.concatenate([t for t, _ in distinct] or [np.empty(0)]).astype(np.int32)
         self.weights = np.concatenate([w for _, w in distinct] or [np.empty(0)]).astype(np.float64)
-        self.n_terms, self.common, self.most_columns = n_terms, common, most_columns
+        self.n_terms, self.common, self.most_columns, self.most_postings = n_terms, common, most_columns, most_postings
         self._build()
 
     def __getstate__(self) -> dict:
-        return {n: getattr(self, n) for n in ("labels", "members", "block", "n", "n_blocks", "offsets", "terms", "weights", "n_terms", "common", "most_columns")}
+        return {n: getattr(self, n) for n in ("labels", "members", "block", "n", "n_blocks", "offsets", "terms", "weights", "n_terms", "common", "most_columns", "most_postings")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -170,7 +190,9 @@ class BlockMaxIndex:
         self.stretch_block = self.places[edge] // block
         self.stretch_most = np.maximum.reduceat(self.values, edge) if len(edge) else np.empty(0)
         self.stretches = np.searchsorted(rare_terms[edge], np.arange(n_terms + 1)).astype(np.int32)
+        self.postings = np.bincount(rare_terms, minlength=n_terms)
         self.slack = 4 * (len(columns) + 4) * 2.0**-24
+        self.full = np.zeros(n_terms)  # a query's weights while it is scored
 
     @staticmethod
     def _sparse(v: dict[int, float] | Sparse) -> Sparse:
@@ -185,50 +207,75 @@ class BlockMaxIndex:
     def nearest_of(self, queries: list[dict[int, float] | Sparse], k: int, without: list[int | None]) -> list[list[tuple[float, int]]]:
         """The same for several queries at once."""
         queries = [self._sparse(q) for q in queries]
-        if not self.n:
-            return [[] for _ in queries]
-        common = np.zeros((len(queries), len(self.matrix)), dtype=np.float32)
-        for line, (terms, weights) in zip(common, queries):
-            at = self.column[terms]
-            line[at[at >= 0]] = weights[at >= 0]
-        scores = (common @ self.matrix).astype(np.float64)
-        return [self._nearest(q, line, k, w) if len(q[0]) else [] for q, line, w in zip(queries, scores, without)]
-
-    def _nearest(self, query: Sparse, scores: np.ndarray, k: int, without: int | None) -> list[tuple[float, int]]:
-        terms, weights = query
-        rare = self.column[terms] < 0
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        asked = [i for i, q in enumerate(queries) if len(q[0])] if self.n else []
+        if not asked:
+            return out
+        common = np.zeros((len(asked), len(self.matrix) + 1), dtype=np.float32)  # the last place takes what is no column
+        cost = np.zeros(len(asked), dtype=np.int64)
+        for line, i in enumerate(asked):
+            terms, weights = queries[i]
+            common[line, self.column[terms]] = weights
+            cost[line] = self.postings[terms].sum()
+        common = common[:, :-1]
+        scores = common @ self.matrix
+        # as many queries at once as the lists they read allow
+        group = (np.cumsum(cost) - cost) // self.most_postings
+        for lines in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(group)) + 1):
+            some = [asked[x] for x in lines]
+            for i, found in zip(some, self._nearest([queries[i] for i in some], scores[lines], k, [without[i] for i in some])):
+                out[i] = found
+        return out
+
+    def _nearest(self, queries: list[Sparse], scores: np.ndarray, k: int, without: list[int | None]) -> list[list[tuple[float, int]]]:
+        size, shape = len(queries), (len(queries), self.n_blocks, self.block)
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        query = np.repeat(np.arange(size), [len(t) for t, _ in queries])
+        rare = np.flatnonzero(self.postings[terms])
         first = self.stretches[terms[rare]]
         n = self.stretches[terms[rare] + 1] - first
-        stretch, weight = _ranges(first, n), np.repeat(weights[rare], n)
-        blocks = self.stretch_block[stretch]
-        bound = scores.reshape(-1, self.block).max(1) + np.bincount(blocks, weights=weight * self.stretch_most[stretch], minlength=self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        wanted = k + (without is not None)
-        open_ = np.zeros(self.n_blocks, dtype=bool)
-        head = -(-wanted // self.block) + 2
-        for chosen in (order[:head], order[head:]):
-            if len(chosen) and open_.any():
-                known = scores.reshape(-1, self.block)[open_].ravel()
-                least = np.partition(known, len(known) - wanted)[len(known) - wanted] if len(known) >= wanted else -np.inf
-                chosen = chosen[bound[chosen] >= least - self.slack]
-            now = np.zeros(self.n_blocks, dtype=bool)
-            now[chosen] = True
-            open_ |= now
-            s, w = stretch[now[blocks]], weight[now[blocks]]
-            lengths = self.stretch_start[s + 1] - self.stretch_start[s]
-            at = _ranges(self.stretch_start[s], lengths)
-            scores += np.bincount(self.places[at], weights=np.repeat(w, lengths) * self.values[at], minlength=len(scores))
-        scores = np.where(np.repeat(open_, self.block), scores, -1.0)[: self.n]
-        least = np.partition(scores, self.n - wanted)[self.n - wanted] if self.n > wanted else 0.0
-        near = np.flatnonzero((scores >= least - self.slack) & (scores > 0))
+        stretch, weight, query = _ranges(first, n), np.repeat(weights[rare], n), np.repeat(query[rare], n)
+        cells = query * self.n_blocks + self.stretch_block[stretch]
+        bound = scores.reshape(shape).max(2) + np.bincount(cells, weights=weight * self.stretch_most[stretch], minlength=size * self.n_blocks).reshape(size, -1)
+        wanted = min(self.n, k + 1)  # one more than asked for, as a query may be an example itself
+        head = min(self.n_blocks, -(-wanted // self.block) + 2)
+        known = scores.astype(np.float64)
+        known[:, self.n :] = -1.0
+        open_ = np.zeros((size, self.n_blocks), dtype=bool)
+        np.put_along_axis(open_, np.argpartition(-bound, head - 1, axis=1)[:, :head], True, axis=1)
+        self._add(known, stretch, weight, query, open_.ravel()[cells])
+        if head < self.n_blocks:
+            least = self._kth(np.where(np.repeat(open_, self.block, axis=1), known, -1.0), wanted)
+            more = ~open_ & (bound >= least[:, None] - self.slack)
+            self._add(known, stretch, weight, query, more.ravel()[cells])
+            known[~np.repeat(open_ | more, self.block, axis=1)] = -1.0
+        least = self._kth(known, wanted)
+        return [self._exact(q, np.flatnonzero((line >= low - self.slack) & (line > 0)), k, w) for q, line, low, w in zip(queries, known, least, without)]
+
+    @staticmethod
+    def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+        at = scores.shape[1] - k
+        return np.partition(scores, at, axis=1)[:, at]
+
+    def _add(self, scores: np.ndarray, stretch: np.ndarray, weight: np.ndarray, query: np.ndarray, chosen: np.ndarray) -> None:
+        """Add what the chosen stretches give to the scores of their queries."""
+        stretch, weight, query = stretch[chosen], weight[chosen], query[chosen]
+        lengths = self.stretch_start[stretch + 1] - self.stretch_start[stretch]
+        at = _ranges(self.stretch_start[stretch], lengths)
+        place = np.repeat(query * scores.shape[1], lengths) + self.places[at]
+        scores += np.bincount(place, weights=np.repeat(weight, lengths) * self.values[at], minlength=scores.size).reshape(scores.shape)
+
+    def _exact(self, query: Sparse, near: np.ndarray, k: int, without: int | None) -> list[tuple[float, int]]:
+        """The ``k`` best of the examples ``near``, summed again in double precision."""
         if not len(near):
             return []
-        full = np.zeros(self.n_terms)
-        full[terms] = weights
-        lengths = self.offsets[near + 1] - self.offsets[near]
-        at = _ranges(self.offsets[near], lengths)
-        exact = np.add.reduceat(full[self.terms[at]] * self.weights[at], np.cumsum(lengths) - lengths)
-        best = sorted((-round(float(e), 12), int(i)) for p, e in zip(near, exact) for i in self.members[p][:wanted] if e > 0 and i != without)[:k]
+        terms, weights = query
+        self.full[terms] = weights
+        edges = list(zip(self.offsets[near].tolist(), self.offsets[near + 1].tolist()))
+        parts = self.full[np.concatenate([self.terms[a:b] for a, b in edges])] * np.concatenate([self.weights[a:b] for a, b in edges])
+        exact = np.add.reduceat(parts, np.cumsum([0, *(b - a for a, b in edges[:-1])]))
+        self.full[terms] = 0.0
+        best = sorted((-round(float(e), 12), int(i)) for p, e in zip(near, exact) for i in self.members[p][: k + 1] if e > 0 and i != without)[:k]
         return [(-e, i) for e, i in best]
 
 
@@ -257,7 +304,7 @@ class Model:
         raw = (1 + np.log(counts)) * self.weights[terms]
         return terms, raw / (math.sqrt((raw * raw).sum()) or 1.0)
 
-    def votes(self, vectors: list[Sparse], without: list[int | None], at_once: int = 64) -> list[tuple[float, list[tuple[float, int]]]]:
+    def votes(self, vectors: list[Sparse], without: list[int | None], at_once: int = 512) -> list[tuple[float, list[tuple[float, int]]]]:
         """Shares of toxic among the nearest, closer ones counting more; -1 where no example shares a term."""
         out = []
         for at in range(0, len(vectors), at_once):
@@ -269,9 +316,15 @@ class Model:
                 out.append((float(closeness @ self.labels[[e for _, e in near]] / closeness.sum()), near))
         return out
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        voted = self.votes([self.vector(*self.vocabulary.counts(t)) for t in texts], [None] * len(texts))
-        return [(self.without if vote < 0 else float(min(1.0, max(0.0, np.interp(vote, self.knots, self.values)))), near) for vote, near in voted]
+    def scores(self, texts: list[str | None], at_once: int = 512) -> list[tuple[float, list[tuple[float, int]]]]:
+        out = []
+        for at in range(0, len(texts), at_once):
+            some = texts[at : at + at_once]
+            text, terms, counts = self.vocabulary.counts_of(some)
+            edges = np.searchsorted(text, np.arange(len(some) + 1))
+            voted = self.votes([self.vector(terms[a:b], counts[a:b]) for a, b in zip(edges, edges[1:])], [None] * len(some))
+            out += [(self.without if vote < 0 else float(min(1.0, max(0.0, np.interp(vote, self.knots, self.values)))), near) for vote, near in voted]
+        return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_toxic: int = 1500, sample_clean: int = 3000, sure_surprise: float = 15.0, sure_lift: float = 5.0, least_weight: float = 0.03, k: int = 15) -> Model:
@@ -306,7 +359,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     lengths = pc.list_value_length(held["terms"]).to_numpy().astype(np.int64)
     coded = pc.list_flatten(held["terms"]).combine_chunks().dictionary_encode() if len(ids) else pa.array([], pa.string()).dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    # frequent terms first: what most texts hold then lies close together in memory
     order = pc.sort_indices(coded.dictionary).to_numpy()
+    order = order[np.argsort(-np.bincount(coded.indices.to_numpy(), minlength=len(order))[order], kind="stable")]
     vocabulary = coded.dictionary.take(pa.array(order)).to_pylist()
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
@@ -341,11 +396,11 @@ def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
     known = Vocabulary(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(len(known.at), dtype=np.int64), 0
+        held, n = np.zeros(len(vocabulary), dtype=np.int64), 0
         for batch in batches:
-            for t in batch.column(0):
-                n += 1
-                held[known.counts(t.as_py())[0]] += 1
+            n += len(batch)
+            for at in range(0, len(batch), 256):
+                held += np.bincount(known.counts_of(batch.column(0).slice(at, 256).to_pylist())[1], minlength=len(held))
         met = np.flatnonzero(held)
         for at in range(0, len(met), 10_000):
             some = met[at : at + 10_000]
