@@ -1,18 +1,21 @@
 """Distances between models: ``left_id, right_id, value`` for every pair of two model sets.
 
-Most compare contexts that both models hold: component rows of the two sets meet
-by equality on the context and are summed per pair.  Pairs that share no usable
-context appear with the measure's value for that case.
+Most compare contexts that both models hold.  Components are rows that Catalyst
+computes; blocks of models then meet on a grid, where sums over shared contexts are
+matrix products.  Pairs that share no usable context appear with the measure's
+value for that case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.symbols import P, SYMBOLS, all_words_column, background_context
+from . import grid
 from .scoring import closest_state
 
 V = tuple(f"v_{p[-1]}" for p in P)
@@ -77,62 +80,58 @@ def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select(F.col("model_id").alias("left_id")).distinct().crossJoin(right.select(F.col("model_id").alias("right_id")).distinct())
 
 
-def meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows of both sides with the same context; columns prefixed ``l_`` and ``r_``."""
-    a = left.select("context", *(F.col(c).alias(f"l_{c}") for c in left.columns if c != "context"))
-    b = right.select("context", *(F.col(c).alias(f"r_{c}") for c in right.columns if c != "context"))
-    return a.join(b, "context", how)
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(len(x), -1)
 
 
-def products(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Per pair the sums ``dot``, ``left2`` and ``right2`` of its shared components."""
-    dot = sum((F.col(f"l_{v}") * F.col(f"r_{v}") for v in V), F.lit(0.0))
-    square = lambda side: sum((F.col(f"{side}_{v}") * F.col(f"{side}_{v}") for v in V), F.lit(0.0))
-    return meet(left, right).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(F.sum(dot).alias("dot"), F.sum(square("l")).alias("left2"), F.sum(square("r")).alias("right2"))
+def _products(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """The sums ``dot``, ``left2`` and ``right2`` over shared components."""
+    return {"dot": _flat(a) @ _flat(b).T, "left2": (a * a).sum(2) @ in_b.T.astype(float), "right2": in_a.astype(float) @ (b * b).sum(2).T}
 
 
-def _cosine(otherwise: float, finish: Callable[[Column], Column]) -> Column:
-    norm = F.sqrt("left2") * F.sqrt("right2")
-    return F.when((F.col("left2") > 0) & (F.col("right2") > 0), finish(F.col("dot") / F.when(norm > 0, norm))).otherwise(F.lit(otherwise))
+def _cosine(sums: dict[str, np.ndarray], otherwise: float, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``finish`` makes of the cosine; ``otherwise`` where nothing is shared or a side is zero."""
+    if "dot" not in sums:
+        return np.full(sums["n"].shape, otherwise)
+    usable = (sums["left2"] > 0) & (sums["right2"] > 0)
+    return np.where(usable, finish(sums["dot"] / np.where(usable, np.sqrt(sums["left2"]) * np.sqrt(sums["right2"]), 1.0)), otherwise)
 
 
-def _halved(r: Column) -> Column:
+def _halved(r: np.ndarray) -> np.ndarray:
     return 0.5 * (1 - r)
 
 
-def _angle(r: Column) -> Column:
-    return F.when(r > 1, 0.0).otherwise(2 * F.acos(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))) / F.pi())
+def _angle(r: np.ndarray) -> np.ndarray:
+    return 2 * np.arccos(np.clip(r, -1.0, 1.0)) / np.pi
 
 
-def _complete(sums: DataFrame, left: DataFrame, right: DataFrame, value: Column, missing: float | None) -> DataFrame:
-    rows = sums.select("left_id", "right_id", value.alias("value"))
-    rest = F.lit(None).cast("double") if missing is None else F.lit(missing)
-    return pairs_of(left, right).join(rows.withColumn("met", F.lit(True)), ["left_id", "right_id"], "left").select("left_id", "right_id", F.when(F.col("met"), F.col("value")).otherwise(rest).alias("value"))
+def _cosine_distance(components: Callable[[DataFrame], DataFrame], left: DataFrame, right: DataFrame, otherwise: float, finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    one = components(left)
+    return grid.pairs(one, one if right is left else components(right), left, right, list(V), lambda a, b: _cosine(grid.shared_sums(a, b, _products), otherwise, finish))
 
 
 def d2(left: DataFrame, right: DataFrame) -> DataFrame:
-    return _complete(products(raw_components(left), raw_components(right)), left, right, _cosine(1.0, _halved), 1.0)
+    return _cosine_distance(raw_components, left, right, 1.0, _halved)
 
 
 def dv(left: DataFrame, right: DataFrame) -> DataFrame:
-    return _complete(products(raw_components(left), raw_components(right)), left, right, _cosine(1.0, _angle), 1.0)
+    return _cosine_distance(raw_components, left, right, 1.0, _angle)
 
 
 def dvstar(left: DataFrame, right: DataFrame, background_order: int = 0) -> DataFrame:
-    return _complete(products(star_components(left, background_order), star_components(right, background_order)), left, right, _cosine(1.0, _angle), 1.0)
+    return _cosine_distance(lambda m: star_components(m, background_order), left, right, 1.0, _angle)
 
 
 def d2star(left: DataFrame, right: DataFrame) -> DataFrame:
-    return _complete(products(d2star_components(left), d2star_components(right)), left, right, _cosine(1.0, _halved), 1.0)
+    return _cosine_distance(d2star_components, left, right, 1.0, _halved)
 
 
 def cv(left: DataFrame, right: DataFrame, background_order: int = 2) -> DataFrame:
-    return _complete(products(cv_components(left, background_order), cv_components(right, background_order)), left, right, _cosine(0.0, lambda r: (1 - r) / 2), 0.0)
+    return _cosine_distance(lambda m: cv_components(m, background_order), left, right, 0.0, _halved)
 
 
 def cv_estimation(left: DataFrame, right: DataFrame, order: int = 6, background_order: int = 2) -> DataFrame:
-    of = lambda models: relative_components(estimated_states(models, order), models, background_order)
-    return _complete(products(of(left), of(right)), left, right, _cosine(0.0, lambda r: (1 - r) / 2), 0.0)
+    return _cosine_distance(lambda m: relative_components(estimated_states(m, order), m, background_order), left, right, 0.0, _halved)
 
 
 def penalized_dvstar(left: DataFrame, right: DataFrame, background_order: int = 0, symmetric: bool = False) -> DataFrame:
@@ -140,53 +139,62 @@ def penalized_dvstar(left: DataFrame, right: DataFrame, background_order: int =
 
     ``symmetric`` also counts contexts that only the right one holds.
     """
-    sizes = lambda m, name: m.groupBy("model_id").agg(F.count("*").alias(name))
-    shared = meet(left.select("model_id", "context"), right.select("model_id", "context")).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(F.count("*").alias("shared"))
-    rows = dvstar(left, right, background_order).join(shared, ["left_id", "right_id"], "left").na.fill(0, ["shared"])
-    rows = rows.join(sizes(left, "n_left").withColumnRenamed("model_id", "left_id"), "left_id").join(sizes(right, "n_right").withColumnRenamed("model_id", "right_id"), "right_id")
-    missing, contexts = F.col("n_left") - F.col("shared"), F.col("n_left")
-    if symmetric:
-        missing, contexts = missing + F.col("n_right") - F.col("shared"), contexts + F.col("n_right") - F.col("shared")
-    return rows.select("left_id", "right_id", (0.75 * F.col("value") + 0.25 * missing / contexts).alias("value"))
+    usable = [f"u_{v[-1]}" for v in V]
+
+    def parts(models: DataFrame) -> DataFrame:
+        # contexts too short for a component count as held
+        stars = star_components(models, background_order).select("model_id", "context", *(F.col(v).alias(u) for v, u in zip(V, usable)))
+        return models.select("model_id", "context").join(stars, ["model_id", "context"], "left").withColumn("counts", F.col(usable[0]).isNotNull().cast("double")).na.fill(0.0, usable)
+
+    def products(a, in_a, b, in_b, lengths):
+        return _products(a[:, :, :4], a[:, :, 4], b[:, :, :4], b[:, :, 4], lengths)
+
+    def value(a: grid.Side, b: grid.Side) -> np.ndarray:
+        sums = grid.shared_sums(a, b, products)
+        n_left, n_right = np.bincount(a.owner, minlength=a.n)[:, None], np.bincount(b.owner, minlength=b.n)[None, :]
+        missing, contexts = n_left - sums["n"], n_left + 0 * sums["n"]
+        if symmetric:
+            missing, contexts = missing + n_right - sums["n"], contexts + n_right - sums["n"]
+        return 0.75 * _cosine(sums, 1.0, _angle) + 0.25 * missing / contexts
+
+    one = parts(left)
+    return grid.pairs(one, one if right is left else parts(right), left, right, [*usable, "counts"], value)
 
 
 def nearest_dvstar(left: DataFrame, right: DataFrame, background_order: int = 0, symmetric: bool = False) -> DataFrame:
     """dvstar in which a context the right model lacks is held against that model's closest state.
 
     ``symmetric`` does the same for contexts only the right model holds.  The
-    closest state's components take their background from their own context.
+    closest state's components take their background from the missing context's
+    own background context.
     """
-    stars = {side: star_components(m, background_order) for side, m in (("l", left), ("r", right))}
-    dots = [products(stars["l"], stars["r"])]
-
-    def lacking(one: DataFrame, one_stars: DataFrame, other: DataFrame, one_name: str, other_name: str) -> DataFrame:
-        usable = one_stars.select(F.col("model_id").alias(one_name), "context", *V)
-        held = other.select(F.col("model_id").alias(other_name), "context")
-        ids = other.select(F.col("model_id").alias(other_name)).distinct()
-        missing = usable.crossJoin(ids).join(held, [other_name, "context"], "left_anti")
-        order = one.agg(F.max(F.length("context"))).head(1)[0][0] or 0
-        probes = missing.select(F.col(other_name).alias("model_id"), F.col("context").alias("probe")).distinct()
-        state = closest_state(probes, other, order).withColumnRenamed("context", "state")
-        table = other.select("model_id", F.col("context").alias("bg"), *(F.col(p).alias(f"bg_{p[-1]}") for p in P))
-        # the background is that of the missing context, in the model that lacks it
-        state = state.withColumn("bg", background_context(F.col("probe"), background_order)).join(table, ["model_id", "bg"], "left").na.fill(0.0, [f"bg_{p[-1]}" for p in P])
-        value = lambda p: F.when(F.col(f"bg_{p[-1]}") > 0, F.col(p) / F.sqrt(F.when(F.col(f"bg_{p[-1]}") > 0, F.col(f"bg_{p[-1]}")))).otherwise(0.0)
-        found = state.select(F.col("model_id").alias(other_name), F.col("probe").alias("context"), *(value(p).alias(f"o_{p[-1]}") for p in P))
-        met = missing.join(found, [other_name, "context"])
-        dot = sum((F.col(v) * F.col(f"o_{v[-1]}") for v in V), F.lit(0.0))
-        own2 = sum((F.col(v) * F.col(v) for v in V), F.lit(0.0))
-        other2 = sum((F.col(f"o_{v[-1]}") * F.col(f"o_{v[-1]}") for v in V), F.lit(0.0))
-        left2, right2 = (own2, other2) if one_name == "left_id" else (other2, own2)
-        return met.groupBy("left_id", "right_id").agg(F.sum(dot).alias("dot"), F.sum(left2).alias("left2"), F.sum(right2).alias("right2"))
-
-    dots.append(lacking(left, stars["l"], right, "left_id", "right_id"))
-    if symmetric:
-        dots.append(lacking(right, stars["r"], left, "right_id", "left_id"))
-    total = dots[0]
-    for part in dots[1:]:
-        total = total.unionByName(part)
-    total = total.groupBy("left_id", "right_id").agg(*(F.sum(c).alias(c) for c in ("dot", "left2", "right2")))
-    return _complete(total, left, right, _cosine(1.0, _angle), 1.0)
+
+    def scaled(side: grid.Side, contexts: list[str], closest: bool) -> tuple[np.ndarray, np.ndarray]:
+        p, held = side.exact(contexts)
+        background, _ = side.exact([c[max(0, len(c) - background_order) :] for c in contexts])
+        p = side.closest(contexts) if closest else p
+        return np.where(background > 0, p / np.sqrt(np.where(background > 0, background, 1.0)), 0.0), held
+
+    def one_way(one: grid.Side, other: grid.Side, lacking: bool) -> dict[str, np.ndarray]:
+        """Sums over the contexts of ``one``, of those alone that ``other`` lacks if asked."""
+        total = dict.fromkeys(("n", "dot", "one2", "other2"), np.zeros((one.n, other.n)))
+        for some in grid.chunks([c for c in one.contexts if len(c) > background_order]):
+            (a, in_a), (b, in_b) = scaled(one, some, False), scaled(other, some, True)
+            a, counted = a * in_a[:, :, None], ~in_b if lacking else np.ones_like(in_b)
+            b = b * counted[:, :, None]
+            parts = {"n": in_a.astype(float) @ counted.T.astype(float), "dot": _flat(a) @ _flat(b).T, "one2": (a * a).sum(2) @ counted.T.astype(float), "other2": in_a.astype(float) @ (b * b).sum(2).T}
+            total = {name: total[name] + part for name, part in parts.items()}
+        return total
+
+    def value(a: grid.Side, b: grid.Side) -> np.ndarray:
+        there = one_way(a, b, False)
+        sums = {"n": there["n"], "dot": there["dot"], "left2": there["one2"], "right2": there["other2"]}
+        if symmetric:
+            back = one_way(b, a, True)
+            sums = {"n": sums["n"] + back["n"].T, "dot": sums["dot"] + back["dot"].T, "left2": sums["left2"] + back["other2"].T, "right2": sums["right2"] + back["one2"].T}
+        return _cosine(sums, 1.0, _angle)
+
+    return grid.pairs(left, right, left, right, list(P), value)
 
 
 def word_probabilities(models: DataFrame, order: int) -> DataFrame:
@@ -202,20 +210,36 @@ def word_probabilities(models: DataFrame, order: int) -> DataFrame:
     return at.join(states, "probe").groupBy("model_id", "word").agg(F.exp(F.sum(F.log(chance))).alias("p"))
 
 
+def _divergence(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """``s``: the sum of (l - r) ln(l / r) where both are above 0, ``terms`` of them; ``length`` of the shared contexts."""
+    a, b = _flat(a), _flat(b)
+    has_a, has_b = (a > 0).astype(float), (b > 0).astype(float)
+    log_a, log_b = np.log(np.where(a > 0, a, 1.0)), np.log(np.where(b > 0, b, 1.0))
+    s = (a * log_a) @ has_b.T + has_a @ (b * log_b).T - a @ log_b.T - log_a @ b.T
+    return {"s": s, "terms": has_a @ has_b.T, "length": (in_a * lengths) @ in_b.T.astype(float)}
+
+
+def _divergence_distance(components: Callable[[DataFrame], DataFrame], left: DataFrame, right: DataFrame, values: list[str], finish: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """``finish`` of the sums; null where nothing is shared or usable."""
+
+    def value(a: grid.Side, b: grid.Side) -> np.ndarray:
+        sums = grid.shared_sums(a, b, _divergence)
+        return np.where(sums["n"] > 0, finish(sums), np.nan) if "s" in sums else np.full(sums["n"].shape, np.nan)
+
+    one = components(left)
+    return grid.pairs(one, one if right is left else components(right), left, right, values, value)
+
+
 def kl(left: DataFrame, right: DataFrame, order: int = 4) -> DataFrame:
     """Symmetrised mean of the divergences between word probabilities, per symbol."""
-    term = F.col("l_p") * F.log(F.col("l_p") / F.col("r_p")) + F.col("r_p") * F.log(F.col("r_p") / F.col("l_p"))
-    a, b = (word_probabilities(m, order).withColumnRenamed("word", "context") for m in (left, right))
-    sums = meet(a, b).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg((F.sum(term) / (2 * order)).alias("v"))
-    return _complete(sums, left, right, F.col("v"), None)
+    parts = lambda m: word_probabilities(m, order).withColumnRenamed("word", "context")
+    return _divergence_distance(parts, left, right, ["p"], lambda sums: np.where(sums["terms"] > 0, sums["s"] / (2 * order), np.nan))
 
 
 def kl_both(left: DataFrame, right: DataFrame) -> DataFrame:
     """Symmetrised divergence of context frequencies over shared contexts, per mean length; null without length."""
-    a, b = (_with_root(m).select("model_id", "context", (F.col("count") / F.col("root")).alias("p")) for m in (left, right))
-    term = (F.col("l_p") - F.col("r_p")) * F.log(F.col("l_p") / F.col("r_p"))
-    sums = meet(a, b).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(F.sum(term).alias("s"), F.avg(F.length("context")).alias("n"))
-    return _complete(sums, left, right, F.try_divide(F.col("s") / 2, F.col("n")), None)
+    parts = lambda m: _with_root(m).select("model_id", "context", (F.col("count") / F.col("root")).alias("p"))
+    return _divergence_distance(parts, left, right, ["p"], lambda sums: np.where(sums["length"] > 0, sums["s"] / 2 / (sums["length"] / sums["n"]), np.nan))
 
 
 def kl_both_background(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -226,49 +250,70 @@ def kl_both_background(left: DataFrame, right: DataFrame) -> DataFrame:
         values = [((F.col("count") / F.col("root")) * F.col(p) / F.sqrt(F.col(f"r_{p[-1]}"))).alias(v) for p, v in zip(P, V)]
         return rows.select("model_id", "context", *values)
 
-    usable = lambda v: (F.col(f"l_{v}") > 0) & (F.col(f"r_{v}") > 0)
-    term = sum((F.when(usable(v), (F.col(f"l_{v}") - F.col(f"r_{v}")) * F.log(F.col(f"l_{v}") / F.col(f"r_{v}"))).otherwise(0.0) for v in V), F.lit(0.0))
-    sums = meet(parts(left), parts(right)).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(F.sum(term).alias("s"), F.avg(F.length("context") + 1).alias("n"))
-    return _complete(sums, left, right, F.try_divide(F.col("s") / 2, F.col("n")), None)
+    return _divergence_distance(parts, left, right, list(V), lambda sums: sums["s"] / 2 / (sums["length"] / sums["n"] + 1))
 
 
 def _root_scaled(models: DataFrame) -> DataFrame:
     return _with_root(models).select("model_id", "context", *((F.col(p) / F.sqrt(F.col(f"r_{p[-1]}"))).alias(v) for p, v in zip(P, V)))
 
 
+def _termwise(term: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> grid.Kernel:
+    """Sums ``s`` of a term of both sides' components of a context; contexts where it is NaN don't count, ``terms`` do."""
+
+    def kernel(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+        s, terms = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+        for i in range(len(a)):
+            held = np.flatnonzero(in_a[i])
+            found = term(a[i, held][None], b[:, held]).sum(2)
+            counts = in_b[:, held] & ~np.isnan(found)
+            s[i], terms[i] = np.where(counts, found, 0.0).sum(1), counts.sum(1)
+        return {"s": s, "terms": terms}
+
+    return kernel
+
+
 def jensen_shannon(left: DataFrame, right: DataFrame, compat: bool = False) -> DataFrame:
     """Mean divergence of both sides from their average, over shared contexts; ``compat`` averages the right side with itself."""
-    terms = F.lit(0.0)
-    for v in V:
-        a, b = F.col(f"l_{v}"), F.col(f"r_{v}")
+
+    def term(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = (a > 0) & (b > 0)
+        a, b = np.where(both, a, 1.0), np.where(both, b, 1.0)
         m = b if compat else (a + b) / 2
-        terms = terms + F.when((a > 0) & (b > 0), 0.5 * a * F.log(a / m) + 0.5 * b * F.log(b / m)).otherwise(0.0)
-    sums = meet(_root_scaled(left), _root_scaled(right)).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(F.sum(terms).alias("v"))
-    return _complete(sums, left, right, F.col("v"), 0.0)
+        return np.where(both, 0.5 * a * np.log(a / m) + 0.5 * b * np.log(b / m), 0.0)
+
+    one = _root_scaled(left)
+    return grid.pairs(one, one if right is left else _root_scaled(right), left, right, list(V), lambda a, b: (s := grid.shared_sums(a, b, _termwise(term))).get("s", s["n"]))
 
 
 def canberra(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sum of |l - r| / (l + r) over shared contexts and symbols; null where both are 0."""
-    term = sum((F.try_divide(F.abs(F.col(f"l_{v}") - F.col(f"r_{v}")), F.col(f"l_{v}") + F.col(f"r_{v}")) for v in V), F.lit(0.0))
-    sums = meet(raw_components(left), raw_components(right)).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(F.sum(term).alias("v"))
-    return _complete(sums, left, right, F.col("v"), 0.0)
+    """Sum of |l - r| / (l + r) over shared contexts and symbols; contexts in which both are 0 don't count, null if none does."""
+
+    def value(a: grid.Side, b: grid.Side) -> np.ndarray:
+        sums = grid.shared_sums(a, b, _termwise(lambda x, y: np.abs(x - y) / (x + y)))
+        return np.where((sums["n"] > 0) & (sums["terms"] == 0), np.nan, sums["s"]) if "s" in sums else sums["n"]
+
+    one = raw_components(left)
+    return grid.pairs(one, one if right is left else raw_components(right), left, right, list(V), value)
 
 
 def correlation(left: DataFrame, right: DataFrame, compat: bool = False) -> DataFrame:
     """1 less the correlation of shared components; ``compat`` divides by the left norm twice."""
-    def total(expr: Callable[[str], Column]) -> Column:
-        return F.sum(sum((expr(v) for v in V), F.lit(0.0)))
-
-    sums = meet(raw_components(left), raw_components(right)).groupBy(F.col("l_model_id").alias("left_id"), F.col("r_model_id").alias("right_id")).agg(
-        (4 * F.count("*")).alias("n"), total(lambda v: F.col(f"l_{v}")).alias("sl"), total(lambda v: F.col(f"r_{v}")).alias("sr"),
-        total(lambda v: F.col(f"l_{v}") * F.col(f"r_{v}")).alias("lr"), total(lambda v: F.col(f"l_{v}") * F.col(f"l_{v}")).alias("ll"), total(lambda v: F.col(f"r_{v}") * F.col(f"r_{v}")).alias("rr"),
-    )
-    over = lambda x, y, z: F.col(x) - F.col(y) * F.col(z) / F.col("n")
-    left2, right2 = over("ll", "sl", "sl"), over("rr", "sr", "sr")
-    norm = left2 if compat else F.sqrt(F.greatest(left2, F.lit(0.0))) * F.sqrt(F.greatest(right2, F.lit(0.0)))
-    # variances this small are rounding
-    value = F.when((left2 > 1e-12) & (right2 > 1e-12), 1 - over("lr", "sl", "sr") / F.when(norm > 0, norm))
-    return _complete(sums, left, right, value, None)
+
+    def kernel(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+        return _products(a, in_a, b, in_b, lengths) | {"sl": a.sum(2) @ in_b.T.astype(float), "sr": in_a.astype(float) @ b.sum(2).T}
+
+    def value(a: grid.Side, b: grid.Side) -> np.ndarray:
+        sums = grid.shared_sums(a, b, kernel)
+        if "dot" not in sums:
+            return np.full(sums["n"].shape, np.nan)
+        over = lambda x, y, z: sums[x] - sums[y] * sums[z] / np.maximum(4 * sums["n"], 1)
+        left2, right2 = over("left2", "sl", "sl"), over("right2", "sr", "sr")
+        norm = left2 if compat else np.sqrt(np.maximum(left2, 0)) * np.sqrt(np.maximum(right2, 0))
+        # variances this small are rounding
+        return np.where((left2 > 1e-12) & (right2 > 1e-12), 1 - over("dot", "sl", "sr") / norm, np.nan)
+
+    one = raw_components(left)
+    return grid.pairs(one, one if right is left else raw_components(right), left, right, list(V), value)
 
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {

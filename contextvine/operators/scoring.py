@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import P, SYMBOLS, background_context, log_or_zero, probability, reverse_complement, suffixes
-from ..session import stored
+from . import grid
 from .words import positions
 
 STRETCH = 16_384  # positions a window task sorts at once
-BROADCAST_STATES = 500_000  # rows of a model, a probe and four scores: some tens of megabytes
+S = [f"s_{p[-1]}" for p in P]  # scores of the symbols
+
 
 def deepest(models: DataFrame) -> int:
     """The longest context of all models: how many symbols a score can look back."""
@@ -78,48 +81,80 @@ def log_likelihood(seqs: DataFrame, models: DataFrame, own: bool = False, score:
     """``seq_id, model_id, ll, n_scored, length``: the sum of scores and how many are not 0.
 
     ``own`` scores each sequence under the model of its own id, else every sequence
-    meets every model.  Positions are counted by what they look like first, and a
-    probe's state is looked up once per model, so no join sees single positions.
+    meets every model.  Positions are counted by what they look like first, so no
+    join sees single positions.
     """
     order = deepest(models) if order is None else order
-    seen = transition_counts(seqs, order)
-    if own:
-        seen = seen.withColumn("model_id", F.col("seq_id"))
-        probes = seen.select("model_id", "probe").distinct()
-    else:
-        probes = seen.select("probe").distinct()
-    scored = symbol_scores(closest_state(probes, models, order), score, models, background_order).select("model_id", "probe", *(f"s_{p[-1]}" for p in P))
     if not own:
-        # every sequence meets every model: a small table of states goes to where the sequences are, a large one is dealt by probe
-        scored = stored(scored, "states")
-        if scored.count() <= BROADCAST_STATES:
-            scored = F.broadcast(scored)
-        seen = seen.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
-    met = seen.join(scored, ["model_id", "probe"] if own else ["probe"])
+        return _all_scores(seqs, models, score, background_order, order, False).drop("nll")
+    seen = transition_counts(seqs, order).withColumn("model_id", F.col("seq_id"))
+    scored = symbol_scores(closest_state(seen.select("model_id", "probe").distinct(), models, order), score, models, background_order)
+    met = seen.join(scored.select("model_id", "probe", *S), ["model_id", "probe"])
     total = sum((F.col(f"c_{x}") * F.col(f"s_{x}") for x in "acgt"), F.lit(0.0))
     scored_times = sum((F.when(F.col(f"s_{x}") != 0, F.col(f"c_{x}")).otherwise(0) for x in "acgt"), F.lit(0))
     sums = met.groupBy("seq_id", "model_id").agg(F.sum(total).alias("ll"), F.sum(scored_times).alias("n_scored"))
-    lengths = seqs.select("seq_id", F.length("seq").cast("long").alias("length"))
-    ids = lengths.withColumn("model_id", F.col("seq_id")).join(models.select("model_id").distinct(), "model_id", "left_semi") if own else lengths.crossJoin(models.select("model_id").distinct())
+    ids = seqs.select("seq_id", F.length("seq").cast("long").alias("length")).withColumn("model_id", F.col("seq_id")).join(models.select("model_id").distinct(), "model_id", "left_semi")
     # sequences without a scored position still have a row
     return ids.join(sums, ["seq_id", "model_id"], "left").select("seq_id", "model_id", F.coalesce("ll", F.lit(0.0)).alias("ll"), F.coalesce("n_scored", F.lit(0)).cast("long").alias("n_scored"), "length")
 
 
+def _all_scores(seqs: DataFrame, models: DataFrame, score: str, background_order: int, order: int, both_strands: bool) -> DataFrame:
+    """``seq_id, model_id, ll, n_scored, length, nll`` of every sequence under every model; ``nll`` of the better strand if both are asked for.
+
+    A context's scores depend on its model alone and are computed there.  Blocks of
+    sequences, as counts of what their positions look like, meet blocks of models:
+    a cell looks up the closest states and multiplies two matrices.
+    """
+    scored = symbol_scores(models.select("model_id", "context", *P), score, models, background_order).select("model_id", "context", *S)
+    counts = transition_counts(seqs, order).withColumn("strand", F.lit(0))
+    if both_strands:
+        back = transition_counts(seqs.select("seq_id", reverse_complement(F.col("seq")).alias("seq")), order)
+        counts = counts.unionByName(back.withColumn("strand", F.lit(1)))
+    columns = [f"c_{x}" for x in "acgt"]
+    heads = seqs.select("seq_id", F.lit(None).cast("string").alias("probe"), *(F.lit(0).cast("long").alias(c) for c in columns), F.lit(0).alias("strand"), F.length("seq").cast("long").alias("length"))
+    rows = heads.unionByName(counts.withColumn("length", F.lit(None).cast("long")))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        one, two = grid.Side(a, "seq_id", "probe", columns, "strand"), grid.Side(b, "model_id", "context", S)
+        ll, times = np.zeros((one.n, two.n)), np.zeros((one.n, two.n))
+        for some in grid.chunks(one.contexts):
+            seen, states = one.exact(some)[0].reshape(one.n, -1), two.closest(some).reshape(two.n, -1)
+            ll += seen @ states.T
+            times += seen @ (states != 0).T.astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(times > 0, -ll / times, np.nan)
+        head = np.flatnonzero(~a["probe"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+        place = one.place[head]
+        value = np.fmin(value[place], value[place + 1]) if both_strands else value[place]
+        seq, model = np.divmod(np.arange(len(head) * two.n), two.n)
+        return pa.table({
+            "seq_id": one.ids.take(pa.array(place[seq] // 2)), "model_id": two.ids.take(pa.array(model)), "ll": ll[place].ravel() + 0.0,
+            "n_scored": times[place].ravel().astype(np.int64), "length": a["length"].combine_chunks().take(pa.array(head[seq])), "nll": value.ravel() + 0.0,
+        })
+
+    # a sequence has no more probes than positions, nor than there are contexts
+    size = F.least(F.length("seq"), F.lit(4 ** min(order, 15)))
+    n, held = seqs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head(1)[0]
+    n_left = max(1, -(-n // grid.IDS), -(-held * (1 + both_strands) // grid.ROWS))
+    kind = seqs.schema["seq_id"].dataType.simpleString(), models.schema["model_id"].dataType.simpleString()
+    schema = f"seq_id {kind[0]}, model_id {kind[1]}, ll double, n_scored long, length long, nll double"
+    return grid.on_grid(rows, scored, "seq_id", "model_id", run, schema, n_left, grid.blocks(models, "model_id"))
+
+
 def nll(seqs: DataFrame, models: DataFrame, own: bool = False, score: str = "log", background_order: int = 0, both_strands: bool = False, order: int | None = None) -> DataFrame:
     """``seq_id, model_id, nll``: minus the sum of scores over the number of scored positions; NaN where there is none.
 
     With ``both_strands`` the smaller of a sequence's and its reverse complement's.
     """
     order = deepest(models) if order is None else order
+    if not own:
+        return _all_scores(seqs, models, score, background_order, order, both_strands).select("seq_id", "model_id", "nll")
+    value = F.coalesce(F.try_divide(-F.col("ll"), F.col("n_scored")), F.lit(float("nan"))).alias("nll")
+    found = log_likelihood(seqs, models, True, score, background_order, order).select("seq_id", "model_id", value)
     if both_strands:
-        two = seqs.select("seq_id", "seq", F.lit("+").alias("strand")).unionByName(seqs.select("seq_id", reverse_complement(F.col("seq")).alias("seq"), F.lit("-").alias("strand")))
-        marked = two.select(F.concat_ws("\t", "strand", "seq_id").alias("seq_id"), "seq")
-        if own:
-            raise ValueError("tie strands to own models by filtering the score matrix")
-        both = nll(marked, models, False, score, background_order, False, order)
-        return both.groupBy(F.substring_index("seq_id", "\t", -1).alias("seq_id"), "model_id").agg(F.min("nll").alias("nll"))
-    found = log_likelihood(seqs, models, own, score, background_order, order)
-    return found.select("seq_id", "model_id", F.coalesce(F.try_divide(-F.col("ll"), F.col("n_scored")), F.lit(float("nan"))).alias("nll"))
+        other = seqs.select("seq_id", reverse_complement(F.col("seq")).alias("seq"))
+        found = found.unionByName(nll(other, models, True, score, background_order, False, order)).groupBy("seq_id", "model_id").agg(F.min("nll").alias("nll"))
+    return found
 
 
 def likelihood(seqs: DataFrame, models: DataFrame, own: bool = False) -> DataFrame:

@@ -11,6 +11,17 @@ _DOCS = """seqs AS (
   FROM documents WHERE text IS NOT NULL)"""
 
 
+def _document_training(depth: int, count: int, threshold: float) -> str:
+    """The same over long texts: words come from neighbouring symbols, so no row holds a text."""
+    after = " || ".join(f"coalesce(lead(c, {k}) OVER w, '')" for k in range(1, depth + 1))
+    words = f"""
+letters AS (SELECT seq_id, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM seqs WHERE seq <> ''),
+tails AS (SELECT seq_id, t, count(*) AS n FROM (SELECT seq_id, string_split(c || {after}, 'N')[1] AS t FROM letters WINDOW w AS (PARTITION BY seq_id ORDER BY i)) WHERE t <> '' GROUP BY 1, 2),
+words AS (SELECT seq_id AS model_id, left(t, CAST(k AS INT)) AS word, CAST(sum(n) AS BIGINT) AS n FROM tails, (SELECT unnest(range(1, {depth + 2})) AS k) WHERE length(t) >= k GROUP BY 1, 2),"""
+    rest = _training(depth, count, threshold)
+    return words + rest[rest.index("\nnodes AS") :]
+
+
 def _training(depth: int, count: int, threshold: float) -> str:
     return f"""
 pos AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs),
@@ -194,10 +205,18 @@ result AS (
          ll AS log_likelihood, n_params, observed_min_count, observed_max_depth
   FROM gz JOIN gl USING (min_count, max_depth, threshold, model_id) JOIN seqs ON seqs.seq_id = gz.model_id)"""
 
+_FEWER = "fewer AS (SELECT probs.* FROM probs LEFT JOIN sub ON sub.model_id = probs.model_id AND sub.context = probs.context WHERE probs.context = '' OR sub.most >= 1.0)"
+_WORD_SCORES = _chances(4) + ", scored AS (SELECT c.model_id, c.word, ln(c.p) AS l, c.p * m.count AS f FROM chance c JOIN models m ON m.model_id = c.model_id AND m.context = '')"
+
+
+def _dot(a: str, b: str) -> str:
+    return " + ".join(f"{a}.p_{x} * {b}.p_{x}" for x in "acgt")
+
+
 ORACLE_SQL: dict[str, str] = {
     "word_counts": f"{_MODELS} SELECT model_id, word, n FROM words",
-    "document_word_counts": f"WITH {_DOCS},{_training(2, 4, 3.9075)} SELECT word, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_sequences FROM words GROUP BY word",
-    "document_models": f"WITH {_DOCS},{_training(2, 4, 3.9075)} SELECT model_id, context, count, {_PS} FROM models",
+    "document_word_counts": f"WITH {_DOCS},{_document_training(2, 4, 3.9075)} SELECT word, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_sequences FROM words GROUP BY word",
+    "document_models": f"WITH {_DOCS},{_document_training(2, 4, 3.9075)} SELECT model_id, context, count, {_PS} FROM models",
     "support_prune": f"{_MODELS} SELECT model_id, context, count FROM nodes",
     "forward_counts": f"{_MODELS} SELECT * FROM fol",
     "next_probabilities": f"{_MODELS} SELECT model_id, context, count, {_PS} FROM probs",
@@ -227,7 +246,8 @@ SELECT model_id, context, count, {", ".join(_r(f"(e_{x} + 1) / (e_a + e_c + e_g
     "closest_state": f"{_MODELS},{_OWN} SELECT model_id, probe, context, count, {_PS} FROM st",
     "log_likelihood": f"""{_MODELS},{_OWN},{_SCORED} SELECT sc.seq_id, model_id, {_r("sum(CASE WHEN symbol <> 'N' THEN s ELSE 0 END)", "ll")}, CAST(sum(CASE WHEN symbol <> 'N' AND s <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_scored,
   length(any_value(seq)) AS length FROM sc JOIN seqs ON seqs.seq_id = sc.seq_id GROUP BY 1, 2""",
-    "likelihood": f"{_MODELS}, {_chances(3)} SELECT model_id, word, {_r('ln(p)', 'log_p')} FROM chance",
+    "likelihood": f"{_MODELS},{_OWN},{_SCORED} SELECT seq_id, model_id, {_r('sum(s)', 'log_likelihood')} FROM sc GROUP BY 1, 2",
+    "word_likelihood": f"{_MODELS}, {_chances(3)} SELECT model_id, word, {_r('ln(p)', 'log_p')} FROM chance",
     "nll": f"{_MODELS},{_OWN},{_SCORED} {_NLL}",
     "nll_max_adjusted": f"{_MODELS},{_OWN},{_SCORED.replace(_LN, _PICK)} {_NLL}",
     "nll_background": f"{_MODELS},{_BG} {_NLL}",
@@ -239,6 +259,9 @@ pr AS (SELECT DISTINCT probe FROM posn),{_state('st', 'pr', False)},
 sc AS (SELECT posn.seq_id, strand, st.model_id, {_LN} AS s FROM posn JOIN st ON st.probe = posn.probe WHERE symbol <> 'N'),
 each AS (SELECT seq_id, model_id, strand, -sum(s) / sum(CASE WHEN s <> 0 THEN 1 ELSE 0 END) AS v FROM sc GROUP BY 1, 2, 3)
 SELECT seq_id, model_id, {_r("min(v)", "nll")} FROM each GROUP BY 1, 2""",
+    "score_matrix_background": f"""{_MODELS},{_POSITIONS}, pr AS (SELECT DISTINCT probe FROM posn),{_state("st", "pr", False)},
+sb AS (SELECT st.*, {", ".join(f"b.p_{x} AS b_{x}" for x in "acgt")} FROM st JOIN models b ON b.model_id = st.model_id AND b.context = CASE WHEN length(st.context) > 1 AND EXISTS (SELECT 1 FROM models e WHERE e.model_id = st.model_id AND e.context = right(st.context, 1)) THEN right(st.context, 1) ELSE '' END),
+sc AS (SELECT posn.seq_id, sb.model_id, posn.symbol, CASE symbol WHEN 'A' THEN ln(p_a) - 0.5 * ln(b_a) WHEN 'C' THEN ln(p_c) - 0.5 * ln(b_c) WHEN 'G' THEN ln(p_g) - 0.5 * ln(b_g) WHEN 'T' THEN ln(p_t) - 0.5 * ln(b_t) ELSE 0 END AS s FROM posn JOIN sb ON sb.probe = posn.probe) {_NLL}""",
     "reverse_complement_of": f"WITH {_SEQS} SELECT seq_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM seqs",
     "sliding_windows": f"{_MODELS},{_OWN},{_SCORED} SELECT seq_id, model_id, window_size, pos, {_r('nll', 'nll')} FROM ({_windows((10,))})",
     "sliding_windows_multi": f"{_MODELS},{_OWN},{_SCORED} SELECT seq_id, model_id, window_size, pos, {_r('nll', 'nll')} FROM ({_windows((5, 20))})",
@@ -294,4 +317,25 @@ SELECT seq_id, label, n FROM lb WHERE f > 1 OR (n = 1 AND e) UNION ALL SELECT se
     "tree_height": f"""WITH {_SEQS}, st AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs), sb AS (SELECT seq_id, seq, i, unnest(range(1, least(100, length(seq) - i + 1) + 1)) AS k FROM st),
 lb AS (SELECT seq_id, substr(seq, i, k) AS label, count(*) AS n, count(DISTINCT substr(seq, i + k, 1)) AS f FROM sb GROUP BY 1, 2)
 SELECT seq_id, max(length(label)) AS height FROM lb WHERE n > 1 AND f > 1 GROUP BY 1""",
+    "jensenshannon_compat": f"{_MODELS}, {_ROOTED}, f AS (SELECT model_id, context, {', '.join(f'p_{x} / sqrt(r_{x}) AS {x}' for x in 'acgt')} FROM rooted)" + _pairs("v", _terms(f"sum({' + '.join(f'0.5 * l.{x} * ln(l.{x} / r.{x})' for x in 'acgt')}) AS v", "f"), "0.0"),
+    "correlation_compat": f"{_MODELS}, {_RAW}" + _pairs("CASE WHEN ll - sl * sl / n > 1e-12 AND rr - sr * sr / n > 1e-12 THEN 1 - (lr - sl * sr / n) / (ll - sl * sl / n) END", _terms(_SUMS, "comp", ", 4 * count(*) AS n"), "NULL"),
+    "d2_two_sets": f"""{_MODELS}, {_FEWER}, dots AS (SELECT l.model_id AS left_id, r.model_id AS right_id, sum({_dot("l", "r")}) AS lr, sum({_dot("l", "l")}) AS ll, sum({_dot("r", "r")}) AS rr FROM models l JOIN fewer r ON l.context = r.context GROUP BY 1, 2)
+SELECT left_id, right_id, {_r("0.5 * (1 - lr / (sqrt(ll) * sqrt(rr)))", "value")} FROM dots""",
+    "kl_both_two_sets": f"""{_MODELS}, {_FEWER}, lf AS (SELECT m.model_id, m.context, m.count / CAST(t.count AS DOUBLE) AS p FROM models m JOIN models t ON t.model_id = m.model_id AND t.context = ''),
+rf AS (SELECT m.model_id, m.context, m.count / CAST(t.count AS DOUBLE) AS p FROM fewer m JOIN fewer t ON t.model_id = m.model_id AND t.context = ''),
+sums AS (SELECT l.model_id AS left_id, r.model_id AS right_id, sum((l.p - r.p) * ln(l.p / r.p)) AS v, avg(length(l.context)) AS n FROM lf l JOIN rf r ON l.context = r.context GROUP BY 1, 2)
+SELECT left_id, right_id, {_r("CASE WHEN n > 0 THEN v / 2 / n END", "value")} FROM sums""",
+    "fasta_models": f"{_MODELS} SELECT model_id || ' a->b' AS model_id, context, count, {_PS} FROM models",
+    "fastq_models": f"{_MODELS} SELECT model_id || ' a->b' AS model_id, context, count, {_PS} FROM models",
+    "jaccard_given_words": f"""{_MODELS}, {_WORD_SCORES}, sums AS (SELECT l.model_id AS left_id, r.model_id AS right_id, sum(CASE WHEN l.f >= 1 AND r.f >= 1 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN l.f >= 1 OR r.f >= 1 THEN 1 ELSE 0 END) AS e FROM scored l JOIN scored r ON l.word = r.word GROUP BY 1, 2)
+SELECT left_id, right_id, {_r("10 * (1 - pow(2 * (b / e) / (b / e + 1), 0.25))", "value")} FROM (SELECT left_id, right_id, CAST(b AS DOUBLE) AS b, nullif(CAST(e AS DOUBLE), 0) AS e FROM sums)""",
+    "jaccard_prob_given_words": f"""{_MODELS}, {_WORD_SCORES}, sums AS (SELECT l.model_id AS left_id, r.model_id AS right_id, avg(abs(l.l - r.l)) AS gap, avg((l.f + r.f) / 2) AS mean FROM scored l JOIN scored r ON l.word = r.word GROUP BY 1, 2)
+SELECT left_id, right_id, {_r("gap * ln(mean)", "value")} FROM sums""",
+    "nll_distance_given_samples": f"""{_MODELS},{_POSITIONS}, pr AS (SELECT DISTINCT probe FROM posn),{_state("st", "pr", False)},
+sc AS (SELECT posn.seq_id, st.model_id, {_LN} AS s FROM posn JOIN st ON st.probe = posn.probe WHERE symbol <> 'N'),
+v AS (SELECT seq_id, model_id, -sum(s) / sum(CASE WHEN s <> 0 THEN 1 ELSE 0 END) AS v FROM sc GROUP BY 1, 2)
+SELECT a.seq_id AS left_id, a.model_id AS right_id, {_r("(a.v + b.v) / 2", "value")} FROM v a JOIN v b ON a.seq_id = b.model_id AND a.model_id = b.seq_id""",
 }
+
+ORACLE_SQL["nll_symmetric_own"] = f"SELECT * FROM ({ORACLE_SQL['nll_symmetric']}) WHERE seq_id = model_id"
+ORACLE_SQL["penalized_dvstar_symmetric"] = ORACLE_SQL["penalized_dvstar"].replace("(n - shared) / n", "(size.n + o.n - 2 * shared) / (size.n + o.n - shared)") + " JOIN size o ON o.model_id = base.right_id"

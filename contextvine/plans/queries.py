@@ -7,6 +7,7 @@ that sum in another order agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.symbols import P, all_words_column, background_context, reverse_complement
 from ..operators import distances as D
 from ..operators import sampling, scoring, selection, training, vectors, words
-from ..session import stored
+from ..session import shared_dir, stored
+from ..sources import records
 from ..sources.records import document_sequences, event_sequences
 from ..sources.trees import parse_trees, to_tree_text
 
@@ -175,6 +177,12 @@ def log_likelihood(spark, sf):
 
 @query
 def likelihood(spark, sf):
+    """As a logarithm again, since a likelihood of a whole sequence is 0 to six places."""
+    return scoring.likelihood(sequences(spark, sf), stored_models(spark, sf), own=True).select("seq_id", "model_id", F.log("likelihood").alias("log_likelihood"))
+
+
+@query
+def word_likelihood(spark, sf):
     return D.word_probabilities(models(spark, sf), 3).select("model_id", "word", F.log("p").alias("log_p"))
 
 
@@ -203,6 +211,16 @@ def nll_symmetric(spark, sf):
     return scoring.nll(sequences(spark, sf), stored_models(spark, sf), both_strands=True, order=3)
 
 
+@query
+def nll_symmetric_own(spark, sf):
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, both_strands=True, order=3)
+
+
+@query
+def score_matrix_background(spark, sf):
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), score="background", background_order=1, order=3)
+
+
 @query
 def reverse_complement_of(spark, sf):
     return sequences(spark, sf).select("seq_id", reverse_complement(F.col("seq")).alias("seq"))
@@ -255,7 +273,8 @@ for _name, _registered, _options in (
     ("d2", "d2", {}), ("dv", "dv", {}), ("dvstar", "dvstar", {}), ("dvstar_bg1", "dvstar", {"background_order": 1}), ("nearest_dvstar", "nearest-dvstar", {}),
     ("penalized_dvstar", "penalized-dvstar", {}), ("d2star", "d2star", {}), ("cv", "cv", {"background_order": 1}), ("cv_estimation", "cv-estimation", {"order": 3, "background_order": 1}),
     ("kl", "kl", {"order": 3}), ("kl_both", "kl-both", {}), ("kl_both_background", "kl-both-background", {}), ("jensenshannon", "jensenshannon", {}), ("canberra", "canberra", {}),
-    ("correlation", "correlation", {}),
+    ("correlation", "correlation", {}), ("penalized_dvstar_symmetric", "penalized-dvstar", {"symmetric": True}), ("nearest_dvstar_symmetric", "nearest-dvstar", {"symmetric": True}),
+    ("jensenshannon_compat", "jensenshannon", {"compat": True}), ("correlation_compat", "correlation", {"compat": True}),
 ):
     _distance(_name, _registered, **_options)
 
@@ -328,21 +347,78 @@ def generate_sequence(spark, sf):
     return sampling.generate(stored_models(spark, sf), 100, seed=1)
 
 
+def _pruned_more(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(training.cutoff_prune(models(spark, sf), 1.0), "models")
+
+
+@query
+def d2_two_sets(spark, sf):
+    return D.distance("d2", stored_models(spark, sf), _pruned_more(spark, sf)).drop("name")
+
+
+@query
+def kl_both_two_sets(spark, sf):
+    return D.distance("kl-both", stored_models(spark, sf), _pruned_more(spark, sf)).drop("name")
+
+
+def _sequence_file(spark: SparkSession, sf: str, kind: str) -> str:
+    """The sequences as a folder of FASTA or FASTQ text; ids hold a ``>``."""
+    seqs, path = sequences(spark, sf), f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}.{kind}"
+    record = "concat('>', seq_id, ' a->b\n', seq)" if kind == "fasta" else "concat('@', seq_id, ' a->b\n', seq, '\n+\n', repeat('@', length(seq)))"
+    seqs.select(F.expr(record)).write.text(path)
+    return path
+
+
+def _trained_on(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    seqs = records.load_sequences(spark, _sequence_file(spark, sf, kind)).select("seq_id", "seq")
+    return training.cutoff_prune(training.train_unpruned(seqs, PARAMS), PARAMS.threshold).select(*CONTEXT)
+
+
+@query
+def fasta_models(spark, sf):
+    return _trained_on(spark, sf, "fasta")
+
+
+@query
+def fastq_models(spark, sf):
+    return _trained_on(spark, sf, "fastq")
+
+
+def _all_words(spark: SparkSession, length: int) -> DataFrame:
+    return spark.range(1).select(F.explode(all_words_column(length)).alias("seq_id")).withColumn("seq", F.col("seq_id"))
+
+
 @query
 def jaccard(spark, sf):
-    return sampling.jaccard(m := stored_models(spark, sf), m, length=5, n=200)
+    return sampling.jaccard(m := stored_models(spark, sf), m)
 
 
 @query
 def jaccard_prob(spark, sf):
-    return sampling.jaccard_prob(m := stored_models(spark, sf), m, length=5, n=200)
+    return sampling.jaccard_prob(m := stored_models(spark, sf), m)
+
+
+@query
+def jaccard_given_words(spark, sf):
+    return sampling.jaccard(m := stored_models(spark, sf), m, length=4, words=_all_words(spark, 4))
+
+
+@query
+def jaccard_prob_given_words(spark, sf):
+    return sampling.jaccard_prob(m := stored_models(spark, sf), m, length=4, words=_all_words(spark, 4))
 
 
 @query
 def nll_distance(spark, sf):
-    return sampling.nll_distance(m := stored_models(spark, sf), m, 100)
+    return sampling.nll_distance(m := stored_models(spark, sf), m)
+
+
+@query
+def nll_distance_given_samples(spark, sf):
+    seqs = sequences(spark, sf)
+    return sampling.nll_distance(m := stored_models(spark, sf), m, left_samples=seqs, right_samples=seqs)
 
 
 @query
 def nll_background_distance(spark, sf):
-    return sampling.nll_background_distance(m := stored_models(spark, sf), m, 100, 1)
+    return sampling.nll_background_distance(m := stored_models(spark, sf), m, background_order=1)

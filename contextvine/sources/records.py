@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ FASTA, FASTQ, LISTS = (".fasta", ".fna", ".fa"), (".fastq", ".fq"), (".txt",)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``path, ord, seq_id, seq``: one row per record, split at ``>`` by the reader; ids end at the line."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("path"), "value").where("trim(value) <> ''")
+    """``path, ord, seq_id, seq``: one row per record, split by the reader where a line starts with ``>``.
+
+    The id is the rest of that line, in which ``>`` may stand, without leading ones.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^>+", "").alias("value")).where("trim(value) <> ''")
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s+", "")
     return raw.select("path", F.monotonically_increasing_id().alias("ord"), F.trim(F.regexp_replace(head, "\r", "")).alias("seq_id"), normalise(body).alias("seq"))
@@ -40,13 +45,13 @@ def load_sequences(spark: SparkSession, path: str) -> DataFrame:
         return read_fastq(spark, path)
     if name.endswith(LISTS):
         listed = [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]  # paths, not data
-        parts = [load_sequences(spark, p) for p in listed]
-        if not parts:
+        if not listed:
             raise ValueError(f"{path} names no file")
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        # one reader for all files of a kind
+        plain = {p: p.lower().removesuffix(".gz") for p in listed}
+        kinds = [(read_fasta, [p for p in listed if plain[p].endswith(FASTA)]), (read_fastq, [p for p in listed if plain[p].endswith(FASTQ)])]
+        parts = [read(spark, paths) for read, paths in kinds if paths] + [load_sequences(spark, p) for p in listed if not plain[p].endswith(FASTA + FASTQ)]
+        return reduce(DataFrame.unionByName, parts)
     raise ValueError(f"unknown kind of file: {path}")
 
 

@@ -209,3 +209,41 @@ def test_labels_and_height_have_no_limit(spark, tmp_path):
     got = [(r.label, r.n) for r in QUERIES["substring_labels"](spark, str(tmp_path)).collect() if str(r.seq_id) == "7"]
     assert dict(got) == want and len(got) == len(want)
     assert {str(r.seq_id): r.height for r in QUERIES["tree_height"](spark, str(tmp_path)).collect()} == {"7": 150}
+
+
+def test_headers_may_hold_the_sign(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">s1 a->b gene\nACGT\n>>s2\r\nAC\r\nGT\r\n\n>s3\n")
+    (tmp_path / "y.fa").write_text(">other>\nTT")
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/x.fa\n{tmp_path}/y.fa\n")
+    got = {r.seq_id: r.seq for r in records.load_sequences(spark, str(tmp_path / "list.txt")).collect()}
+    assert got == {"s1 a->b gene": "ACGT", "s2": "ACGT", "s3": "", "other>": "TT"}
+
+
+def several(spark, n=11):
+    names = [f"{k % 3}\t{k}" for k in range(n)]  # ids of many kinds, a tab among their letters
+    seqs = spark.createDataFrame([(name, random_sequence(seed, 60)) for seed, name in enumerate(names)], "seq_id string, seq string")
+    return seqs, training.train(seqs, max_depth=2, min_count=2, threshold=0.2)
+
+
+def test_both_strands_keep_ids_apart(spark):
+    seqs, models = several(spark, 4)
+    two = {(r.seq_id, r.model_id): r.nll for r in scoring.nll(seqs, models, both_strands=True).collect()}
+    turned = seqs.select("seq_id", scoring.reverse_complement(F.col("seq")).alias("seq"))
+    each = [{(r.seq_id, r.model_id): r.nll for r in scoring.nll(s, models).collect()} for s in (seqs, turned)]
+    assert len(two) == 16 and all(two[k] == pytest.approx(min(e[k] for e in each)) for k in two)
+    own = {r.seq_id: r.nll for r in scoring.nll(seqs, models, own=True, both_strands=True).collect()}
+    assert own == pytest.approx({i: two[i, i] for i, _ in two})
+
+
+@pytest.mark.parametrize("name", ["d2", "nearest-dvstar", "kl-both", "jensenshannon"])
+def test_blocks_do_not_matter(spark, monkeypatch, name):
+    from contextvine.operators import grid
+
+    seqs, models = several(spark)
+    few = models.where("model_id < '2'")
+    whole = {(r.left_id, r.right_id): r.value for r in distances.distance(name, models, few).collect()}
+    scores = {(r.seq_id, r.model_id): r.nll for r in scoring.nll(seqs, few).collect()}
+    monkeypatch.setattr(grid, "IDS", 2)
+    cut = {(r.left_id, r.right_id): r.value for r in distances.distance(name, models, few).collect()}
+    assert len(whole) == 11 * 8 and cut.keys() == whole.keys() and all(cut[k] == pytest.approx(whole[k]) for k in cut)
+    assert {(r.seq_id, r.model_id): r.nll for r in scoring.nll(seqs, few).collect()} == pytest.approx(scores)
