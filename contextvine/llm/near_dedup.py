@@ -9,7 +9,8 @@ documents that agree on a band meet.  No bucket's pairs are ever listed:
 2. buckets that still hold more than one component are compared in blocks by
    signature estimate, which joins components between which a link is possible to
    families; the documents of a family are compared on full texts, again in blocks,
-   by counting intersections through shingle lists.
+   by counting intersections through shingle lists.  What lies in a key's largest
+   component is never compared with itself.
 
 Cells of blocks return forests, so nothing grows with the pairs of a bucket; and a
 link between documents of one component changes nothing, so every link that
@@ -120,12 +121,12 @@ def shingler(*settings: int) -> Shingler:
 
 
 def sketch(docs: DataFrame, settings: tuple[int, ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, set_key`` (a digest of the set), ``signature`` and ``bands``; nulls for an empty set."""
+    """Per row: ``doc_id, text_key, n_shingles, set_key`` (a digest of the set), ``signature`` and ``bands``; nulls for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shingler(*settings)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for at in range(0, len(texts), 256):
                 sets = [s.shingles(t.as_py()) for t in texts.slice(at, 256)]
                 full = [k for k, x in enumerate(sets) if len(x)]
@@ -139,31 +140,55 @@ def sketch(docs: DataFrame, settings: tuple[int, ...], doc_id: str = "doc_id", t
                         signatures[k] = sig.tobytes()
                         bands[k] = band
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "signature", "bands"],
+                    [batch.column(0).slice(at, 256), batch.column(1).slice(at, 256), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "signature", "bands"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
+    return rows.mapInArrow(trimmed(run), "doc_id long, text_key long, n_shingles long, set_key binary, signature binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, settings: tuple[int, ...], percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``."""
+def verified(pairs: DataFrame, texts: DataFrame, settings: tuple[int, ...], percent: int, width: int, chunk: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``.
+
+    The partners of one ``a`` are dealt in chunks of about ``chunk``; each chunk gets
+    the text of ``a`` once, so an ``a`` of many partners fills many tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shingler(*settings)
+        s, at, held = shingler(*settings), None, []
         for batch in batches:
-            left, right, keep = batch.column(2), batch.column(3), []
-            for x, y in zip(left, right):
-                x, y = s.shingles(x.as_py()), s.shingles(y.as_py())
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            left, right = [], []
+            for a, part, b, text in zip(*(batch.column(k) for k in range(4))):
+                own = (a.as_py(), part.as_py())
+                if own != at:
+                    at, held = own, []
+                x = s.shingles(text.as_py())
+                if not b.is_valid:  # the texts of ``a`` come first
+                    held.append(x)
+                    continue
+                for y in held:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        left.append(own[0])
+                        right.append(b.as_py())
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge")
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    sizes = materialise(sizes, "near-chunks")
+    leads = sizes.join(texts.withColumnRenamed("doc_id", "a").hint("merge"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    # dealt by the partner first: a hot ``a`` is no key of a join with texts
+    partners = pairs.join(F.broadcast(sizes.where("parts > 1")), "a", "left") if sizes.where("parts > 1").count() <= MOST_HOT else pairs.join(sizes.hint("merge"), "a")
+    partners = partners.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).select("a", "part", "b")
+    partners = partners.join(texts.withColumnRenamed("doc_id", "b").hint("merge"), "b").select("a", "part", "b", "text")
+    dealt = leads.unionByName(partners).repartition(width, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
+
+
+#: Leads of several chunks that may be broadcast, two numbers each.
+MOST_HOT = 200_000
 
 
 class _Sets:
@@ -184,12 +209,31 @@ class _Sets:
         return x != y
 
 
-def _cells(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """Deal rows with ``blocks`` and ``own`` so that each two blocks of a key meet in one cell ``(key, i, j)``."""
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cell = F.explode(F.transform(all_blocks, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    rest = [c for c in rows.columns if c not in (key, "blocks", "own")]
-    dealt = rows.withColumn("cell", cell).select(key, "cell.i", "cell.j", "own", *rest)
+def _cells(rows: DataFrame, key: str, width: int, weight: str | None = None, block: int = 1024, most_weight: int = 500_000) -> DataFrame:
+    """Deal rows so that each two rows of a key that lie in different components meet in one cell ``(key, i, j)``.
+
+    ``rows``: ``key, doc_id, component`` and more.  A key's largest component is not
+    compared with itself: its blocks (``j`` below 0) meet only the blocks of the
+    other rows, which also meet each other.  So rows travel as often as there are
+    blocks of other rows, however large that component is.  A block holds about
+    ``block`` rows, and no more than ``most_weight`` of ``weight``.
+    """
+    heavy = F.col(weight) if weight else F.lit(0)
+    sizes = rows.groupBy(key, "component").agg(F.count("*").alias("n"), F.sum(heavy).alias("w"))
+    sizes = materialise(sizes, "near-sizes")
+    need = lambda n, w: F.greatest(F.ceil(n / block), F.ceil(w / most_weight)).cast("int")
+    most = sizes.groupBy(key).agg(F.max(F.struct("n", (-F.col("component")).alias("c"), "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("components")).where("components > 1")
+    most = most.select(key, (-F.col("top.c")).alias("main"), need(F.col("top.n"), F.col("top.w")).alias("main_blocks"), need(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("blocks"))
+    placed = rows.join(materialise(most, "near-mains").hint("merge"), key)
+    is_main = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int")
+    placed = placed.withColumn("own", F.when(is_main, -1 - own).otherwise(own))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    main = F.transform(to("blocks"), lambda o: cell(o, F.col("own")))
+    rest = F.concat(F.transform(to("main_blocks"), lambda m: cell(F.col("own"), -1 - m)), F.transform(to("blocks"), lambda o: cell(F.least(o, F.col("own")), F.greatest(o, F.col("own")))))
+    more = [c for c in rows.columns if c != key]
+    dealt = placed.withColumn("cell", F.explode(F.when(is_main, main).otherwise(rest))).select(key, "cell.i", "cell.j", "own", *more)
     return dealt.repartition(width, key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
@@ -219,10 +263,10 @@ def _by_cell(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBa
         yield from flush()
 
 
-def possible_links(members: DataFrame, least_agree: int, width: int) -> DataFrame:
+def possible_links(members: DataFrame, least_agree: int, width: int, block: int = 1024) -> DataFrame:
     """Links ``a, b`` that join all components of a bucket between which a link is possible.
 
-    ``members``: ``key, doc_id, component, signature, blocks, own``.  Two documents
+    ``members``: ``key, doc_id, component, signature``.  Two documents
     may be linked if their signatures agree in ``least_agree`` places.  A cell
     returns a forest over its components, never its pairs.
     """
@@ -243,13 +287,13 @@ def possible_links(members: DataFrame, least_agree: int, width: int) -> DataFram
 
         return _by_cell(batches, compare)
 
-    return _cells(members, "key", width).mapInArrow(trimmed(run), "a long, b long").distinct()
+    return _cells(members, "key", width, block=block).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def exact_links(members: DataFrame, settings: tuple[int, ...], percent: int, width: int) -> DataFrame:
+def exact_links(members: DataFrame, settings: tuple[int, ...], percent: int, width: int, block: int = 1024) -> DataFrame:
     """Links between components of a family, from full sets: a forest per cell of all pairs that qualify.
 
-    ``members``: ``family, doc_id, component, text, blocks, own``.  A cell counts the
+    ``members``: ``family, doc_id, component, n_shingles, text``.  A cell counts the
     intersections of a document with all others at once, through lists of the
     documents that hold each shingle.
     """
@@ -283,7 +327,7 @@ def exact_links(members: DataFrame, settings: tuple[int, ...], percent: int, wid
 
         return _by_cell(batches, compare)
 
-    return _cells(members, "family", width).mapInArrow(trimmed(run), "a long, b long").distinct()
+    return _cells(members, "family", width, "n_shingles", block).mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 5.2, block: int = 1024, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -312,14 +356,20 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     else:
         chosen = candidates.hint("merge")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # of rows that repeat an id, any one of the class's set stands for it
-    texts = materialise(source.join(chosen, "doc_id", "left_semi"), "near-texts")
+    found = source.join(chosen, "doc_id", "left_semi")
+    # rows that repeat an id: one text of each of its sets stands for it
+    again = materialise(sketches.where("set_key is not null and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "near-repeated")
+    if again.head(1):
+        keep = heads.join(again.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
+        some = source.withColumn("text_key", F.xxhash64("text")).join(keep.hint("merge"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+        found = found.join(again.hint("merge"), "doc_id", "left_anti").unionByName(some.drop("text_key").join(chosen, "doc_id", "left_semi"))
+    texts = materialise(found, "near-texts")
 
     # first round: the lead a document shares most bands with
     votes = members.where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count("*").alias("n"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("lead")).alias("lead"))).alias("top"))
-    pairs = materialise(best.select(F.col("doc_id").alias("b"), (-F.col("top.lead")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    links = materialise(verified(pairs, texts, settings, percent).distinct(), "near-links")
+    pairs = materialise(best.select((-F.col("top.lead")).alias("a"), F.col("doc_id").alias("b")), "near-pairs")
+    links = materialise(verified(pairs, texts, settings, percent, width, block).distinct(), "near-links")
     found = materialise(components(links), "near-components")
 
     # second round: what buckets with several components still hide
@@ -330,21 +380,21 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     n = bands * rows
     share = percent / 100
     least_agree = int(np.floor(n * share - slack * np.sqrt(n * share * (1 - share))))
-    blocks = lambda size: F.ceil(size / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own")
-    signed = mixed.join(heads.select("doc_id", "signature").hint("merge"), "doc_id")
-    signed = signed.select("key", "doc_id", "component", "signature", blocks(F.col("size")).alias("blocks")).select("*", own)
-    possible = materialise(possible_links(signed, least_agree, width), "near-possible")
+    signatures = heads.select("doc_id", "signature").dropDuplicates(["doc_id", "signature"])
+    signed = mixed.join(signatures.hint("merge"), "doc_id").select("key", "doc_id", "component", "signature")
+    possible = materialise(possible_links(signed, least_agree, width, block), "near-possible")
     if possible.head(1):
         # families: components that a chain of possible links joins; any link is inside one
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         families = materialise(components(stars.unionByName(possible)).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "near-families")
         inside = mixed.select("doc_id", "component").distinct().join(families.hint("merge"), "doc_id")
         inside = materialise(inside, "near-inside")
-        sizes = inside.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family", "size")
-        inside = inside.join(materialise(sizes, "near-family-sizes").hint("merge"), "family").join(texts.hint("merge"), "doc_id")
-        inside = inside.select("family", "doc_id", "component", "text", blocks(F.col("size")).alias("blocks")).select("*", own)
-        late = materialise(exact_links(inside, settings, percent, width), "near-late-links")
+        mixed_families = inside.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family")
+        weights = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+        inside = inside.join(materialise(mixed_families, "near-mixed-families").hint("merge"), "family", "left_semi").join(weights.hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id")
+        inside = inside.select("family", "doc_id", "component", "n_shingles", "text")
+        # full sets are larger than signatures, so blocks are smaller
+        late = materialise(exact_links(inside, settings, percent, width, max(1, block // 4)), "near-late-links")
         if late.head(1):
             # every node of a component links to its least, so the settled stars stand for the first round
             found = materialise(components(stars.unionByName(late)), "near-components")

@@ -127,3 +127,22 @@ def test_shingle_sizes_and_estimates():
     x, y = (" ".join(f"w{k}" for k in range(a, a + 400)) for a in (0, 40))
     a, b = s.signatures([s.shingles(x), s.shingles(y)])
     assert abs((a == b).mean() - 356 / 436) < 0.12
+
+
+def test_hot_lead_and_repeated_rows(spark):
+    """Hundreds of near copies of one text, in chunks of a few; rows that repeat; ids with several texts."""
+    rng, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(80)]
+    for copy in range(300):
+        words = list(base)
+        words[rng.randrange(80)] = f"x{copy}"
+        rows.append((copy, " ".join(words)))
+    far = [f"y{k}" for k in range(60)]
+    close = [*far[:-1], "z"]
+    rows += [(1000, " ".join(far)), (1001, " ".join(close))] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_near(df, rows, block=8)
+    # an id whose rows hold two texts links with what either is close to
+    two = [(5, " ".join(base)), (5, " ".join(far)), (7, " ".join([*base[:-1], "q"])), (9, " ".join(close)), (11, "alone")]
+    got = {r.component_id for r in near_dedup(spark.createDataFrame(two, "doc_id long, text string")).collect() if r.doc_id != 11}
+    assert got == {5}
