@@ -109,7 +109,7 @@ def _spans_sql(number: int, kind: str, pattern: str, group: int, least: int) ->
       SELECT doc_id, text, source, regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS held, string_split_regex(text, '{pattern}') AS parts FROM docs))) WHERE length(held[k]) >= {least}"""
 
 
-def _secrets_sql(most_owners: int = 2) -> str:
+def _secrets_sql(most_owners: int = 2, most_repositories: int = 50) -> str:
     from .secrets import ADDED_KINDS, BASE_KINDS, PLACEHOLDER
 
     kinds = [*BASE_KINDS.items(), *ADDED_KINDS.items()]
@@ -118,8 +118,8 @@ def _secrets_sql(most_owners: int = 2) -> str:
     counts = ", ".join(f"count(kind) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
     base = f"number < {len(BASE_KINDS)}"
     return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents), every AS ({every}),
-seen AS (SELECT held, count(DISTINCT source) AS owners, max(regexp_matches(held, '{PLACEHOLDER}')) AS placeholder FROM every GROUP BY held),
-judged AS (SELECT every.*, owners <= {most_owners} AND NOT placeholder AS live FROM every JOIN seen ON seen.held = every.held)
+seen AS (SELECT held, count(DISTINCT source) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories, max(regexp_matches(held, '{PLACEHOLDER}')) AS placeholder FROM every GROUP BY held),
+judged AS (SELECT every.*, owners <= {most_owners} AND repositories <= {most_repositories} AND NOT placeholder AS live FROM every JOIN seen ON seen.held = every.held)
 SELECT docs.doc_id, {counts}, sha256({listed(base)}) AS base_sha256, {listed(base + " OR live")} AS spans, count(kind) FILTER (live) AS n_live, count(kind) FILTER (NOT live) AS n_copied
 FROM docs LEFT JOIN judged ON judged.doc_id = docs.doc_id GROUP BY docs.doc_id"""
 

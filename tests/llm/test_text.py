@@ -211,3 +211,28 @@ def test_anisotropic_loss_keeps_inner_products():
         codes = q.encode(x[:50])
         assert np.allclose(q.scan(x[:5], q.pack(codes)), x[:5] @ q.decode(codes).T, atol=1e-5)
     assert error["aware"] < error["plain"]
+
+
+def test_many_spans_in_one_text(spark):
+    """Ten thousand matches in one text: places and redaction take time in proportion to it."""
+    import time
+
+    parts = [(f"éa{k} " * (k % 3), f"token={k:010d}") for k in range(10_000)]
+    df = spark.createDataFrame([(1, "".join(f"{a}{b} " for a, b in parts), "s")], "doc_id long, text string, source string")
+    secrets.secret_scan(df).collect()  # code is compiled
+    start = time.time()
+    row = secrets.secret_scan(df).collect()[0]
+    took = time.time() - start
+    assert row.n_assign == 10_000 and row.n_live == 10_000 and took < 20
+    start = time.time()
+    redacted = secrets.redact(df).collect()[0].text
+    assert redacted == "".join(f"{a}[SECRET] " for a, _ in parts) and time.time() - start < 30
+
+
+def test_repositories_decide(spark):
+    rows = [(k, f"token=same{'q' * 8} and token=own{k:09d}", "one") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id0 string").withColumnRenamed("_id0", "source").withColumn("_id0", F.lit(1)).withColumn("_KEY0", F.lit(2)).withColumn("_spans0", F.lit(3))
+    assert {(r.n_live, r.n_copied) for r in secrets.secret_scan(df, most_repositories=5).collect()} == {(1, 1)}
+    assert {(r.n_live, r.n_copied) for r in secrets.secret_scan(df, most_repositories=6).collect()} == {(2, 0)}
+    kept = secrets.redact(df, most_repositories=5)
+    assert kept.columns == df.columns and {r.text for r in kept.collect()} == {"token=sameqqqqqqqq and [SECRET]"}
