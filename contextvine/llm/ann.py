@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .shared import trimmed
 
@@ -182,7 +183,7 @@ class CandidateBlock:
             yield int(query_ids[q]), ids[order], scores[order]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 4096, rerank: int = 120, fit_rows: int = 8000, dimension: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 8192, query_rows: int = 65_536, rerank: int = 120, fit_rows: int = 8000, dimension: int | None = None) -> DataFrame:
     """The ``k`` candidates of largest inner product for each query: ``query_id, rank, vec_id, score``.
 
     Every usable vector of the table's dimension (that of its smallest id unless
@@ -193,11 +194,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     ``rerank`` candidates of a block are scored exactly to find what the others
     must reach; all whose bound reaches it are scored too, so nothing is missed.
 
-    Work is a grid of candidate blocks and query blocks, each of about
-    ``block_rows`` rows; a task holds one block of candidates and streams queries.
+    Work is a grid of candidate blocks of about ``block_rows`` rows and query blocks
+    of about ``query_rows``; a task holds and codes one block of candidates and
+    streams queries, so a block of queries may be far larger.  Vectors of single
+    precision travel as such.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    kind = vectors.schema[embedding].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     schema = "query_id long, rank int, vec_id long, score double"
     if dimension is None:
         first = rows.orderBy("vec_id").select(F.size("embedding").alias("d")).head(1)
@@ -212,7 +217,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     quantiser = AnisotropicQuantiser.fit(np.array([r.embedding for r in sample]))
     n_blocks = max(1, -(-total // block_rows))
     query = is_query & F.col("vec_id").isNotNull()
-    n_query_blocks = max(1, -(-rows.where(query).count() // block_rows))
+    n_query_blocks = max(1, -(-rows.where(query).count() // query_rows))
     unique = rows.dropDuplicates(["vec_id", "embedding"])
     cells = lambda n, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), place)).alias("cell")
     own, own_query = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_query_blocks))
@@ -225,7 +230,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
         for batch in batches:
             cells, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             batch_ids = batch.column(2).to_numpy()
-            x = batch.column(3).flatten().to_numpy().reshape(len(batch), dimension)
+            x = batch.column(3).flatten().to_numpy().astype(np.float64).reshape(len(batch), dimension)
             edges = np.flatnonzero(np.diff(cells * 2 + roles)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(batch)]):
                 if cells[lo] != cell:
