@@ -5,7 +5,8 @@ matches anywhere.  The encoder takes the longest match and goes on; a token may
 follow another only if the pair is compatible, that is if merging would never
 join them across their border.  Where no compatible token remains it steps back
 to the next shorter match of the token before.  A border once found hopeless is
-never tried again, so the work is linear in the word.
+never tried again, so the work is linear in the word.  The library's own normaliser
+and pre-tokeniser give the words of text that is not ASCII.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,9 @@ from .encoding import _BYTE_LETTER, _LETTERS
 from .shared import trimmed
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Text of these is in normal form already, and every table lowers it letter by letter alike: ASCII, Latin letters but U+0130,
+#: Russian letters, kana, CJK ideographs, Hangul syllables and common marks.
+_STABLE = re.compile("[\x00-\x7fÀ-ÖØ-öø-įĲ-ſЀ-џぁ-ゖァ-ヺ一-鿕가-힣–—‘’“”„…«»¿¡°€。、，！？]+")
 _codecs: dict[str, "WordBpe"] = {}
 END = "\x00"  # stands for the end-of-word suffix while matching; never a byte letter
 
@@ -36,9 +39,10 @@ class WordBpe:
     ``decode(ids)`` equals its decoding with special tokens kept.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000) -> None:
+    def __init__(self, path: str, cache_size: int = 400_000, longest: int = 64) -> None:
         import ahocorasick
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -71,7 +75,10 @@ class WordBpe:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        # chunks of at most ``longest`` characters are remembered
+        self.cache_size, self.longest = cache_size, longest
+        library = Tokenizer.from_file(path)
+        self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         top = max([*vocab.values(), *self.special.values()]) + 1
         names = [""] * top
         for t, i in {**vocab, **self.special}.items():
@@ -150,33 +157,37 @@ class WordBpe:
             stem, mark = match.groups()
             if mark:
                 if (known := self.words.get(stem) or self.older.get(stem)) is None:
-                    known = self.words[stem] = self.chunk(stem)
+                    known = self.chunk(stem)
+                    if len(stem) <= self.longest:
+                        self.words[stem] = known
                 return known + self.marks[mark]
-            pieces = [stem]
+            pieces = [stem if chunk.isascii() else "".join(map(_BYTE_LETTER.__getitem__, stem.encode()))]
+        elif chunk.isascii():
+            pieces = [p if p.isprintable() else "".join(map(_BYTE_LETTER.__getitem__, p.encode())) for p in self.split.findall(chunk)]
         else:
-            # a code point without a category is neither letter nor number, whatever later tables say
-            shown = chunk if chunk.isascii() else "".join("¤" if unicodedata.category(c) == "Cn" else c for c in chunk)
-            pieces = [chunk[m.start() : m.end()] for m in self.split.finditer(shown)]
+            # classes of code points are the library's own; its pieces come in byte letters
+            pieces = [p for p, _ in self.pre_tokenize(chunk)]
         out: list[int] = []
         for piece in pieces:
-            out += self.word(piece if piece.isascii() and piece.isprintable() else "".join(map(_BYTE_LETTER.__getitem__, piece.encode())))
+            out += self.word(piece)
         return np.array(out, dtype=np.uint16 if len(self.text_table) <= 1 << 16 else np.uint32).tobytes()
 
     def _plain(self, text: str) -> list[bytes]:
         """Ids of a stretch without special tokens, as the ids of its chunks."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")  # lower case letter by letter, not by place in the word
-        text = text.lower()
-        chunks = [c for c in self.space.split(text) if c] if _SEPARATORS.search(text) else text.split()
+        if text.isascii() or _STABLE.fullmatch(text):
+            text = text.lower()
+            chunks = [c for c in self.space.split(text) if c] if _SEPARATORS.search(text) else text.split()
+        else:
+            # the library's normal form, in which runs of white space are one space
+            chunks = [c for c in self.normalize(text).split(" ") if c]
         found = list(map(self.words.get, chunks))
         if None in found:
+            fresh = {}
             for c in {c for c, f in zip(chunks, found) if f is None}:
                 known = self.older.get(c)
-                self.words[c] = self.chunk(c) if known is None else known
-            known = self.words
-            found = [known[c] if f is None else f for c, f in zip(chunks, found)]
+                fresh[c] = self.chunk(c) if known is None else known
+            found = [fresh[c] if f is None else f for c, f in zip(chunks, found)]
+            self.words |= {c: ids for c, ids in fresh.items() if len(c) <= self.longest}
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
