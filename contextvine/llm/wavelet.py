@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,6 +208,20 @@ class ShardReader:
     def count(self, token: int) -> int:
         return sum(self.block(k)[0].count(token) for k in range(len(self.blocks)))
 
+    def access(self, place: int) -> int:
+        """The id at a place of the whole shard; only its block is read."""
+        k = bisect_right(self.blocks, place, key=lambda b: b[3]) - 1
+        if k < 0:
+            raise IndexError(place)
+        matrix, _, before = self.block(k)
+        return matrix.access(place - before)
+
+    def occurrences(self, token: int) -> Iterator[int]:
+        """The places of an id in the whole shard, ascending; one block is held at a time."""
+        for k in range(len(self.blocks)):
+            matrix, _, before = self.block(k)
+            yield from (before + at for at in matrix.occurrences(token))
+
 
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 

@@ -10,7 +10,7 @@ import pytest
 from contextvine.llm.bpe import WordBpe, encode_decode
 from contextvine.llm.encoding import PieceEncoder, slices
 from contextvine.llm.packing import TierPacker, pack
-from contextvine.llm.wavelet import ShardReader, WaveletMatrix, filesystem, read_shards, write_shards
+from contextvine.llm.wavelet import ShardReader, ShardWriter, WaveletMatrix, filesystem, read_shards, write_shards
 from tests.llm.conftest import EDGE
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -96,6 +96,22 @@ def test_shards_on_edges(edge):
     assert read_shards(write_shards(edge.limit(0), BYTE)).count() == 0
 
 
+def test_shard_places(tmp_path):
+    import pyarrow.fs as fs
+
+    ids, local = np.random.default_rng(3).integers(0, 40, 5000).astype(np.uint16), fs.LocalFileSystem()
+    out = ShardWriter(local.open_output_stream(str(tmp_path / "s")), 16, block_ids=700)
+    for at in range(0, 5000, 130):
+        out.add(at, ids[at : at + 130])
+    assert out.close() == 5000
+    with local.open_input_file(str(tmp_path / "s")) as f:
+        reader = ShardReader(f)
+        assert len(reader.blocks) > 5 and [reader.access(i) for i in (0, 699, 780, 4999)] == ids[[0, 699, 780, 4999]].tolist()
+        assert list(reader.occurrences(7)) == np.flatnonzero(ids == 7).tolist() and reader.count(7) == (ids == 7).sum()
+        with pytest.raises(IndexError):
+            reader.access(5000)
+
+
 def gapless(parts):
     at = 0
     for a, n in sorted(parts):
@@ -132,3 +148,16 @@ def test_packing_on_edges(edge):
     assert total == sum(len(x) for v in ids.values() for x in v)
     assert all(n & (n - 1) == 0 for n in map(gapless, by_sequence.values())) and max(groups.values()) <= 8192
     assert pack(edge.limit(0), BYTE).count() == 0
+
+
+def test_every_code_point_as_the_library_has_it():
+    """Code points between letters, digits and marks: those up to U+323AF one by one, the others in steps."""
+    from tokenizers import Tokenizer
+
+    ours, library = WordBpe(WORDS), Tokenizer.from_file(WORDS)
+    points = [c for c in [*range(1, 0x323B0), *range(0x323B0, 0x110000, 997)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 256):
+        text = " ".join(f"8{chr(c)}a{chr(c)}́!" for c in points[at : at + 256])
+        assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(points[at])
+    text = "8᠋ॶa\U00025dd2᷷ⷣ"
+    assert ours.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
