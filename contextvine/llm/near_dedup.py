@@ -245,7 +245,9 @@ def _by_cell(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBa
         rows = pa.Table.from_batches(held)
         held.clear()
         own, i, j = rows.column("own").to_numpy(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        found = compare(rows, np.flatnonzero(own == i), np.flatnonzero(own == j))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        # a block of few rows may be empty, and then its cells hold one side alone
+        found = compare(rows, left, right) if len(left) and len(right) else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
