@@ -82,6 +82,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .square_packing import square_pack
+
+    return square_pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op12_vantage_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import label_after, mine, usable_rows
+
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", label_after(F.col("vec_id"), F.col("label")))
+    return mine(usable_rows(moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_wavelet_shards": op2_wavelet_shards,
@@ -93,6 +112,9 @@ QUERIES = {
     "op8_toxicity_neighbours": op8_toxicity_neighbours,
     "op9_anisotropic_search": op9_anisotropic_search,
     "op10_packing": op10_packing,
+    "op11_square_packing": op11_square_packing,
+    "op12_vantage_negatives": op12_vantage_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,4 +168,13 @@ ORACLE_SQL = {
         SELECT w.doc_id, coalesce(max(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(reach.y), w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(min(reach.y), w.doc_id)) AS kept
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id""",
     "op7_secret_ownership": _secrets_sql(),
+    "op12_vantage_negatives": """
+        WITH x AS (
+          SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM x a JOIN x b ON b.vec_id <> a.vec_id AND len(b.x) = len(a.x) WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id)""",
 }
