@@ -176,5 +176,5 @@ ORACLE_SQL = {
         p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
         SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
         FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> own AND 80 * positive_score <= 100 * score AND score <= positive_score
-        QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id)""",
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5""",
 }
