@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import P, SYMBOLS, parent, suffixes
 from ..session import stored
+from .levels import level_words
 from .words import word_counts
 
 ROOT_DELTA = 1.7976931348623157e308
@@ -22,7 +23,10 @@ ROOT_DELTA = 1.7976931348623157e308
 
 @dataclass(frozen=True)
 class TrainingParams:
-    """``method``: ``cutoff`` keeps contexts by ``threshold``, ``parameters`` the best ``n_params``, ``none`` all."""
+    """``method``: ``cutoff`` keeps contexts by ``threshold``, ``parameters`` the best ``n_params``, ``none`` all.
+
+    ``words``: ``levels`` extends only words with support, ``all`` counts every word up to the depth.
+    """
 
     max_depth: int = 15
     min_count: int = 100
@@ -31,6 +35,7 @@ class TrainingParams:
     method: str = "cutoff"
     pseudo_count: float = 1.0
     estimator: str = "KL"
+    words: str = "levels"
 
 
 def nodes(words: DataFrame, seqs: DataFrame, max_depth: int, min_count: int) -> DataFrame:
@@ -70,9 +75,12 @@ ESTIMATORS = {"KL": kl_delta, "none": zero_delta}
 
 
 def with_delta(contexts: DataFrame, estimator: str = "KL") -> DataFrame:
-    """The estimator's value of every context against its parent; the root has the largest double."""
+    """The estimator's value of every context against its parent; the root has the largest double.
+
+    A context whose parent is not in the table (a loaded model may lack some) has none.
+    """
     above = contexts.select("model_id", F.col("context").alias("above"), *(F.col(p).alias(f"above_{p}") for p in P))
-    rows = contexts.where("context <> ''").withColumn("above", parent(F.col("context"))).join(above, ["model_id", "above"])
+    rows = contexts.where("context <> ''").withColumn("above", parent(F.col("context"))).join(above, ["model_id", "above"], "left")
     value = ESTIMATORS[estimator](F.col, lambda p: F.col(f"above_{p}"), F.col("count"))
     columns = ["model_id", "context", "depth", "count", *P]
     return rows.select(*columns, value.alias("delta")).unionByName(contexts.where("context = ''").select(*columns, F.lit(ROOT_DELTA).alias("delta")))
@@ -89,9 +97,12 @@ def subtree_delta(contexts: DataFrame) -> DataFrame:
 
 
 def cutoff_prune(contexts: DataFrame, threshold: float) -> DataFrame:
-    """Remove leaves whose delta is below the threshold until none is: what stays is every suffix of an informative context."""
+    """Remove leaves whose delta is below the threshold until none is: what stays is every suffix of an informative context.
+
+    A context without a delta is not known to be uninformative and stays.
+    """
     kept = suffixes(F.col("context"), 1 << 20)
-    keep = contexts.where((F.col("delta") >= threshold) | (F.col("context") == "")).select("model_id", F.explode(kept).alias("context")).distinct()
+    keep = contexts.where((F.col("delta") >= threshold) | F.col("delta").isNull() | (F.col("context") == "")).select("model_id", F.explode(kept).alias("context")).distinct()
     return contexts.join(keep, ["model_id", "context"], "left_semi")
 
 
@@ -116,6 +127,11 @@ def parameters_prune(contexts: DataFrame, n_params: int) -> DataFrame:
     return kept.select(contexts.columns).unionByName(contexts.where("context = ''"))
 
 
+def reprune_similarity(contexts: DataFrame, threshold: float = 3.9075) -> DataFrame:
+    """A stricter threshold on a trained or loaded model; deltas are taken from the model's own probabilities."""
+    return cutoff_prune(with_delta(contexts.drop("delta")), threshold)
+
+
 def reprune_support(contexts: DataFrame, min_count: int, max_depth: int) -> DataFrame:
     """Stricter support on a trained model; the root stays."""
     return contexts.where((F.col("context") == "") | ((F.col("count") >= min_count) & (F.col("depth") <= max_depth)))
@@ -127,7 +143,11 @@ def train_unpruned(seqs: DataFrame, params: TrainingParams) -> DataFrame:
     Counts, the one large table, and the contexts are each read several times by
     what follows, so each is written once.
     """
-    words = stored(word_counts(seqs, params.max_depth + 1), "words")
+    length = params.max_depth + 1
+    if params.words == "levels" and length <= 31:
+        words = level_words(seqs, length, params.min_count)
+    else:
+        words = stored(word_counts(seqs, length), "words")
     kept = nodes(words, seqs, params.max_depth, params.min_count)
     contexts = stored(with_probabilities(kept, followers(words, params.min_count), params.pseudo_count), "contexts")
     return with_delta(contexts, params.estimator)

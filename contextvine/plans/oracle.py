@@ -22,6 +22,25 @@ words AS (SELECT seq_id AS model_id, left(t, CAST(k AS INT)) AS word, CAST(sum(n
     return words + rest[rest.index("\nnodes AS") :]
 
 
+def _level_training(depth: int, count: int, threshold: float, step: int = 4) -> str:
+    """The same to a large depth: a position's letters are counted on only where their beginning has support."""
+    after = " || ".join(f"coalesce(lead(c, {k}) OVER w, '')" for k in range(1, depth + 1))
+    out = f"""
+letters AS (SELECT seq_id, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM seqs WHERE seq <> ''),
+alive0 AS MATERIALIZED (SELECT seq_id, string_split(c || {after}, 'N')[1] AS t FROM letters WINDOW w AS (PARTITION BY seq_id ORDER BY i)),"""
+    levels = []
+    for start in range(0, depth + 1, step):
+        stop = min(depth + 1, start + step)
+        out += f"""
+words{start} AS MATERIALIZED (SELECT seq_id AS model_id, left(t, CAST(k AS INT)) AS word, count(*) AS n FROM alive{start}, (SELECT unnest(range({start + 1}, {stop + 1})) AS k) WHERE length(t) >= k GROUP BY 1, 2),
+alive{stop} AS MATERIALIZED (SELECT a.* FROM alive{start} a SEMI JOIN (SELECT model_id, word FROM words{start} WHERE length(word) = {stop} AND n >= {count}) f ON f.model_id = a.seq_id AND f.word = left(a.t, {stop})),"""
+        levels.append(f"SELECT * FROM words{start}")
+    out += f"""
+words AS ({" UNION ALL ".join(levels)}),"""
+    rest = _training(depth, count, threshold)
+    return out + rest[rest.index("\nnodes AS") :]
+
+
 def _training(depth: int, count: int, threshold: float) -> str:
     return f"""
 pos AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs),
@@ -217,6 +236,7 @@ ORACLE_SQL: dict[str, str] = {
     "word_counts": f"{_MODELS} SELECT model_id, word, n FROM words",
     "document_word_counts": f"WITH {_DOCS},{_document_training(2, 4, 3.9075)} SELECT word, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_sequences FROM words GROUP BY word",
     "document_models": f"WITH {_DOCS},{_document_training(2, 4, 3.9075)} SELECT model_id, context, count, {_PS} FROM models",
+    "level_wise_models": f"WITH {_DOCS},{_level_training(15, 100, 3.9075)} SELECT model_id, context, count, {_PS} FROM models",
     "support_prune": f"{_MODELS} SELECT model_id, context, count FROM nodes",
     "forward_counts": f"{_MODELS} SELECT * FROM fol",
     "next_probabilities": f"{_MODELS} SELECT model_id, context, count, {_PS} FROM probs",
@@ -243,6 +263,11 @@ SELECT model_id, context, count FROM f WHERE before * 3 <= 24 UNION ALL SELECT m
   FROM probs d LEFT JOIN kids k ON k.model_id = d.model_id AND k.context = d.context""",
     "tree_text_round_trip": f"""{_MODELS}, est AS (SELECT model_id, context, count, {", ".join(f"round(p_{x} * (count + 4) - 1) AS e_{x}" for x in "acgt")} FROM models)
 SELECT model_id, context, count, {", ".join(_r(f"(e_{x} + 1) / (e_a + e_c + e_g + e_t + 4)", f"p_{x}") for x in "acgt")} FROM est""",
+    "reprune_loaded": f"""{_MODELS}, est AS (SELECT model_id, context, count, {", ".join(f"round(p_{x} * (count + 4) - 1) AS e_{x}" for x in "acgt")} FROM models),
+read AS (SELECT model_id, context, count, {", ".join(f"(e_{x} + 1) / (e_a + e_c + e_g + e_t + 4) AS p_{x}" for x in "acgt")} FROM est),
+again AS (SELECT c.model_id, c.context, c.count * ({" + ".join(f"c.p_{x} * ln(c.p_{x} / p.p_{x})" for x in "acgt")}) AS delta FROM read c JOIN read p ON p.model_id = c.model_id AND p.context = substr(c.context, 2) WHERE c.context <> ''),
+kept AS (SELECT DISTINCT model_id, unnest(list_transform(range(1, length(context) + 1), lambda k: right(context, CAST(k AS INT)))) AS context FROM again WHERE delta >= 1.0)
+SELECT read.model_id, read.context, count, {", ".join(_r(f"p_{x}", f"p_{x}") for x in "acgt")} FROM read LEFT JOIN kept ON kept.model_id = read.model_id AND kept.context = read.context WHERE read.context = '' OR kept.context IS NOT NULL""",
     "closest_state": f"{_MODELS},{_OWN} SELECT model_id, probe, context, count, {_PS} FROM st",
     "log_likelihood": f"""{_MODELS},{_OWN},{_SCORED} SELECT sc.seq_id, model_id, {_r("sum(CASE WHEN symbol <> 'N' THEN s ELSE 0 END)", "ll")}, CAST(sum(CASE WHEN symbol <> 'N' AND s <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_scored,
   length(any_value(seq)) AS length FROM sc JOIN seqs ON seqs.seq_id = sc.seq_id GROUP BY 1, 2""",

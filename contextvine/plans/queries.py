@@ -19,7 +19,8 @@ from ..operators import sampling, scoring, selection, training, vectors, words
 from ..session import shared_dir, stored
 from ..sources import records
 from ..sources.records import document_sequences, event_sequences
-from ..sources.trees import parse_trees, to_tree_text
+from ..sources.sinks import write_tree_texts
+from ..sources.trees import load_models, parse_trees, to_tree_text
 
 PARAMS = training.TrainingParams(max_depth=3, min_count=2, threshold=0.5)
 PATTERNS = ("A", "AT", "TTA", "NT", "ACGTACGT", "")
@@ -77,6 +78,13 @@ def document_models(spark, sf):
     return training.train(seqs, max_depth=2, min_count=4, threshold=3.9075).select(*CONTEXT)
 
 
+@query
+def level_wise_models(spark, sf):
+    """Documents at the default depth and support."""
+    seqs = document_sequences(table(spark, sf, "documents"))
+    return training.train(seqs, max_depth=15, min_count=100, threshold=3.9075).select(*CONTEXT)
+
+
 @query
 def support_prune(spark, sf):
     seqs = sequences(spark, sf)
@@ -164,6 +172,14 @@ def tree_text_round_trip(spark, sf):
     return parse_trees(to_tree_text(models(spark, sf))).select(*CONTEXT)
 
 
+@query
+def reprune_loaded(spark, sf):
+    """Models written as texts, read back and pruned more."""
+    path = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}.parquet"
+    write_tree_texts(models(spark, sf), path, as_table=True)
+    return training.reprune_similarity(load_models(spark, path), 1.0).select(*CONTEXT)
+
+
 @query
 def closest_state(spark, sf):
     probes = words.positions(sequences(spark, sf), 3).select(F.col("seq_id").alias("model_id"), "probe").distinct()

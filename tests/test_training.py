@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contextvine.functions.symbols import P, all_words, background_context, reverse_complement
-from contextvine.operators import training
+from contextvine.operators import levels, training
 from contextvine.operators.words import PIECE, tail_counts, tail_counts_arrow, word_counts
 from contextvine.sources.trees import load_models, parse_trees, to_tree_text
 
@@ -106,6 +106,48 @@ def test_counts_across_pieces_of_a_long_sequence(spark):
     assert cut == {(r.tail, r.n) for r in tail_counts(one(spark, seq), 4).collect()}
 
 
+def test_levels_equal_all_words(spark, sf_dir, monkeypatch):
+    """Default depth and support on whole documents; small pieces, blocks and portions on a skewed sequence."""
+    from contextvine.sources.records import document_sequences
+
+    docs = document_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = lambda df: sorted((r.model_id, r.context, r["count"], *(round(r[p], 9) for p in P), r.delta) for r in df.collect())
+    got = rows(training.train_unpruned(docs, training.TrainingParams()))
+    assert got == rows(training.train_unpruned(docs, training.TrainingParams(words="all"))) and len(got) > docs.count()
+
+    monkeypatch.setattr(levels, "PORTION", 0.05)
+    monkeypatch.setattr(levels, "PIECES", 2)
+    seqs = one(spark, random_sequence(3, 1500, "AAAAAAAAACGT") + "N" + "A" * 700 + "ACGTACGTN" * 60).unionByName(one(spark, random_sequence(4, 900, "AC"), "t")).unionByName(one(spark, "", "none"))
+    for depth, least in ((14, 20), (7, 1), (3, 5), (30, 60)):
+        kept, size = training.TrainingParams(depth, least), levels.level_words(seqs, depth + 1, least, step=3, size=64)
+        want = {(r.model_id, r.word): r.n for r in word_counts(seqs, depth + 1).collect()}
+        found = {(r.model_id, r.word): r.n for r in size.collect()}
+        assert found.items() <= want.items()
+        assert {(m, w) for (m, w), n in want.items() if len(w) == 1 or want[m, w[:-1]] >= least} <= set(found)
+        assert rows(training.train_unpruned(seqs, kept)) == rows(training.train_unpruned(seqs, training.TrainingParams(depth, least, words="all")))
+    with pytest.raises(ValueError):
+        levels.level_words(seqs, 32, 1)
+
+
+def test_loaded_models_prune_as_trained(spark, tmp_path):
+    """Deltas are not in the text: they are taken from what was read, and a missing one prunes nothing."""
+    models = training.train(one(spark, random_sequence(11, 900, "AAACGT")), max_depth=4, min_count=2, threshold=0.3)
+    text = to_tree_text(models)
+    text.write.parquet(str(tmp_path / "t.parquet"))
+    loaded = load_models(spark, str(tmp_path / "t.parquet"))
+    rows = {r.context: r for r in loaded.collect()}
+    delta = {w: r["count"] * sum(r[p] * math.log(r[p] / rows[w[1:]][p]) for p in P) for w, r in rows.items() if w}
+    assert all(rows[w].delta == pytest.approx(d) for w, d in delta.items())
+    for threshold in (0.5, 1.2, 3.9075):
+        want = cut_leaves(set(rows), delta, threshold)
+        assert contexts(training.cutoff_prune(loaded, threshold)) == want == contexts(training.reprune_similarity(loaded, threshold))
+    assert 1 < len(contexts(training.cutoff_prune(loaded, 1.2))) < len(rows)
+    unknown = loaded.withColumn("delta", F.lit(None).cast("double"))
+    assert contexts(training.cutoff_prune(unknown, 3.9075)) == set(rows)
+    loaded.drop("delta").write.parquet(str(tmp_path / "c.parquet"))
+    assert contexts(training.cutoff_prune(load_models(spark, str(tmp_path / "c.parquet")), 1.2)) == contexts(training.cutoff_prune(loaded, 1.2))
+
+
 def test_empty_and_unusual_sequences(spark):
     seqs = spark.createDataFrame([("empty", ""), ("n", "NNN"), ("one", "A")], "seq_id string, seq string")
     rows = {(r.model_id, r.context): r["count"] for r in training.train(seqs, max_depth=2, min_count=1, method="none").collect()}
