@@ -28,26 +28,29 @@ def blocks(df: DataFrame, id_: str) -> int:
     return max(1, -(-ids // IDS), -(-rows // ROWS))
 
 
-def dealt(left: DataFrame, right: DataFrame, left_id: str, right_id: str, n_left: int, n_right: int) -> tuple[DataFrame, DataFrame]:
-    """Both tables with ``cell_i, cell_j``, so that each two blocks meet in one cell."""
-    own = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def empty(schema: str) -> pa.Table:
+    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+
+def dealt(left: DataFrame, right: DataFrame, left_id: str | list[str], right_id: str, n_left: int, n_right: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``cell_i, cell_j``, so that each two blocks meet in one cell; several columns together can be the id."""
+    own = lambda columns, n: F.pmod(F.xxhash64(*([columns] if isinstance(columns, str) else columns)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # columns of their own, as both sides may be the same table
     right = right.select(*(F.col(c).alias(c) for c in right.columns))
     return left.withColumn("cell_i", own(left_id, n_left)).withColumn("cell_j", every(n_right)), right.withColumn("cell_j", own(right_id, n_right)).withColumn("cell_i", every(n_left))
 
 
-def on_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n_left: int, n_right: int) -> DataFrame:
+def on_grid(left: DataFrame, right: DataFrame, left_id: str | list[str], right_id: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n_left: int, n_right: int) -> DataFrame:
     """``run(left rows, right rows)`` of every cell."""
     width = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_left * n_right, 100_000))
     a, b = (df.repartition(width, "cell_i", "cell_j").groupBy("cell_i", "cell_j") for df in dealt(left, right, left_id, right_id, n_left, n_right))
-    types = StructType.fromDDL(schema)
-    none = to_arrow_schema(types).empty_table()
+    none = empty(schema)
 
     def cell(one: pa.Table, two: pa.Table) -> pa.Table:
         return run(one, two) if one.num_rows and two.num_rows else none
 
-    return a.cogroup(b).applyInArrow(cell, types)
+    return a.cogroup(b).applyInArrow(cell, StructType.fromDDL(schema))
 
 
 class Side:

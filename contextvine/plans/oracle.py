@@ -273,6 +273,12 @@ SELECT read.model_id, read.context, count, {", ".join(_r(f"p_{x}", f"p_{x}") for
   length(any_value(seq)) AS length FROM sc JOIN seqs ON seqs.seq_id = sc.seq_id GROUP BY 1, 2""",
     "likelihood": f"{_MODELS},{_OWN},{_SCORED} SELECT seq_id, model_id, {_r('sum(s)', 'log_likelihood')} FROM sc GROUP BY 1, 2",
     "word_likelihood": f"{_MODELS}, {_chances(3)} SELECT model_id, word, {_r('ln(p)', 'log_p')} FROM chance",
+    "automaton": f"""{_MODELS}, q AS (SELECT DISTINCT model_id, left(context, CAST(k AS INT)) AS state FROM (SELECT model_id, context, unnest(range(0, length(context) + 1)) AS k FROM models)),
+step AS (SELECT model_id, state, x, unnest(list_transform(range(0, length(state || x) + 1), lambda k: CASE WHEN k = 0 THEN '' ELSE right(state || x, CAST(k AS INT)) END)) AS u FROM q, (SELECT unnest(['', 'A', 'C', 'G', 'T']) AS x)),
+went AS (SELECT step.model_id, step.state, x, arg_max(u, length(u)) AS u FROM step JOIN q t ON t.model_id = step.model_id AND t.state = u WHERE x <> '' GROUP BY 1, 2, 3),
+held AS (SELECT step.model_id, step.state, arg_max(u, length(u)) AS context FROM step JOIN models m ON m.model_id = step.model_id AND m.context = u WHERE x = '' GROUP BY 1, 2)
+SELECT held.model_id, held.state, held.context, {", ".join(f"max(CASE WHEN x = '{x.upper()}' THEN u END) AS next_{x}" for x in "acgt")} FROM held JOIN went ON went.model_id = held.model_id AND went.state = held.state GROUP BY 1, 2, 3""",
+    "nll_automaton": f"{_MODELS},{_OWN},{_SCORED} {_NLL}",
     "nll": f"{_MODELS},{_OWN},{_SCORED} {_NLL}",
     "nll_max_adjusted": f"{_MODELS},{_OWN},{_SCORED.replace(_LN, _PICK)} {_NLL}",
     "nll_background": f"{_MODELS},{_BG} {_NLL}",
@@ -364,3 +370,4 @@ SELECT a.seq_id AS left_id, a.model_id AS right_id, {_r("(a.v + b.v) / 2", "valu
 
 ORACLE_SQL["nll_symmetric_own"] = f"SELECT * FROM ({ORACLE_SQL['nll_symmetric']}) WHERE seq_id = model_id"
 ORACLE_SQL["penalized_dvstar_symmetric"] = ORACLE_SQL["penalized_dvstar"].replace("(n - shared) / n", "(size.n + o.n - 2 * shared) / (size.n + o.n - shared)") + " JOIN size o ON o.model_id = base.right_id"
+ORACLE_SQL["score_matrix_automaton"] = ORACLE_SQL["score_matrix"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import P, all_words_column, background_context, reverse_complement
 from ..operators import distances as D
+from ..operators import automaton as automata
 from ..operators import sampling, scoring, selection, training, vectors, words
 from ..session import shared_dir, stored
 from ..sources import records
@@ -207,6 +208,21 @@ def nll(spark, sf):
     return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, order=3)
 
 
+@query
+def automaton(spark, sf):
+    return automata.automaton(stored_models(spark, sf))
+
+
+@query
+def nll_automaton(spark, sf):
+    return automata.walk_scores(sequences(spark, sf), stored_models(spark, sf), own=True).select("seq_id", "model_id", "nll")
+
+
+@query
+def score_matrix_automaton(spark, sf):
+    return automata.walk_scores(sequences(spark, sf), stored_models(spark, sf)).select("seq_id", "model_id", "nll")
+
+
 @query
 def nll_max_adjusted(spark, sf):
     return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, score="max_adjusted", order=3)
