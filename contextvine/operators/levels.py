@@ -90,7 +90,9 @@ def level_words(seqs: DataFrame, length: int, min_count: int, step: int = STEP,
         raise ValueError("words of more than 31 symbols don't fit a number")
     spark = seqs.sparkSession
     kind = seqs.schema["seq_id"].dataType
-    cut = stored(pieces(seqs, length - 1, size).select(F.col("seq_id").cast("string"), "first", "piece", F.col("own").cast("int")), "pieces")
+    cut = pieces(seqs, length - 1, size).select(F.col("seq_id").cast("string"), "first", "piece", F.col("own").cast("int"))
+    if length > step:  # read once more for every further step
+        cut = stored(cut, "pieces")
     per_block = PIECES * max(size, length)
     cut = cut.withColumn("block", F.floor(F.col("first") / per_block))
     ends = cut.groupBy("seq_id").agg(F.max(F.col("first") + F.col("own")).alias("length"))

@@ -26,7 +26,7 @@ def pieces(seqs: DataFrame, overlap: int, size: int = PIECE, before: int = 0) ->
     short ones and spreads over many rows.
     """
     size = max(size, overlap, before)
-    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    parts = F.when(F.length("seq") <= size, F.array("seq")).otherwise(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
     none = F.lit("")
     whole = lambda p, i: F.struct(
         F.length(p).alias("own"), F.when(i > 0, F.right(F.get("parts", i - 1), F.lit(before))).otherwise(none).alias("head"),
