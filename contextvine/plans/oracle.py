@@ -371,3 +371,10 @@ SELECT a.seq_id AS left_id, a.model_id AS right_id, {_r("(a.v + b.v) / 2", "valu
 ORACLE_SQL["nll_symmetric_own"] = f"SELECT * FROM ({ORACLE_SQL['nll_symmetric']}) WHERE seq_id = model_id"
 ORACLE_SQL["penalized_dvstar_symmetric"] = ORACLE_SQL["penalized_dvstar"].replace("(n - shared) / n", "(size.n + o.n - 2 * shared) / (size.n + o.n - shared)") + " JOIN size o ON o.model_id = base.right_id"
 ORACLE_SQL["score_matrix_automaton"] = ORACLE_SQL["score_matrix"]
+ORACLE_SQL["search_index"] = ORACLE_SQL["search_pattern"]
+ORACLE_SQL["suffix_tree_nodes"] = ORACLE_SQL["substring_labels"].replace(" UNION ALL SELECT seq_id, '', 1 FROM seqs", "")
+ORACLE_SQL["suffix_links"] = f"""WITH nodes AS ({ORACLE_SQL["suffix_tree_nodes"]})
+SELECT a.seq_id, a.label, a.n, CASE WHEN length(a.label) = 1 THEN '' ELSE b.label END AS link FROM nodes a LEFT JOIN nodes b ON b.seq_id = a.seq_id AND b.label = substr(a.label, 2) AND length(a.label) > 1"""
+ORACLE_SQL["suffix_array"] = f"""WITH {_SEQS}, st AS (SELECT seq_id, i - 1 AS pos, substr(seq, i) AS s FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs)),
+o AS (SELECT seq_id, pos, s, row_number() OVER w - 1 AS place, lag(s) OVER w AS p FROM st WINDOW w AS (PARTITION BY seq_id ORDER BY s))
+SELECT seq_id, place, pos, CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(p)) + 1), lambda k: left(s, CAST(k AS INT)) = left(p, CAST(k AS INT)))) END AS lcp FROM o"""

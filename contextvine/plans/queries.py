@@ -10,13 +10,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.symbols import P, all_words_column, background_context, reverse_complement
 from ..operators import distances as D
 from ..operators import automaton as automata
 from ..operators import sampling, scoring, selection, training, vectors, words
+from ..operators import suffix_array as suffixes
 from ..session import shared_dir, stored
 from ..sources import records
 from ..sources.records import document_sequences, event_sequences
@@ -374,6 +375,42 @@ def tree_height(spark, sf):
     return words.height(sequences(spark, sf))
 
 
+@query
+def search_index(spark, sf):
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    suffixes.write_index(sequences(spark, sf), path)
+    return suffixes.search_index(spark, path, spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"))
+
+
+def _stored_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(sequences(spark, sf), "sequences")
+
+
+def _label(start: str, length: str) -> Column:
+    return F.substring(F.col("seq"), (F.col(start) + 1).cast("int"), F.col(length).cast("int"))
+
+
+@query
+def suffix_array(spark, sf):
+    return suffixes.suffix_array(_stored_sequences(spark, sf)).table.select("seq_id", "place", "pos", "lcp")
+
+
+@query
+def suffix_tree_nodes(spark, sf):
+    """With their texts, to compare."""
+    seqs = _stored_sequences(spark, sf)
+    return suffixes.tree_nodes(suffixes.suffix_array(seqs)).join(seqs, "seq_id").select("seq_id", _label("start", "length").alias("label"), "n")
+
+
+@query
+def suffix_links(spark, sf):
+    seqs = _stored_sequences(spark, sf)
+    array = suffixes.suffix_array(seqs)
+    links = suffixes.suffix_links(stored(suffixes.tree_nodes(array), "nodes"), array).join(seqs, "seq_id")
+    link = F.when(F.col("link_length") == 0, "").otherwise(_label("link_start", "link_length"))
+    return links.select("seq_id", _label("start", "length").alias("label"), "n", link.alias("link"))
+
+
 @query
 def generate_sequence(spark, sf):
     return sampling.generate(stored_models(spark, sf), 100, seed=1)
