@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,10 @@ def number(text: Column) -> Column:
 
 def codes(seqs: DataFrame) -> DataFrame:
     """``seq_id, pos, code``: the number of the 24 symbols from every position on."""
-    cut = pieces(seqs, WIDTH - 1, 1024).select("seq_id", "first", "piece", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i"))
+    # a long sequence is one row: its pieces are dealt out before they become rows per position
+    width = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces(seqs, WIDTH - 1, 1024).repartition(width, "seq_id", "first")
+    cut = dealt.select("seq_id", "first", "piece", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i"))
     return cut.select("seq_id", (F.col("first") + F.col("i") - 1).alias("pos"), number(F.substring(F.col("piece"), F.col("i"), F.lit(WIDTH))).alias("code"))
 
 
@@ -71,22 +75,27 @@ class SuffixArray:
 def _ranked(seqs: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
     at = stored(codes(seqs), "codes")
     first = running(at.groupBy("seq_id", "code").agg(F.count("*").alias("n")), ["seq_id", "code"])
-    ranks = stored(at.join(first, ["seq_id", "code"]).select("seq_id", "pos", "code", F.col("before").alias("rank"), F.col("n").alias("size")), "ranks")
-    names, width = [(WIDTH, ranks.select("seq_id", "pos", "rank"))], WIDTH
+    first = at.join(first, ["seq_id", "code"]).select("seq_id", "pos", "code", F.col("before").alias("rank"), F.col("n").alias("size"))
+    # suffixes that are alone are written once; what is left shrinks, and small tables are broadcast by their size
+    settled, fresh = [], stored(first, "ranks")
+    names, width = [], WIDTH
     while True:
-        open_ = ranks.where("size > 1")
+        settled, open_ = [*settled, fresh.where("size = 1")], fresh.where("size > 1")
+        ranks = reduce(DataFrame.unionByName, [*settled, open_])
+        names.append((width, ranks.select("seq_id", "pos", "rank")))
         if not open_.head(1):
             return ranks, names
+        open_ = stored(open_, "open")
         after = ranks.select("seq_id", (F.col("pos") - width).alias("pos"), F.col("rank").alias("next"))
         # what ends before its next part comes first
-        keyed = stored(open_.join(after, ["seq_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1))), "pairs")
+        met = after.join(open_.select("seq_id", "pos"), ["seq_id", "pos"])
+        keyed = stored(open_.join(met, ["seq_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1))), "pairs")
         ordered = stored(running(keyed.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"]), "order")
         least = ordered.groupBy("rank").agg(F.min("before").alias("base"))
         new = ordered.join(least, "rank").select("rank", "next", (F.col("rank") + F.col("before") - F.col("base")).alias("new_rank"), F.col("n").alias("new_size"))
         split = keyed.join(new, ["rank", "next"]).select("seq_id", "pos", "code", F.col("new_rank").alias("rank"), F.col("new_size").alias("size"))
-        ranks = stored(ranks.where("size = 1").unionByName(split), "ranks")
+        fresh = stored(split, "ranks")
         width *= 2
-        names.append((width, ranks.select("seq_id", "pos", "rank")))
 
 
 def _first(code: Column, k: int | Column) -> Column:
