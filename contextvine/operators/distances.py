@@ -105,9 +105,9 @@ def _angle(r: np.ndarray) -> np.ndarray:
     return 2 * np.arccos(np.clip(r, -1.0, 1.0)) / np.pi
 
 
-def _cosine_distance(components: Callable[[DataFrame], DataFrame], left: DataFrame, right: DataFrame, otherwise: float, finish: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _cosine_distance(components: Callable[[DataFrame], DataFrame], left: DataFrame, right: DataFrame, otherwise: float, finish: Callable[[np.ndarray], np.ndarray], per_id: int = 0) -> DataFrame:
     one = components(left)
-    return grid.pairs(one, one if right is left else components(right), left, right, list(V), lambda a, b: _cosine(grid.shared_sums(a, b, _products), otherwise, finish))
+    return grid.pairs(one, one if right is left else components(right), left, right, list(V), lambda a, b: _cosine(grid.shared_sums(a, b, _products), otherwise, finish), per_id)
 
 
 def d2(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def cv(left: DataFrame, right: DataFrame, background_order: int = 2) -> DataFram
 
 
 def cv_estimation(left: DataFrame, right: DataFrame, order: int = 6, background_order: int = 2) -> DataFrame:
-    return _cosine_distance(lambda m: relative_components(estimated_states(m, order), m, background_order), left, right, 0.0, _halved)
+    return _cosine_distance(lambda m: relative_components(estimated_states(m, order), m, background_order), left, right, 0.0, _halved, 4**order)
 
 
 def penalized_dvstar(left: DataFrame, right: DataFrame, background_order: int = 0, symmetric: bool = False) -> DataFrame:
@@ -219,7 +219,7 @@ def _divergence(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray
     return {"s": s, "terms": has_a @ has_b.T, "length": (in_a * lengths) @ in_b.T.astype(float)}
 
 
-def _divergence_distance(components: Callable[[DataFrame], DataFrame], left: DataFrame, right: DataFrame, values: list[str], finish: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+def _divergence_distance(components: Callable[[DataFrame], DataFrame], left: DataFrame, right: DataFrame, values: list[str], finish: Callable[[dict[str, np.ndarray]], np.ndarray], per_id: int = 0) -> DataFrame:
     """``finish`` of the sums; null where nothing is shared or usable."""
 
     def value(a: grid.Side, b: grid.Side) -> np.ndarray:
@@ -227,13 +227,13 @@ def _divergence_distance(components: Callable[[DataFrame], DataFrame], left: Dat
         return np.where(sums["n"] > 0, finish(sums), np.nan) if "s" in sums else np.full(sums["n"].shape, np.nan)
 
     one = components(left)
-    return grid.pairs(one, one if right is left else components(right), left, right, values, value)
+    return grid.pairs(one, one if right is left else components(right), left, right, values, value, per_id)
 
 
 def kl(left: DataFrame, right: DataFrame, order: int = 4) -> DataFrame:
     """Symmetrised mean of the divergences between word probabilities, per symbol."""
     parts = lambda m: word_probabilities(m, order).withColumnRenamed("word", "context")
-    return _divergence_distance(parts, left, right, ["p"], lambda sums: np.where(sums["terms"] > 0, sums["s"] / (2 * order), np.nan))
+    return _divergence_distance(parts, left, right, ["p"], lambda sums: np.where(sums["terms"] > 0, sums["s"] / (2 * order), np.nan), 4**order)
 
 
 def kl_both(left: DataFrame, right: DataFrame) -> DataFrame:

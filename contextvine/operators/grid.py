@@ -22,10 +22,10 @@ ROWS = 1_000_000
 CHUNK = 1024  # contexts that are dense at once
 
 
-def blocks(df: DataFrame, id_: str) -> int:
-    """How many blocks a table is dealt in."""
+def blocks(df: DataFrame, id_: str, per_id: int = 0) -> int:
+    """How many blocks a table is dealt in, where each id brings ``per_id`` rows if that is more than it has here."""
     ids, rows = df.agg(F.approx_count_distinct(id_), F.count("*")).head(1)[0]
-    return max(1, -(-ids // IDS), -(-rows // ROWS))
+    return max(1, -(-ids // IDS), -(-max(rows, ids * per_id) // ROWS))
 
 
 def empty(schema: str) -> pa.Table:
@@ -129,8 +129,11 @@ def shared_sums(left: Side, right: Side, kernel: Kernel) -> dict[str, np.ndarray
     return total
 
 
-def pairs(left: DataFrame, right: DataFrame, left_ids: DataFrame, right_ids: DataFrame, values: list[str], value: Callable[[Side, Side], np.ndarray]) -> DataFrame:
-    """``left_id, right_id, value`` for every pair of ids; the tables hold ``model_id, context`` and values."""
+def pairs(left: DataFrame, right: DataFrame, left_ids: DataFrame, right_ids: DataFrame, values: list[str], value: Callable[[Side, Side], np.ndarray], per_id: int = 0) -> DataFrame:
+    """``left_id, right_id, value`` for every pair of ids; the tables hold ``model_id, context`` and values.
+
+    ``per_id``: rows each id has in the tables, where that is more than it has in the tables of ids.
+    """
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         one, two = Side(a, "model_id", "context", values), Side(b, "model_id", "context", values)
@@ -141,7 +144,7 @@ def pairs(left: DataFrame, right: DataFrame, left_ids: DataFrame, right_ids: Dat
         none = [F.lit(None).cast("string").alias("context"), *(F.lit(None).cast("double").alias(v) for v in values)]
         return rows.select("model_id", "context", *values).unionByName(ids.select("model_id").distinct().select("model_id", *none))
 
-    n_left = blocks(left_ids, "model_id")
-    n_right = n_left if right_ids is left_ids else blocks(right_ids, "model_id")
+    n_left = blocks(left_ids, "model_id", per_id)
+    n_right = n_left if right_ids is left_ids else blocks(right_ids, "model_id", per_id)
     kind = left_ids.schema["model_id"].dataType.simpleString(), right_ids.schema["model_id"].dataType.simpleString()
     return on_grid(with_ids(left, left_ids), with_ids(right, right_ids), "model_id", "model_id", run, f"left_id {kind[0]}, right_id {kind[1]}, value double", n_left, n_right)

@@ -110,9 +110,19 @@ def _all_scores(seqs: DataFrame, models: DataFrame, score: str, background_order
     if both_strands:
         back = transition_counts(seqs.select("seq_id", reverse_complement(F.col("seq")).alias("seq")), order)
         counts = counts.unionByName(back.withColumn("strand", F.lit(1)))
+    # a sequence has no more probes than positions, nor than there are contexts; one with many is several units
+    size = F.least(F.length("seq"), F.lit(4 ** min(order, 15)))
+    parts = F.greatest(F.ceil(size * (1 + both_strands) / (grid.ROWS // grid.IDS)), F.lit(1)).cast("int")
+    units, most = seqs.agg(F.coalesce(F.sum(parts), F.lit(0)), F.coalesce(F.max(parts), F.lit(1))).head(1)[0]
+    if most > 1:
+        long = seqs.select("seq_id", parts.alias("parts")).where("parts > 1")
+        counts = counts.join(long, "seq_id", "left").withColumn("unit", F.pmod(F.xxhash64("probe"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    else:
+        counts = counts.withColumn("unit", F.lit(0))
     columns = [f"c_{x}" for x in "acgt"]
-    heads = seqs.select("seq_id", F.lit(None).cast("string").alias("probe"), *(F.lit(0).cast("long").alias(c) for c in columns), F.lit(0).alias("strand"), F.length("seq").cast("long").alias("length"))
+    heads = seqs.select("seq_id", F.lit(None).cast("string").alias("probe"), *(F.lit(0).cast("long").alias(c) for c in columns), F.lit(0).alias("strand"), F.lit(0).alias("unit"), F.length("seq").cast("long").alias("length"))
     rows = heads.unionByName(counts.withColumn("length", F.lit(None).cast("long")))
+    strands = ("", "_back") if both_strands else ("",)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         one, two = grid.Side(a, "seq_id", "probe", columns, "strand"), grid.Side(b, "model_id", "context", S)
@@ -121,24 +131,25 @@ def _all_scores(seqs: DataFrame, models: DataFrame, score: str, background_order
             seen, states = one.exact(some)[0].reshape(one.n, -1), two.closest(some).reshape(two.n, -1)
             ll += seen @ states.T
             times += seen @ (states != 0).T.astype(float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(times > 0, -ll / times, np.nan)
-        head = np.flatnonzero(~a["probe"].combine_chunks().is_valid().to_numpy(zero_copy_only=False))
-        place = one.place[head]
-        value = np.fmin(value[place], value[place + 1]) if both_strands else value[place]
-        seq, model = np.divmod(np.arange(len(head) * two.n), two.n)
-        return pa.table({
-            "seq_id": one.ids.take(pa.array(place[seq] // 2)), "model_id": two.ids.take(pa.array(model)), "ll": ll[place].ravel() + 0.0,
-            "n_scored": times[place].ravel().astype(np.int64), "length": a["length"].combine_chunks().take(pa.array(head[seq])), "nll": value.ravel() + 0.0,
-        })
-
-    # a sequence has no more probes than positions, nor than there are contexts
-    size = F.least(F.length("seq"), F.lit(4 ** min(order, 15)))
-    n, held = seqs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head(1)[0]
-    n_left = max(1, -(-n // grid.IDS), -(-held * (1 + both_strands) // grid.ROWS))
+        # the row that names a sequence stands in one of its units
+        held = a["length"].combine_chunks()
+        head = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(one.ids), -1)
+        at[one.place[head] // 2] = head
+        seq, model = np.divmod(np.arange(len(one.ids) * two.n), two.n)
+        out = {"seq_id": one.ids.take(pa.array(seq)), "model_id": two.ids.take(pa.array(model)), "length": held.take(pa.array(at[seq], mask=at[seq] < 0))}
+        for k, strand in enumerate(strands):
+            out |= {f"ll{strand}": ll[k::2].ravel() + 0.0, f"n_scored{strand}": times[k::2].ravel().astype(np.int64)}
+        return pa.table(out)
+
     kind = seqs.schema["seq_id"].dataType.simpleString(), models.schema["model_id"].dataType.simpleString()
-    schema = f"seq_id {kind[0]}, model_id {kind[1]}, ll double, n_scored long, length long, nll double"
-    return grid.on_grid(rows, scored, "seq_id", "model_id", run, schema, n_left, grid.blocks(models, "model_id"))
+    schema = f"seq_id {kind[0]}, model_id {kind[1]}, length long, " + ", ".join(f"ll{s} double, n_scored{s} long" for s in strands)
+    found = grid.on_grid(rows, scored, ["seq_id", "unit"], "model_id", run, schema, max(1, -(-units // grid.IDS)), grid.blocks(models, "model_id"))
+    if most > 1:
+        found = found.groupBy("seq_id", "model_id").agg(F.max("length").alias("length"), *(F.sum(f"{c}{s}").alias(f"{c}{s}") for s in strands for c in ("ll", "n_scored")))
+    values = [F.try_divide(-F.col(f"ll{s}"), F.col(f"n_scored{s}")) for s in strands]
+    value = F.least(*values) if both_strands else values[0]
+    return found.select("seq_id", "model_id", "ll", "n_scored", "length", F.coalesce(value + 0.0, F.lit(float("nan"))).alias("nll"))
 
 
 def nll(seqs: DataFrame, models: DataFrame, own: bool = False, score: str = "log", background_order: int = 0, both_strands: bool = False, order: int | None = None) -> DataFrame:

@@ -331,7 +331,8 @@ SELECT base.left_id, base.right_id, {_r("0.75 * value + 0.25 * (n - shared) / n"
     "shared_contexts": f"{_MODELS} SELECT l.model_id AS left_id, r.model_id AS right_id, l.context FROM models l JOIN models r ON l.context = r.context",
     "context_union": f"""{_MODELS}, size AS (SELECT model_id, count(*) AS n FROM models GROUP BY 1), met AS (SELECT l.model_id AS left_id, r.model_id AS right_id, count(*) AS n_both FROM models l JOIN models r ON l.context = r.context GROUP BY 1, 2)
 SELECT left_id, right_id, n_both, a.n - n_both AS n_left, b.n - n_both AS n_right FROM met JOIN size a ON a.model_id = left_id JOIN size b ON b.model_id = right_id""",
-    "all_words": f"SELECT a.x || b.x || c.x AS word FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} c",
+    "all_words": f"""WITH {_DOCS},{_document_training(2, 4, 3.9075)}, every AS (SELECT a.x || b.x || c.x AS word FROM {_LETTERS} a, {_LETTERS} b, {_LETTERS} c)
+SELECT every.word, CAST(row_number() OVER (ORDER BY every.word) - 1 AS INT) AS place, coalesce(c.n, 0) AS n FROM every LEFT JOIN (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words GROUP BY 1) c ON c.word = every.word""",
     "background_contexts": f"{_MODELS} SELECT model_id, context, right(context, 1) AS background FROM models",
     "composition_vector": f"{_MODELS}, {_CV} {_long('comp')}",
     "scaled_composition_vector": f"{_MODELS}, {_estimated(2)}, sh AS (SELECT n.model_id, n.context, n.count / CAST(r.count AS DOUBLE) AS share FROM named n JOIN models r ON r.model_id = n.model_id AND r.context = ''), "
@@ -378,3 +379,32 @@ SELECT a.seq_id, a.label, a.n, CASE WHEN length(a.label) = 1 THEN '' ELSE b.labe
 ORACLE_SQL["suffix_array"] = f"""WITH {_SEQS}, st AS (SELECT seq_id, i - 1 AS pos, substr(seq, i) AS s FROM (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM seqs)),
 o AS (SELECT seq_id, pos, s, row_number() OVER w - 1 AS place, lag(s) OVER w AS p FROM st WINDOW w AS (PARTITION BY seq_id ORDER BY s))
 SELECT seq_id, place, pos, CASE WHEN p IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(p)) + 1), lambda k: left(s, CAST(k AS INT)) = left(p, CAST(k AS INT)))) END AS lcp FROM o"""
+ORACLE_SQL["nll_background_distance_given_samples"] = f"""WITH v AS ({ORACLE_SQL["score_matrix_background"].replace(", 6) + 0.0 AS nll", ", 15) AS nll")})
+SELECT a.seq_id AS left_id, a.model_id AS right_id, {_r("(a.nll + b.nll) / 2", "value")} FROM v a JOIN v b ON a.seq_id = b.model_id AND a.model_id = b.seq_id"""
+_BEST = " UNION ALL ".join(
+    f"SELECT model_id AS seq_id, '{c}' AS criterion, min_count, max_depth, threshold, {_r(c, 'value')} FROM result WHERE {c} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY round({c}, 6), threshold DESC, min_count DESC, max_depth) = 1"
+    for c in ("bic_score", "aic_score", "aicc_score")
+)
+ORACLE_SQL["bic_grid_default"] = f"""WITH {_SEQS},{_training(3, 2, 0.0)},
+cuts AS (SELECT i, CAST(round(1.3 + 0.1 * (i - 1), 10) AS DOUBLE) AS threshold FROM (SELECT unnest(range(1, 501)) AS i)),
+settings AS (SELECT * FROM (SELECT unnest([2, 3, 4, 5, 6, 7, 8, 9, 10, 20])::INT AS min_count), (SELECT unnest([1, 2, 3])::INT AS max_depth)),
+seen AS (SELECT model_id, left(word, length(word) - 1) AS context, {", ".join(f"sum(CASE WHEN right(word, 1) = '{x.upper()}' THEN n ELSE 0 END) AS n_{x}" for x in "acgt")} FROM words GROUP BY 1, 2),
+gain AS (
+  SELECT c.model_id, c.context, c.count, length(c.context) AS depth, {" + ".join(f"coalesce(n_{x}, 0) * (ln(c.p_{x}) - coalesce(ln(p.p_{x}), 0))" for x in "acgt")} AS gain
+  FROM probs c LEFT JOIN probs p ON p.model_id = c.model_id AND c.context <> '' AND p.context = substr(c.context, 2) LEFT JOIN seen ON seen.model_id = c.model_id AND seen.context = c.context),
+gd AS (SELECT model_id, min_count, max_depth, delta, unnest(list_transform(range(1, length(context) + 1), lambda k: right(context, CAST(k AS INT)))) AS context FROM delta, settings WHERE count >= min_count AND length(context) <= max_depth),
+gs AS (SELECT model_id, min_count, max_depth, context, max(delta) AS most FROM gd GROUP BY ALL),
+held AS (
+  SELECT gs.model_id, gs.min_count, gs.max_depth, gs.context, gain, count, depth, (SELECT count(*) FROM cuts WHERE threshold <= most) AS last FROM gs JOIN gain ON gain.model_id = gs.model_id AND gain.context = gs.context
+  UNION ALL SELECT model_id, min_count, max_depth, context, gain, count, depth, 500 FROM gain, settings WHERE context = ''),
+kept AS (SELECT model_id, min_count, max_depth, last, sum(gain) AS ll, count(*) AS terminal FROM held GROUP BY ALL),
+inner_ AS (
+  SELECT model_id, min_count, max_depth, last, count(*) AS inner_ FROM (SELECT model_id, min_count, max_depth, substr(context, 2) AS above, list_sort(list(last), 'DESC')[4] AS last FROM held WHERE context <> '' GROUP BY ALL) WHERE last > 0 GROUP BY ALL),
+dense AS (
+  SELECT s.model_id, s.min_count, s.max_depth, cuts.threshold, s.length, sum(coalesce(kept.ll, 0)) OVER w AS ll, 3 * (sum(coalesce(terminal, 0)) OVER w - sum(coalesce(inner_, 0)) OVER w) AS k
+  FROM (SELECT seq_id AS model_id, length(seq) AS length, min_count, max_depth FROM seqs, settings) s CROSS JOIN cuts
+  LEFT JOIN kept ON kept.model_id = s.model_id AND kept.min_count = s.min_count AND kept.max_depth = s.max_depth AND kept.last = cuts.i
+  LEFT JOIN inner_ ON inner_.model_id = s.model_id AND inner_.min_count = s.min_count AND inner_.max_depth = s.max_depth AND inner_.last = cuts.i
+  WINDOW w AS (PARTITION BY s.model_id, s.min_count, s.max_depth ORDER BY cuts.i DESC ROWS UNBOUNDED PRECEDING)),
+result AS (SELECT *, k * ln(length) - 2 * ll AS bic_score, 2 * k - 2 * ll AS aic_score, 2 * k - 2 * ll + (2 * k * k + 2 * k) / nullif(CAST(length - k - 1 AS DOUBLE), 0) AS aicc_score FROM dense)
+{_BEST}"""

@@ -289,6 +289,14 @@ def bic_grid(spark, sf):
     return selection.parameter_grid(sequences(spark, sf), [2, 4], [2, 3], [0.5, 1.5])
 
 
+@query
+def bic_grid_default(spark, sf):
+    """All 500 thresholds, all counts up to 20 and depths: the best setting of each sequence by each criterion."""
+    grid = stored(selection.parameter_grid(sequences(spark, sf), selection.count_grid(2, 20), [1, 2, 3], selection.threshold_grid()), "grid")
+    best = [selection.best_parameters(grid, c).select("seq_id", F.lit(c).alias("criterion"), "min_count", "max_depth", "threshold", F.col(c).alias("value")) for c in ("bic_score", "aic_score", "aicc_score")]
+    return best[0].unionByName(best[1]).unionByName(best[2])
+
+
 @query
 def best_parameters(spark, sf):
     grid = selection.parameter_grid(sequences(spark, sf), [2, 4], [2, 3], [0.5, 1.5])
@@ -326,7 +334,10 @@ def context_union(spark, sf):
 
 @query
 def all_words(spark, sf):
-    return spark.range(1).select(F.explode(all_words_column(3)).alias("word"))
+    """All words of three symbols, in order, and how often each stands in the documents."""
+    every = spark.range(1).select(F.posexplode(all_words_column(3)).alias("place", "word"))
+    counted = words.word_counts(document_sequences(table(spark, sf, "documents")), 3).groupBy("word").agg(F.sum("n").alias("n"))
+    return every.join(counted, "word", "left").na.fill(0, ["n"])
 
 
 @query
@@ -491,3 +502,9 @@ def nll_distance_given_samples(spark, sf):
 @query
 def nll_background_distance(spark, sf):
     return sampling.nll_background_distance(m := stored_models(spark, sf), m, background_order=1)
+
+
+@query
+def nll_background_distance_given_samples(spark, sf):
+    seqs = sequences(spark, sf)
+    return sampling.nll_background_distance(m := stored_models(spark, sf), m, background_order=1, left_samples=seqs, right_samples=seqs)
