@@ -408,3 +408,14 @@ dense AS (
   WINDOW w AS (PARTITION BY s.model_id, s.min_count, s.max_depth ORDER BY cuts.i DESC ROWS UNBOUNDED PRECEDING)),
 result AS (SELECT *, k * ln(length) - 2 * ll AS bic_score, 2 * k - 2 * ll AS aic_score, 2 * k - 2 * ll + (2 * k * k + 2 * k) / nullif(CAST(length - k - 1 AS DOUBLE), 0) AS aicc_score FROM dense)
 {_BEST}"""
+ORACLE_SQL["tree_files"] = ORACLE_SQL["tree_text_round_trip"]
+ORACLE_SQL["tree_text_with_pseudo"] = f"""{_MODELS} SELECT model_id, context, {", ".join(f"CAST(round(p_{x} * (count + 4) - 1) + 1 AS BIGINT) AS n_{x}" for x in "acgt")} FROM models"""
+ORACLE_SQL["models_by_id"] = ORACLE_SQL["cutoff_prune"] + " WHERE model_id IN ('1', '2', '30')"
+ORACLE_SQL["windows_stored"] = ORACLE_SQL["sliding_windows"]
+ORACLE_SQL["vectors_stored"] = ORACLE_SQL["composition_vector"]
+ORACLE_SQL["scores_stored"] = ORACLE_SQL["nll"]
+ORACLE_SQL["distances_stored"] = f"SELECT *, 'dvstar-0' AS name FROM ({ORACLE_SQL['dvstar']})"
+ORACLE_SQL["criteria_log"] = f"SELECT * EXCLUDE (seq_id) FROM ({ORACLE_SQL['bic_grid']})"
+ORACLE_SQL["listed_files"] = f"WITH {_SEQS} SELECT seq_id, seq FROM seqs"
+ORACLE_SQL["file_model"] = f"""WITH {_SEQS.replace("seqs AS", "each AS")}, seqs AS (SELECT string_agg(seq_id, '|' ORDER BY seq_id) AS seq_id, string_agg(seq, 'N' ORDER BY seq_id) AS seq FROM each),{_training(3, 2, 0.5)}
+SELECT model_id, context, count, {_PS} FROM models"""

@@ -19,9 +19,8 @@ from ..operators import automaton as automata
 from ..operators import sampling, scoring, selection, training, vectors, words
 from ..operators import suffix_array as suffixes
 from ..session import shared_dir, stored
-from ..sources import records
+from ..sources import records, sinks
 from ..sources.records import document_sequences, event_sequences
-from ..sources.sinks import write_tree_texts
 from ..sources.trees import load_models, parse_trees, to_tree_text
 
 PARAMS = training.TrainingParams(max_depth=3, min_count=2, threshold=0.5)
@@ -178,7 +177,7 @@ def tree_text_round_trip(spark, sf):
 def reprune_loaded(spark, sf):
     """Models written as texts, read back and pruned more."""
     path = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}.parquet"
-    write_tree_texts(models(spark, sf), path, as_table=True)
+    sinks.write_tree_texts(models(spark, sf), path, as_table=True)
     return training.reprune_similarity(load_models(spark, path), 1.0).select(*CONTEXT)
 
 
@@ -508,3 +507,89 @@ def nll_background_distance(spark, sf):
 def nll_background_distance_given_samples(spark, sf):
     seqs = sequences(spark, sf)
     return sampling.nll_background_distance(m := stored_models(spark, sf), m, background_order=1, left_samples=seqs, right_samples=seqs)
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@query
+def tree_files(spark, sf):
+    """Models as text files of many trees, read back from the folder."""
+    sinks.write_tree_texts(models(spark, sf), path := _path(spark, "trees"), buckets=4)
+    return load_models(spark, path).select(*CONTEXT)
+
+
+@query
+def tree_text_with_pseudo(spark, sf):
+    """Follower counts as the text prints them with the pseudo count."""
+    lines = to_tree_text(models(spark, sf), with_pseudo=True).select("model_id", F.explode(F.split("tree", "\n")).alias("line")).where("line like 'Node:%'")
+    label = F.regexp_extract("line", r"^Node:\s+(\S+)", 1)
+    counts = F.split(F.regexp_extract("line", r"\] \d+ \[ ([^\]]*) \]", 1), " ")
+    return lines.select("model_id", F.when(label == "#", "").otherwise(label).alias("context"), *(F.get(counts, F.lit(k)).cast("long").alias(f"n_{x}") for k, x in enumerate("acgt")))
+
+
+@query
+def models_by_id(spark, sf):
+    """Three of all models, each read from its bucket."""
+    sinks.write_models(models(spark, sf), path := _path(spark, "models.parquet"))
+    parts = [sinks.read_bucketed(spark, path, model_id=i).select(*CONTEXT) for i in ("1", "2", "30")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def windows_stored(spark, sf):
+    sinks.write_windows(scoring.sliding_windows(sequences(spark, sf), stored_models(spark, sf), [10], own=True), path := _path(spark, "windows"))
+    return sinks.read_bucketed(spark, path)
+
+
+@query
+def vectors_stored(spark, sf):
+    sinks.write_vectors(vectors.composition_vector(stored_models(spark, sf), None, 1), path := _path(spark, "vectors"))
+    return spark.read.parquet(path)
+
+
+@query
+def scores_stored(spark, sf):
+    sinks.write_scores(scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, order=3), path := _path(spark, "scores"))
+    return spark.read.parquet(path)
+
+
+@query
+def distances_stored(spark, sf):
+    m = stored_models(spark, sf)
+    name = sinks.distance_name("dvstar", background_order=0)
+    sinks.write_distances(D.distance("dvstar", m).drop("name"), path := _path(spark, "distances"), name)
+    return spark.read.parquet(path).where(F.col("name") == name)
+
+
+@query
+def criteria_log(spark, sf):
+    """A grid search appended to a log in two runs, as the log has it."""
+    path = _path(spark, "criteria.csv")
+    for threshold in (0.5, 1.5):
+        sinks.append_criteria(selection.parameter_grid(sequences(spark, sf), [2, 4], [2, 3], [threshold]), path)
+    kinds = ", ".join(f"{c} {'double' if c in ('bic_score', 'aic_score', 'aicc_score', 'threshold', 'log_likelihood') else 'long'}" for c in sinks.CRITERIA)
+    return spark.read.option("header", True).schema(kinds).csv(path)
+
+
+@query
+def file_model(spark, sf):
+    """One model of a whole file: its records with an N between."""
+    path = _path(spark, "one.fasta")
+    ordered = sequences(spark, sf).repartitionByRange(1, "seq_id").sortWithinPartitions("seq_id")
+    ordered.select(F.expr("concat('>', seq_id, '\n', seq)")).write.text(path)
+    whole = records.concatenated(records.load_sequences(spark, path)).select("seq_id", "seq")
+    return training.cutoff_prune(training.train_unpruned(whole, PARAMS), PARAMS.threshold).select(*CONTEXT)
+
+
+@query
+def listed_files(spark, sf):
+    """Records of the files that a list names: half of them FASTA, half FASTQ."""
+    seqs, path = sequences(spark, sf), _path(spark, "list.txt")
+    even = F.col("seq_id").cast("long") % 2 == 0
+    fasta, fastq = _path(spark, "half.fasta"), _path(spark, "half.fastq")
+    seqs.where(even).select(F.expr("concat('>', seq_id, '\n', seq)")).write.text(fasta)
+    seqs.where(~even).select(F.expr("concat('@', seq_id, '\n', seq, '\n+\n', repeat('I', length(seq)))")).write.text(fastq)
+    spark.createDataFrame([(fasta,), (fastq,)], "value string").write.text(path)
+    return records.load_sequences(spark, path).select("seq_id", "seq")
