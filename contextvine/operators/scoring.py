@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -55,22 +57,35 @@ def _with_background(states: DataFrame, models: DataFrame, background_order: int
     return wanted.join(found, ["model_id", "bg_probe"]).drop("bg_probe")
 
 
+Value = Callable[[Column, Column], Column]
+
+
+def _adjusted(p: Column, background: Column) -> Column:
+    return F.when((p > 0) & (background > 0), log_or_zero(p) - 0.5 * log_or_zero(background)).otherwise(0.0)
+
+
+#: A score's value from a probability and its background's, and whether it asks for one.
+SCORES: dict[str, tuple[Value, bool]] = {"log": (lambda p, _: log_or_zero(p), False), "max_adjusted": (lambda p, _: p, False), "background": (_adjusted, True)}
+
+
+def register_score(name: str, value: Value, background: bool = False) -> None:
+    """Make a score known by name to everything that scores; ``value`` must be 0 where nothing is to be counted."""
+    SCORES[name] = (value, background)
+
+
 def symbol_scores(states: DataFrame, score: str = "log", models: DataFrame | None = None, background_order: int = 0) -> DataFrame:
     """States with one score per symbol: ``s_a..s_t``.
 
     ``log``: ln p; ``max_adjusted``: p itself; ``background``: ln p less half the
-    log of the background probability.  A probability of 0 scores 0.
+    log of the background probability; or a registered one.  A probability of 0 scores 0.
     """
-    if score == "background":
-        states = _with_background(states, models, background_order)
-        value = lambda p: F.when((F.col(p) > 0) & (F.col(f"bg_{p[-1]}") > 0), log_or_zero(F.col(p)) - 0.5 * log_or_zero(F.col(f"bg_{p[-1]}"))).otherwise(0.0)
-    elif score == "max_adjusted":
-        value = F.col
-    elif score == "log":
-        value = lambda p: log_or_zero(F.col(p))
-    else:
+    if score not in SCORES:
         raise ValueError(f"unknown score: {score}")
-    return states.select(*states.columns, *(value(p).alias(f"s_{p[-1]}") for p in P))
+    value, background = SCORES[score]
+    if background:
+        states = _with_background(states, models, background_order)
+    of = lambda p: F.col(f"bg_{p[-1]}") if background else F.lit(1.0)
+    return states.select(*states.columns, *(value(F.col(p), of(p)).alias(f"s_{p[-1]}") for p in P))
 
 
 def _score_of(symbol: str) -> Column:

@@ -71,7 +71,13 @@ def zero_delta(own: Callable[[str], Column], above: Callable[[str], Column], cou
     return F.lit(0.0)
 
 
-ESTIMATORS = {"KL": kl_delta, "none": zero_delta}
+Estimator = Callable[[Callable[[str], Column], Callable[[str], Column], Column], Column]
+ESTIMATORS: dict[str, Estimator] = {"KL": kl_delta, "none": zero_delta}
+
+
+def register_estimator(name: str, value: Estimator) -> None:
+    """Make an estimator known by name to training: the worth of a context from its own and its parent's probabilities and its count."""
+    ESTIMATORS[name] = value
 
 
 def with_delta(contexts: DataFrame, estimator: str = "KL") -> DataFrame:
@@ -157,7 +163,7 @@ def train(seqs: DataFrame, params: TrainingParams = TrainingParams(), **changes)
     """One model per sequence, all in one plan."""
     params = replace(params, **changes)
     contexts = train_unpruned(seqs, params)
-    if params.method == "cutoff" and params.estimator == "KL":
+    if params.method == "cutoff" and params.estimator != "none":
         return cutoff_prune(contexts, params.threshold)
     if params.method in ("cutoff", "parameters"):  # without information there is only the size to go by
         return parameters_prune(contexts, params.n_params)

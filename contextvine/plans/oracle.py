@@ -419,3 +419,10 @@ ORACLE_SQL["criteria_log"] = f"SELECT * EXCLUDE (seq_id) FROM ({ORACLE_SQL['bic_
 ORACLE_SQL["listed_files"] = f"WITH {_SEQS} SELECT seq_id, seq FROM seqs"
 ORACLE_SQL["file_model"] = f"""WITH {_SEQS.replace("seqs AS", "each AS")}, seqs AS (SELECT string_agg(seq_id, '|' ORDER BY seq_id) AS seq_id, string_agg(seq, 'N' ORDER BY seq_id) AS seq FROM each),{_training(3, 2, 0.5)}
 SELECT model_id, context, count, {_PS} FROM models"""
+ORACLE_SQL["search_sql"] = ORACLE_SQL["search_pattern"]
+ORACLE_SQL["subtree_sql"] = ORACLE_SQL["pst_subtree"]
+_ROOT_OF = "CASE symbol WHEN 'A' THEN sqrt(p_a) WHEN 'C' THEN sqrt(p_c) WHEN 'G' THEN sqrt(p_g) WHEN 'T' THEN sqrt(p_t) ELSE 0 END"
+ORACLE_SQL["foreign_score"] = ORACLE_SQL["nll"].replace(_LN, _ROOT_OF)
+_KL_SQL = " + ".join(f"c.p_{x} * ln(c.p_{x} / p.p_{x})" for x in "acgt")
+ORACLE_SQL["foreign_estimator"] = ORACLE_SQL["cutoff_prune"].replace(_KL_SQL, " + ".join(f"(c.p_{x} - p.p_{x}) * (c.p_{x} - p.p_{x}) / p.p_{x}" for x in "acgt"))
+assert ORACLE_SQL["foreign_score"] != ORACLE_SQL["nll"] and ORACLE_SQL["foreign_estimator"] != ORACLE_SQL["cutoff_prune"]

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.symbols import P, all_words_column, background_context, reverse_complement
 from ..operators import distances as D
 from ..operators import automaton as automata
@@ -593,3 +594,43 @@ def listed_files(spark, sf):
     seqs.where(~even).select(F.expr("concat('@', seq_id, '\n', seq, '\n+\n', repeat('I', length(seq)))")).write.text(fastq)
     spark.createDataFrame([(fasta,), (fastq,)], "value string").write.text(path)
     return records.load_sequences(spark, path).select("seq_id", "seq")
+
+
+scoring.register_score("root", lambda p, _: F.sqrt(p))
+training.register_estimator("chi_square", lambda own, above, count: count * sum(((own(p) - above(p)) * (own(p) - above(p)) / above(p) for p in P), F.lit(0.0)))
+
+
+@query
+def foreign_score(spark, sf):
+    """A score of the user's own: roots of probabilities instead of logarithms."""
+    return scoring.nll(sequences(spark, sf), stored_models(spark, sf), own=True, score="root", order=3)
+
+
+@query
+def foreign_estimator(spark, sf):
+    """Training with an estimator of the user's own: the chi-square distance of a context from its parent."""
+    return training.train(sequences(spark, sf), PARAMS, estimator="chi_square").select(*CONTEXT)
+
+
+def _views(spark: SparkSession, sf: str) -> None:
+    tables.register(spark)
+    sequences(spark, sf).createOrReplaceTempView("contextvine_seqs")
+    stored_models(spark, sf).createOrReplaceTempView("contextvine_models")
+
+
+@query
+def search_sql(spark, sf):
+    _views(spark, sf)
+    return spark.sql("SELECT * FROM pattern_search(TABLE(contextvine_seqs), array('A', 'AT', 'TTA', 'NT', 'ACGTACGT', ''))")
+
+
+@query
+def subtree_sql(spark, sf):
+    _views(spark, sf)
+    return spark.sql("SELECT * FROM model_subtree(TABLE(contextvine_models), 'A')")
+
+
+@query
+def sample_sql(spark, sf):
+    _views(spark, sf)
+    return spark.sql("SELECT * FROM model_sample(TABLE(contextvine_models) PARTITION BY (model_id), 50, 1)")
