@@ -426,3 +426,4 @@ ORACLE_SQL["foreign_score"] = ORACLE_SQL["nll"].replace(_LN, _ROOT_OF)
 _KL_SQL = " + ".join(f"c.p_{x} * ln(c.p_{x} / p.p_{x})" for x in "acgt")
 ORACLE_SQL["foreign_estimator"] = ORACLE_SQL["cutoff_prune"].replace(_KL_SQL, " + ".join(f"(c.p_{x} - p.p_{x}) * (c.p_{x} - p.p_{x}) / p.p_{x}" for x in "acgt"))
 assert ORACLE_SQL["foreign_score"] != ORACLE_SQL["nll"] and ORACLE_SQL["foreign_estimator"] != ORACLE_SQL["cutoff_prune"]
+ORACLE_SQL["block_files"] = f"""WITH {_DOCS} SELECT seq_id, length(seq) AS length, {", ".join(f"length(seq) - length(replace(seq, '{x}', '')) AS n_{x.lower()}" for x in "ACGTN")} FROM seqs"""

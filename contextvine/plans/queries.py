@@ -20,7 +20,7 @@ from ..operators import automaton as automata
 from ..operators import sampling, scoring, selection, training, vectors, words
 from ..operators import suffix_array as suffixes
 from ..session import shared_dir, stored
-from ..sources import records, sinks
+from ..sources import blocks, records, sinks
 from ..sources.records import document_sequences, event_sequences
 from ..sources.trees import load_models, parse_trees, to_tree_text
 
@@ -634,3 +634,11 @@ def subtree_sql(spark, sf):
 def sample_sql(spark, sf):
     _views(spark, sf)
     return spark.sql("SELECT * FROM model_sample(TABLE(contextvine_models) PARTITION BY (model_id), 50, 1)")
+
+
+@query
+def block_files(spark, sf):
+    """Documents as block-gzip FASTA files, read back by ranges of bytes: each letter's count."""
+    blocks.write_block_fasta(document_sequences(table(spark, sf, "documents")), path := _path(spark, "blocks"))
+    read = blocks.read_block_fasta(spark, path, 1 << 18)
+    return read.select("seq_id", F.length("seq").cast("long").alias("length"), *(F.regexp_count("seq", F.lit(x)).cast("long").alias(f"n_{x.lower()}") for x in "ACGTN"))
