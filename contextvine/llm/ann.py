@@ -1,13 +1,14 @@
 """Maximum inner product search: anisotropic product quantisation, four-bit tables, exact reranking.
 
 A vector is cut in subspaces of a few dimensions, each coded by one of 16
-centroids.  Codes and centroids minimise a score-aware loss: the part of the
-residual parallel to the vector, which shifts its inner products with the queries
-it is near to, costs more than the orthogonal part.  A query's inner products with
-all centroids are a table; blocks of candidates are scanned through the tables.  A
-score differs from its approximation by at most the norms of the query and of the
-residual, so every candidate that this bound lets among the best is scored again on
-the original vectors, and the result is exact.
+centroids, and what that leaves is coded once more.  Codes and centroids minimise a
+score-aware loss: the part of the residual parallel to the vector, which shifts its
+inner products with the queries it is near to, costs more than the orthogonal part.
+A query's inner products with all centroids are a table; blocks of candidates are
+scanned through the tables.  A score differs from its approximation by at most the
+product of the norms of the query and of the residual.  Only the candidates that this
+bound lets among the best of a query are scored on the original vectors, so the
+result is exact.
 """
 
 from __future__ import annotations
@@ -25,84 +26,110 @@ from .shared import trimmed
 CENTROIDS = 16
 
 
+def _distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distances to the centroids, less the squared norm of the vector itself."""
+    return (book**2).sum(1) - 2 * (x @ book.T)
+
+
 class AnisotropicQuantiser:
-    """Codebooks of 16 centroids per subspace for vectors of one dimension."""
+    """Layers of codebooks, 16 centroids per subspace, for vectors of one dimension; a layer codes what those before it leave."""
 
-    def __init__(self, codebooks: list[np.ndarray], bounds: list[int], eta: float) -> None:
-        self.codebooks, self.bounds, self.eta = codebooks, bounds, eta
+    def __init__(self, layers: list[list[np.ndarray]], bounds: list[int], eta: float) -> None:
+        self.layers, self.bounds, self.eta = layers, bounds, eta
 
     @classmethod
-    def fit(cls, sample: np.ndarray, sub_dims: int = 2, threshold: float = 0.2, rounds: int = 4, seed: int = 7) -> "AnisotropicQuantiser":
+    def fit(cls, sample: np.ndarray, sub_dims: int = 2, threshold: float = 0.2, rounds: int = 4, seed: int = 7, layers: int = 2) -> "AnisotropicQuantiser":
         """Fit on a bounded sample; ``threshold`` is the cosine from which inner products matter."""
         x = np.asarray(sample, dtype=np.float64)
         d = x.shape[1]
-        bounds = [*range(0, d, sub_dims), d]
-        eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
-        rng = np.random.default_rng(seed)
+        out = cls([], [*range(0, d, sub_dims), d], max(1.0, (d - 1) * threshold**2 / (1 - threshold**2)))
+        unit, rng, left = x / np.linalg.norm(x, axis=1, keepdims=True), np.random.default_rng(seed), x
+        for _ in range(layers):
+            books = out._fit_layer(left, unit, rounds, rng)
+            out.layers.append(books)
+            left = left - out._decode_layer(books, out._encode_layer(books, left, unit))
+        return out
+
+    def _fit_layer(self, x: np.ndarray, unit: np.ndarray, rounds: int, rng: np.random.Generator) -> list[np.ndarray]:
         books = []
-        for a, b in zip(bounds, bounds[1:]):
+        for a, b in zip(self.bounds, self.bounds[1:]):
             part = x[:, a:b]
             book = part[rng.choice(len(part), CENTROIDS, replace=len(part) < CENTROIDS)].copy()
             for _ in range(8):
-                near = ((part[:, None] - book) ** 2).sum(2).argmin(1)
+                near = _distances(part, book).argmin(1)
                 for c in range(CENTROIDS):
                     if (near == c).any():
                         book[c] = part[near == c].mean(0)
             books.append(book)
-        out = cls(books, bounds, eta)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         for _ in range(rounds):
-            codes = out.encode(x)
-            along = ((x - out.decode(codes)) * unit).sum(1)
-            for s, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                u, part, book = unit[:, a:b], x[:, a:b], out.codebooks[s]
+            codes = self._encode_layer(books, x, unit)
+            along = ((x - self._decode_layer(books, codes)) * unit).sum(1)
+            for s, (a, b) in enumerate(zip(self.bounds, self.bounds[1:])):
+                u, part, book = unit[:, a:b], x[:, a:b], books[s]
                 rest = along - (u * (part - book[codes[:, s]])).sum(1)
                 for c in range(CENTROIDS):
                     m = codes[:, s] == c
                     if not m.any():
                         continue
-                    w = (out.eta - 1) * u[m]
+                    w = (self.eta - 1) * u[m]
                     left = m.sum() * np.eye(b - a) + w.T @ u[m]
                     right = part[m].sum(0) + (w * (rest[m] + (u[m] * part[m]).sum(1))[:, None]).sum(0)
                     book[c] = np.linalg.solve(left, right)
                 along = rest + (u * (part - book[codes[:, s]])).sum(1)
-        return out
+        return books
 
-    def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on the score-aware loss."""
-        x = np.asarray(x, dtype=np.float64)
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        codes = np.stack([((x[:, None, a:b] - book) ** 2).sum(2).argmin(1) for book, a, b in zip(self.codebooks, self.bounds, self.bounds[1:])], 1)
-        along = ((x - self.decode(codes)) * unit).sum(1)
+    def _encode_layer(self, books: list[np.ndarray], x: np.ndarray, unit: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        codes = np.stack([_distances(x[:, a:b], book).argmin(1) for book, a, b in zip(books, self.bounds, self.bounds[1:])], 1)
+        along = ((x - self._decode_layer(books, codes)) * unit).sum(1)
         for _ in range(sweeps):
             for s, (a, b) in enumerate(zip(self.bounds, self.bounds[1:])):
-                off = x[:, None, a:b] - self.codebooks[s]
-                parallel = (unit[:, None, a:b] * off).sum(2)
+                parallel = (unit[:, a:b] * x[:, a:b]).sum(1)[:, None] - unit[:, a:b] @ books[s].T
                 rest = along - np.take_along_axis(parallel, codes[:, s : s + 1], 1)[:, 0]
-                loss = (off**2).sum(2) + (self.eta - 1) * (rest[:, None] + parallel) ** 2
+                loss = _distances(x[:, a:b], books[s]) + (self.eta - 1) * (rest[:, None] + parallel) ** 2
                 codes[:, s] = loss.argmin(1)
                 along = rest + np.take_along_axis(parallel, codes[:, s : s + 1], 1)[:, 0]
         return codes.astype(np.uint8)
 
+    @staticmethod
+    def _decode_layer(books: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, s]] for s, book in enumerate(books)], 1)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        """Codes by coordinate descent on the score-aware loss, layer after layer."""
+        left = np.asarray(x, dtype=np.float64)
+        unit = left / np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-300)
+        codes = []
+        for books in self.layers:
+            codes.append(self._encode_layer(books, left, unit))
+            left = left - self._decode_layer(books, codes[-1])
+        return np.concatenate(codes, 1)
+
+    def parts(self, codes: np.ndarray) -> list[np.ndarray]:
+        """What each layer adds to the vectors."""
+        n = len(self.bounds) - 1
+        return [self._decode_layer(books, codes[:, k * n : (k + 1) * n]) for k, books in enumerate(self.layers)]
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return np.concatenate([book[codes[:, s]] for s, book in enumerate(self.codebooks)], 1)
+        return sum(self.parts(codes))
 
     def pack(self, codes: np.ndarray) -> np.ndarray:
-        """Two four-bit codes to a byte: a row per pair of subspaces, a column per vector."""
+        """Two four-bit codes to a byte: a row per pair of tables, a column per vector."""
         if codes.shape[1] % 2:
             codes = np.concatenate([codes, np.zeros((len(codes), 1), dtype=np.uint8)], 1)
         return np.ascontiguousarray((codes[:, ::2] << 4 | codes[:, 1::2]).T)
 
     def scan(self, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Approximate inner products of queries with packed vectors, from the tables alone."""
-        tables = [queries[:, a:b] @ book.T for book, a, b in zip(self.codebooks, self.bounds, self.bounds[1:])]
+        tables = [book @ queries[:, a:b].T for books in self.layers for book, a, b in zip(books, self.bounds, self.bounds[1:])]
         if len(tables) % 2:
             tables.append(np.zeros_like(tables[0]))
-        out = np.zeros((len(queries), packed.shape[1]), dtype=np.float32)
+        # a line per vector: what a code adds to all queries lies together in memory
+        out = np.zeros((packed.shape[1], len(queries)), dtype=np.float32)
+        line = np.empty_like(out)
         for s in range(0, len(tables), 2):
-            pair = (tables[s][:, :, None] + tables[s + 1][:, None, :]).reshape(len(queries), -1).astype(np.float32)
-            out += pair.take(packed[s // 2], axis=1)
-        return out
+            pair = (tables[s][:, None, :] + tables[s + 1][None, :, :]).reshape(-1, len(queries)).astype(np.float32)
+            out += pair.take(packed[s // 2], axis=0, out=line, mode="clip")
+        return np.ascontiguousarray(out.T)
 
 
 def usable(embedding: Column) -> Column:
@@ -123,7 +150,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 class CandidateBlock:
     """Coded candidates: each distinct vector once, with the sorted ids that have it."""
 
-    def __init__(self, quantiser: AnisotropicQuantiser, ids: np.ndarray, x: np.ndarray) -> None:
+    def __init__(self, quantiser: AnisotropicQuantiser, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None = None) -> None:
         x = np.ascontiguousarray(x) + 0.0  # one zero only
         _, first, group = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_index=True, return_inverse=True)
         order = np.lexsort((ids, group))
@@ -133,12 +160,13 @@ class CandidateBlock:
         self.groups_of: dict[int, list[int]] = {}
         for i, g in zip(ids.tolist(), group.tolist()):
             self.groups_of.setdefault(i, []).append(g)
-        codes = quantiser.encode(self.x)
-        decoded = quantiser.decode(codes)
+        codes = quantiser.encode(self.x) if codes is None else codes[first]
+        parts = quantiser.parts(codes)
         self.packed = quantiser.pack(codes)
         # what a query's norm is multiplied by: the residual, and the rounding of the scan's sums
-        self.error = np.linalg.norm(self.x - decoded, axis=1) + (decoded.shape[1] + 8) * 2.0**-23 * np.linalg.norm(decoded, axis=1)
+        self.error = np.linalg.norm(self.x - sum(parts), axis=1) + (codes.shape[1] + 8) * 2.0**-23 * sum(np.linalg.norm(p, axis=1) for p in parts)
         self.largest = np.linalg.norm(self.x, axis=1).max()
+        self.met = self.scored = 0  # pairs scanned through the codes, and those of them scored exactly
 
     def _kth(self, scores: np.ndarray, counts: np.ndarray, k: int) -> float:
         """The ``k``-th largest score where each counts as often as ids have it."""
@@ -152,28 +180,19 @@ class CandidateBlock:
         with np.errstate(over="ignore", invalid="ignore"):
             bounds = self.quantiser.scan(queries, self.packed) + norms[:, None] * self.error
         bounds[~np.isfinite(bounds)] = np.inf
-        first, least, counts = [], np.empty(len(queries)), []
+        slack = norms * self.largest * queries.shape[1] * 2.0**-50
         for q, line in enumerate(bounds):
-            own = self.counts.copy()
-            for g in self.groups_of.get(int(query_ids[q]), ()):
-                own[g] -= 1
-            counts.append(own)
+            own = self.counts
+            if int(query_ids[q]) in self.groups_of:
+                own = own.copy()
+                for g in self.groups_of[int(query_ids[q])]:
+                    own[g] -= 1
             near = _best(line, rerank)
-            least[q] = self._kth((self.x[near] * queries[q]).sum(1), own[near], k)
-        slack = norms * self.largest * queries.shape[1] * 2.0**-50
-        open_ = bounds >= (least - slack)[:, None]
-        columns = np.flatnonzero(open_.any(0))
-        with np.errstate(over="ignore", invalid="ignore"):
-            products = queries @ self.x[columns].T
-        for q in range(len(queries)):
-            # products narrow the open ones; the sums below do not depend on a vector's place
-            among = np.flatnonzero(open_[q, columns] & ~(products[q] < least[q] - slack[q]))
-            if len(among) > rerank:
-                line = products[q, among]
-                among = among[~(line < self._kth(line, counts[q][columns[among]], k) - slack[q])]
-            near = columns[among]
+            least = self._kth((self.x[near] * queries[q]).sum(1), own[near], k)
+            near = np.flatnonzero(line >= least - slack[q])
             exact = (self.x[near] * queries[q]).sum(1)
-            limit = self._kth(exact, counts[q][near], k)
+            self.met, self.scored = self.met + len(line), self.scored + len(near)
+            limit = self._kth(exact, own[near], k)
             near, exact = near[exact >= limit], exact[exact >= limit]
             some = np.minimum(self.counts[near], k + len(self.groups_of.get(int(query_ids[q]), ())))
             ids = np.concatenate([self.ids[a : a + n] for a, n in zip(self.starts[near], some)]) if len(near) else self.ids[:0]
@@ -194,10 +213,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     ``rerank`` candidates of a block are scored exactly to find what the others
     must reach; all whose bound reaches it are scored too, so nothing is missed.
 
-    Work is a grid of candidate blocks of about ``block_rows`` rows and query blocks
-    of about ``query_rows``; a task holds and codes one block of candidates and
-    streams queries, so a block of queries may be far larger.  Vectors of single
-    precision travel as such.
+    A vector is coded once, where it is read.  Work is a grid of candidate blocks of
+    about ``block_rows`` rows and query blocks of about ``query_rows``; a task holds
+    one block of candidates with its codes and streams queries, so a block of queries
+    may be far larger.  Vectors of single precision travel as such.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[embedding].dataType
@@ -221,8 +240,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     unique = rows.dropDuplicates(["vec_id", "embedding"])
     cells = lambda n, place: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), place)).alias("cell")
     own, own_query = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_query_blocks))
-    candidates = unique.select(cells(n_query_blocks, lambda q: own * n_query_blocks + q), F.lit(0).alias("role"), "vec_id", "embedding")
-    queries = unique.where(query).select(cells(n_blocks, lambda b: b * n_query_blocks + own_query), F.lit(1).alias("role"), "vec_id", "embedding")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(batch), dimension)
+            codes = [c.tobytes() for c in quantiser.encode(x)] if len(batch) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], names=["vec_id", "embedding", "codes"])
+
+    coded = unique.select("vec_id", "embedding").mapInArrow(trimmed(code), f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, codes binary")
+    candidates = coded.select(cells(n_query_blocks, lambda q: own * n_query_blocks + q), F.lit(0).alias("role"), "vec_id", "embedding", "codes")
+    queries = unique.where(query).select(cells(n_blocks, lambda b: b * n_query_blocks + own_query), F.lit(1).alias("role"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"))
     dealt = candidates.unionByName(queries).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "cell").sortWithinPartitions("cell", "role", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +263,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 if cells[lo] != cell:
                     cell, parts, block = cells[lo], [], None
                 if roles[lo] == 0:
-                    parts.append((batch_ids[lo:hi], x[lo:hi]))
+                    codes = np.frombuffer(b"".join(batch.column(4).slice(lo, hi - lo).to_pylist()), dtype=np.uint8).reshape(hi - lo, -1)
+                    parts.append((batch_ids[lo:hi], x[lo:hi], codes))
                     continue
                 if not parts and block is None:
                     continue
