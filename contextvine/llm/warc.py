@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -96,17 +96,49 @@ def fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:] if line)}
 
 
+#: A sidecar entry: offset and length of a member, first 20 bytes of the SHA-256 of its record id.
+ENTRY = struct.Struct("<QQ20s")
+
+
+def sidecar_entry(offset: int, length: int, record_id: str, record_type: str) -> bytes:
+    return ENTRY.pack(offset, length, hashlib.sha256(record_id.encode()).digest()[:20])
+
+
+def read_sidecar(source, first: int, n: int) -> list[tuple[int, int]]:
+    """``(offset, length)`` of ``n`` members from the ``first`` on (fewer at the end); only their entries are read."""
+    source.seek(first * ENTRY.size)
+    return [(offset, length) for offset, length, _ in ENTRY.iter_unpack(source.read(n * ENTRY.size))]
+
+
+def read_members(source, entries: list[tuple[int, int]], most_bytes: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
+    """``(offset, member)`` of neighbouring members, read in stretches of about ``most_bytes`` or of one member."""
+    at = 0
+    while at < len(entries):
+        begin, end = entries[at][0], at + 1
+        while end < len(entries) and sum(entries[end]) - begin <= most_bytes:
+            end += 1
+        source.seek(begin)
+        held = memoryview(source.read(sum(entries[end - 1]) - begin))
+        for offset, length in entries[at:end]:
+            yield offset, bytes(held[offset - begin : offset - begin + length])
+        at = end
+
+
 def normalise(source, sink, level: int = 6) -> list[tuple[int, int, str, str]]:
     """Rewrite an archive with a member per record; ``(offset, length, record id, type)`` of each."""
-    index, at = [], 0
+    return list(normalised(source, sink, level))
+
+
+def normalised(source, sink, level: int = 6) -> Iterator[tuple[int, int, str, str]]:
+    """The same, entry by entry as records are written: nothing but the present record is held."""
+    at = 0
     for head, block in split_records(inflate(source)):
         engine = zlib.compressobj(level, zlib.DEFLATED, 31)
         member = engine.compress(head + block + b"\r\n\r\n") + engine.flush()
         sink.write(member)
         found = fields(head)
-        index.append((at, len(member), found.get("warc-record-id", ""), found.get("warc-type", "")))
+        yield at, len(member), found.get("warc-record-id", ""), found.get("warc-type", "")
         at += len(member)
-    return index
 
 
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", level: int = 1, most_bytes: int = 1 << 30) -> DataFrame:
@@ -114,7 +146,9 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     Null html is an empty payload.  Of pages with equal payloads that with the
     largest id is the response and the others revisit it; a page without an id is
-    a response of its own if no page of its payload has one, else a revisit.
+    a response of its own if no page of its payload has one, else a revisit.  Rows
+    that repeat an id are a record each, all responses if their id is the largest;
+    an empty table writes no file.  A file closes after ``most_bytes`` of records.
     """
     spark = pages.sparkSession
     folder = fresh(spark, "warc")
@@ -153,7 +187,11 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
 
 def normalise_archives(manifest: DataFrame, level: int = 6) -> DataFrame:
-    """One normalised archive and one sidecar index per monolithic archive; committed manifest of both."""
+    """One normalised archive and one sidecar index per monolithic archive; committed manifest of both.
+
+    An empty manifest gives an empty one; a path that stands twice is normalised twice.
+    The index has an entry of fixed width per record, so any range of it is read by itself.
+    """
     spark = manifest.sparkSession
     folder = fresh(spark, "warc-records")
 
@@ -164,18 +202,23 @@ def normalise_archives(manifest: DataFrame, level: int = 6) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 name = attempt_name("records", ".warc.gz")
                 source_fs, source_at = filesystem(path)
-                with source_fs.open_input_stream(source_at, compression=None) as source, fs.open_output_stream(f"{at}/{name}", compression=None) as sink:
-                    index = normalise(source, sink, level)
-                with fs.open_output_stream(f"{at}/{name}.idx") as sink:
-                    sink.write("".join(json.dumps(e) + "\n" for e in index).encode())
-                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "index": [f"{folder}/{name}.idx"], "records": [len(index)]}, schema=pa.schema([("path", pa.string()), ("index", pa.string()), ("records", pa.int64())]))
+                with source_fs.open_input_stream(source_at, compression=None) as source, fs.open_output_stream(f"{at}/{name}", compression=None) as sink, fs.open_output_stream(f"{at}/{name}.idx", compression=None) as side:
+                    n = 0
+                    for entry in normalised(source, sink, level):
+                        side.write(sidecar_entry(*entry))
+                        n += 1
+                yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "index": [f"{folder}/{name}.idx"], "records": [n]}, schema=pa.schema([("path", pa.string()), ("index", pa.string()), ("records", pa.int64())]))
 
     width = max(shuffle_width(spark), 1)
     return materialise(manifest.select("path").repartition(width).mapInArrow(run, "path string, index string, records long"), "warc-records-manifest")
 
 
 def read_archives(manifest: DataFrame, block_records: int = 4096) -> DataFrame:
-    """One row per record, fetched by the offsets of the sidecar indexes and checked against its digest."""
+    """One row per record, fetched by the offsets of the sidecar indexes and checked against its digest.
+
+    A task reads ``block_records`` index entries and the members they name.  Repeated
+    records repeat; an empty manifest gives no row.
+    """
     spark = manifest.sparkSession
     blocks = manifest.select("path", "index", F.explode(F.sequence(F.lit(0), F.col("records") - 1, F.lit(block_records))).alias("first")).where("records > 0")
 
@@ -183,14 +226,13 @@ def read_archives(manifest: DataFrame, block_records: int = 4096) -> DataFrame:
         for batch in batches:
             for path, index, first in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 fs, at = filesystem(index)
-                with fs.open_input_stream(at) as source:
-                    entries = [json.loads(x) for x in source.read().splitlines()[first : first + block_records]]
+                with fs.open_input_file(at) as source:
+                    entries = read_sidecar(source, first, block_records)
                 fs, at = filesystem(path)
                 columns: list[list] = [[], [], [], [], []]
                 with fs.open_input_file(at) as source:
-                    for offset, length, _, _ in entries:
-                        source.seek(offset)
-                        (head, block), = split_records(inflate_once(source.read(length)))
+                    for offset, member in read_members(source, entries):
+                        (head, block), = split_records(inflate_once(member))
                         found = fields(head)
                         http, _, payload = block.partition(b"\r\n\r\n")
                         size = int(fields(http)["content-length"])
