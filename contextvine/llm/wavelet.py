@@ -126,7 +126,20 @@ class WaveletMatrix:
         return at
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All positions of ``token``, ascending: its stretch of the last plane is taken up plane by plane."""
+        n = self.count(token)
+        if not n:
+            return []
+        start = 0
+        for level, z in enumerate(self.zeros):
+            a = self._rank1(level, start)
+            start = z + a if token >> (len(self.planes) - 1 - level) & 1 else start - a
+        at = np.arange(start, start + n)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            bits = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            bit = token >> (len(self.planes) - 1 - level) & 1
+            at = np.flatnonzero(bits)[at - self.zeros[level]] if bit else np.flatnonzero(~bits)[at]
+        return at.tolist()
 
     def to_bytes(self) -> bytes:
         import zstandard
