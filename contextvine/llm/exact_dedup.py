@@ -69,10 +69,11 @@ class ExtendibleIndex:
 
     def to_bytes(self) -> bytes:
         head = MAGIC + struct.pack("<BBIII", self.skip, self.depth, self.capacity, len(self.directory), len(self.buckets))
-        body = struct.pack(f"<{len(self.directory)}I", *self.directory)
+        parts = [head, struct.pack(f"<{len(self.directory)}I", *self.directory)]
         for local, held in self.buckets:
-            body += struct.pack("<BI", local, len(held)) + b"".join(ENTRY.pack(*e) for e in held)
-        return head + body
+            parts.append(struct.pack("<BI", local, len(held)))
+            parts += (ENTRY.pack(*e) for e in held)
+        return b"".join(parts)
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> "ExtendibleIndex":
