@@ -34,6 +34,30 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.normalise_archives(empty)).count() == 0
 
 
+def test_sidecar_is_read_in_ranges(tmp_path):
+    records = [warc.record("response", k, f"u{k}", bytes([65 + k % 26]) * (k * 700), warc.digest32(b"")) for k in range(50)]
+    raw = zlib.compressobj(6, zlib.DEFLATED, 31)
+    source, out, side = io.BytesIO(raw.compress(b"".join(records)) + raw.flush()), io.BytesIO(), io.BytesIO()
+    for entry in warc.normalised(source, out):
+        side.write(warc.sidecar_entry(*entry))
+    assert len(side.getvalue()) == 50 * warc.ENTRY.size
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            Counted.taken += len(got)
+            return got
+
+    for first, n in ((0, 50), (17, 10), (45, 10)):
+        Counted.taken = 0
+        entries = warc.read_sidecar(Counted(side.getvalue()), first, n)
+        assert Counted.taken <= n * warc.ENTRY.size
+        members = list(warc.read_members(io.BytesIO(out.getvalue()), entries, most_bytes=2000))
+        assert [zlib.decompress(m, 31) for _, m in members] == records[first : first + n]
+
+
 def test_each_member_stands_alone():
     records = [warc.record("response", k, f"u{k}", bytes([65 + k]) * (k * 70_000), warc.digest32(b"")) for k in range(5)]
     whole, out = zlib.compressobj(6, zlib.DEFLATED, 31), io.BytesIO()
@@ -199,6 +223,21 @@ def test_search_finds_all_among_near_copies(spark):
     assert found == 1.0 and got == want, found
 
 
+def test_codes_leave_few_candidates_to_exact_scores(spark):
+    rng = np.random.default_rng(13)
+    given = [r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").orderBy("vec_id").collect()]
+    for x in (np.array(given), rng.normal(size=(20_000, 64))):
+        x = x.astype(np.float32).astype(np.float64)
+        ids, asked = np.arange(len(x)), np.arange(0, len(x), 20)[:200]
+        block = ann.CandidateBlock(ann.AnisotropicQuantiser.fit(x[:8000]), ids, x)
+        found = {q: near.tolist() for q, near, _ in block.nearest(asked, x[asked], 20, 120)}
+        for q in asked:
+            s = x @ x[q]
+            s[q] = -np.inf
+            assert set(found[int(q)]) == set(np.lexsort((ids, -s))[:20].tolist())
+        assert block.scored <= 0.1 * block.met, block.scored / block.met
+
+
 def test_anisotropic_loss_keeps_inner_products():
     rng = np.random.default_rng(11)
     x = rng.normal(size=(1500, 16))
