@@ -7,7 +7,7 @@ and read again before the next.  All but the last return the columns of ``docs``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contextvine.llm.exact_dedup import exact_dedup
@@ -38,16 +38,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs, profiles, predicted="_language", score="_score").where(F.col("_language") != "und").select(*docs.columns)
 
 
+def _text_key() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """Of rows equal in id and text the least by all columns in their order; partial minima come first, so no group is hot."""
+    return rows.groupBy("doc_id", _text_key().alias("_key")).agg(F.min(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; rows that repeat it wholly collapse."""
+    """Of equal texts (null counts as empty) the row with the largest id stays.
+
+    Of rows that repeat an id and its text one stays, the least by all columns; an id
+    that stands with several texts is judged text by text.  A row without an id goes
+    if a row with one has its text; of those that are left one of each text stays.
+    An empty table stays empty.
+    """
     ship_package(spark)
     decided = materialise(exact_dedup(docs), "exact-decided")
-    left = _without(docs, decided.where("not kept and doc_id is not null"))
-    repeated = materialise(decided.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-repeated")
-    if not repeated.head(1):
-        return left
-    again = left.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return _without(left, repeated).select(*docs.columns).unionByName(again)
+    fate = materialise(decided.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("stays")), "exact-fate")
+    left = _without(docs, fate.where("not stays"))
+    several = materialise(fate.where("stays and n > 1").select("doc_id"), "exact-several")
+    if several.head(1):
+        pairs = decided.where("kept").join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", F.col("text_sha256").alias("_key")).distinct()
+        again = _one_each(left.join(several.hint("merge"), "doc_id", "left_semi")).withColumn("_key", _text_key())
+        left = _without(left, several).select(*docs.columns).unionByName(again.join(pairs.hint("merge"), ["doc_id", "_key"], "left_semi").select(*docs.columns))
+    if docs.where("doc_id is null").head(1):
+        named = decided.where("doc_id is not null").select(F.col("text_sha256").alias("_key")).distinct()
+        unnamed = _one_each(docs.where("doc_id is null")).withColumn("_key", _text_key()).join(named.hint("merge"), "_key", "left_anti")
+        left = left.where("doc_id is not null").select(*docs.columns).unionByName(unnamed.select(*docs.columns))
+    return left.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
