@@ -52,7 +52,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_language_stage_keeps_text_where_no_language_is_known(spark):
@@ -60,3 +60,16 @@ def test_language_stage_keeps_text_where_no_language_is_known(spark):
 
     docs = spark.createDataFrame([(1, "some text", None), (2, "123 ...", None), (3, "été", None), (4, None, None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 3]
+
+
+def test_exact_stage_on_repeated_and_missing_ids(spark):
+    import corpus_pipeline
+
+    rows = [
+        (4, "x y", "fr", "s2"), (4, "x y", "en", "s1"), (4, "x y", "en", "s1"), (5, "a b", "en", "s1"), (6, "a b", "en", "s1"), (7, "a b", "en", "s1"), (7, "c d", None, None),
+        (8, "c d", "en", "s1"), (9, None, "en", "s1"), (10, "", "en", "s1"), (None, "a b", "en", "s1"), (None, "e f", "en", "s2"), (None, "e f", "en", "s1"), (None, None, "en", "s1"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {tuple(r) for r in corpus_pipeline.exact(spark, docs, "").collect()}
+    assert got == {(4, "x y", "en", "s1"), (7, "a b", "en", "s1"), (8, "c d", "en", "s1"), (10, "", "en", "s1"), (None, "e f", "en", "s1")}
+    assert corpus_pipeline.exact(spark, docs.limit(0), "").count() == 0
