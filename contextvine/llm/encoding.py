@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 
 _PIECE = re.compile(r"\s*\S+|\s+$")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for Python, not for the pre-tokeniser
+#: Longer letters and marks are not remembered, and all known words together hold at most so many bytes (with their places).
+LONGEST, CACHE_BYTES = 64, 16_000_000
 #: Letters whose class no Unicode version changed; a word of them, with one mark after it.
 _L = "A-Za-zÀ-ÖØ-öø-ſ"
 _LETTERS = re.compile(f"([{_L}]+)([.,;:!?]?)")
@@ -47,10 +49,11 @@ class PieceEncoder:
     add_special_tokens=False).ids``: special tokens written in a text count.
 
     Known words are one Arrow array, their ids one run of numbers with the place
-    of each word's; words not met for long make room for new ones.
+    of each word's; words not met for long make room for new ones.  They are bounded
+    by number and by bytes, so texts without spaces don't fill the memory.
     """
 
-    def __init__(self, path: str, cache_size: int = 250_000, chunk_chars: int = 200_000) -> None:
+    def __init__(self, path: str, cache_size: int = 250_000, chunk_chars: int = 200_000, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,7 +69,7 @@ class PieceEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.code = "H" if self.dtype == np.uint16 else "I"
         self.marks = {m: np.array([vocabulary[m]], dtype=self.dtype).tobytes() for m in ".,;:!?"}
-        self.cache_size, self.chunk_chars = cache_size, chunk_chars
+        self.cache_size, self.chunk_chars, self.cache_bytes = cache_size, chunk_chars, cache_bytes
         self.known = pa.array([], pa.large_string())
         self.ids = np.empty(0, dtype=self.dtype)
         self.begins, self.sizes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
@@ -81,13 +84,19 @@ class PieceEncoder:
         shown = text.replace(" ", "Ġ") if text.isascii() else "".join(map(_BYTE_LETTER.__getitem__, text.encode()))
         return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
+    @staticmethod
+    def remember(known: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) <= LONGEST:
+            known[key] = ids
+        return ids
+
     def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words that each follow one space and hold none."""
         if len(self.stems) > self.cache_size // 4:
             self.stems = {}
         if len(self.marks) > 100_000:
             self.marks = {m: self.marks[m] for m in ".,;:!?"}
-        stems, marks, letters, match = self.stems, self.marks, self.letters, _PARTS.fullmatch
+        stems, marks, letters, match, remember = self.stems, self.marks, self.letters, _PARTS.fullmatch, self.remember
         out: list[bytes | None] = []
         rest = []
         for k, w in enumerate(words):
@@ -97,15 +106,15 @@ class PieceEncoder:
                 continue
             stem, middle, second, mark = found.groups()
             if (known := stems.get(stem)) is None:
-                known = stems[stem] = letters(" " + stem)
+                known = remember(stems, stem, letters(" " + stem))
             if middle:
                 if (between := marks.get(middle)) is None:
-                    between = marks[middle] = self.whole(middle)
+                    between = remember(marks, middle, self.whole(middle))
                 known += between
                 if second:
                     # a word's later part has entries of its own, told from whole words by a space
                     if (after := stems.get(" " + second)) is None:
-                        after = stems[" " + second] = letters(second)
+                        after = remember(stems, " " + second, letters(second))
                     known += after
             out.append(known + marks[mark] if mark else known)
         at = 0
@@ -129,12 +138,14 @@ class PieceEncoder:
     def places(self, words: pa.Array) -> np.ndarray:
         """Where each of some different words stands among the known ones, learning those that are not."""
         self.turn += 1
-        if len(self.known) > self.cache_size:
-            # the half met last stays, their ids close up
-            keep = np.sort(np.argpartition(self.met, -(self.cache_size // 2))[-(self.cache_size // 2) :])
+        if len(self.known) > self.cache_size or self.known.nbytes > self.cache_bytes:
+            # those met last stay, half of what is allowed, their ids close up
+            recent = np.argsort(-self.met, kind="stable")[: self.cache_size // 2]
+            held = np.cumsum(pc.binary_length(self.known).to_numpy(zero_copy_only=False)[recent] + 8)
+            keep = np.sort(recent[held <= self.cache_bytes // 2])
             sizes = self.sizes[keep].astype(np.int64)
             ends = np.cumsum(sizes)
-            self.ids = self.ids[np.repeat(self.begins[keep] - ends + sizes, sizes) + np.arange(ends[-1])]
+            self.ids = self.ids[np.repeat(self.begins[keep] - ends + sizes, sizes) + np.arange(sizes.sum())]
             self.known, self.sizes, self.begins, self.met = self.known.take(pa.array(keep)), self.sizes[keep], ends - sizes, self.met[keep]
         found = pc.index_in(words, value_set=self.known)
         new = found.is_null().to_numpy(zero_copy_only=False)

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from contextvine.llm.shared import materialise
 from tests.llm.test_dedup import brute_near
@@ -38,14 +39,26 @@ def test_pipeline_against_brute_force(spark, sf_dir):
 
 
 def test_stages_on_edges(spark, edge, sf_dir):
+    """Null ids, repeated rows and an empty table, with and without further columns whose names the stages use themselves."""
     import corpus_pipeline
 
     docs = edge.select("doc_id", "text", "lang", "source", "n_chars")
-    for df in (docs, docs.limit(0)):
+    clashing = edge
+    for name in ("_key", "_row", "_language", "_score"):
+        clashing = clashing.withColumn(name, F.lit("clash"))
+    kept = {}
+    for label, df in (("plain", docs), ("clash", clashing), ("empty", docs.limit(0))):
+        columns = df.columns
         for name, stage in corpus_pipeline.STAGES:
-            out = materialise(stage(spark, df, sf_dir), name)
-            assert name == "packing" or out.columns == docs.columns
-            df = out
+            df = materialise(stage(spark, df, sf_dir), name)
+            ids = [r.doc_id or 0 for r in df.select("doc_id").collect()]
+            kept[label, name] = sorted(set(ids) if name == "packing" else ids)  # how a text is cut goes by the task it is in
+            if name != "packing":
+                assert df.columns == columns
+                assert label != "clash" or all(set(r) == {"clash"} for r in df.select(columns[5:]).collect())
+    for name, _ in corpus_pipeline.STAGES:
+        assert kept["clash", name] == kept["plain", name] and not kept["empty", name]
+    assert kept["plain", "secrets"] == [0, 5, 7, 8, 9, 10]
 
 
 def test_queries_are_registered():

@@ -40,6 +40,20 @@ def test_pieces_equal_the_library():
     assert [g.tolist() for g in encoder.encode_batch([None, ""])] == [[], []]
 
 
+def test_known_words_are_bounded_by_bytes():
+    """Paragraphs without spaces, all different, among short words: ids stay right and little is held."""
+    rng = random.Random(4)
+    long = ["".join(rng.choice("abcdeé.") for _ in range(3000)) + "ä" for _ in range(60)]
+    sample = [f"{w} w{k} {w[:100]} ok" for k, w in enumerate(long)] * 2
+    encoder, tokenizer = PieceEncoder(BYTE, cache_bytes=20_000), library(BYTE)
+    want = [e.ids for e in tokenizer.encode_batch(sample, add_special_tokens=False)]
+    for k in range(0, len(sample), 4):
+        assert [g.tolist() for g in encoder.encode_batch(sample[k : k + 4])] == want[k : k + 4]
+        # what was held before, and one batch
+        assert encoder.known.nbytes <= 20_000 + sum(len(t.encode()) + 100 for t in sample[k : k + 4]) and encoder.ids.nbytes <= 4 * encoder.known.nbytes
+    assert all(len(x) <= 65 for x in [*encoder.stems, *encoder.marks])
+
+
 def test_backtracking_equals_the_library():
     codec, tokenizer, rng = WordBpe(WORDS, cache_size=50), library(WORDS), random.Random(2)
     sample = texts(3000, 3) + ["".join(rng.choice("abetionshr") for _ in range(rng.randint(1, 24))) for _ in range(3000)]
