@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,22 @@ def test_shingle_sizes_and_estimates():
     assert abs((a == b).mean() - 356 / 436) < 0.12
 
 
+@pytest.mark.parametrize("size, pairs", [(7, 40_000), (70, 18_000), (700, 4000)])
+def test_pairs_at_the_threshold_meet(size, pairs):
+    """Pairs of sets at a similarity of exactly 0.75: all share a band, and no estimate falls below the slack."""
+    s, rng = Shingler(), np.random.default_rng(size)
+    own = size // 7
+    shared, bands, least = size - own, 0, 128
+    for at in range(0, pairs, 2000):
+        x = rng.integers(0, 1 << 63, (2000, shared + 2 * own), dtype=np.uint64) << np.uint64(1)
+        a = s.signatures(list(x[:, : shared + own]))
+        b = s.signatures(list(np.concatenate([x[:, :shared], x[:, shared + own :]], axis=1)))
+        bands += int((s.band_keys(a) == s.band_keys(b)).any(1).sum())
+        least = min(least, int((a == b).sum(1).min()))
+    slack = 5.2 * np.sqrt(128 * 0.75 * 0.25)
+    assert bands == pairs and least >= np.floor(128 * 0.75 - slack)
+
+
 def test_hot_lead_and_repeated_rows(spark):
     """Hundreds of near copies of one text, in chunks of a few; rows that repeat; ids with several texts."""
     rng, rows = random.Random(8), []
