@@ -88,3 +88,12 @@ def test_long_sequences_are_several_units(spark, trained, monkeypatch):
     monkeypatch.setattr(grid, "ROWS", 20)
     monkeypatch.setattr(grid, "blocks", lambda df, id_, per_id=0: 2)
     assert rows(False) == pytest.approx(whole[0], nan_ok=True) and rows(True) == pytest.approx(whole[1], nan_ok=True)
+
+
+def test_rows_are_carried_to_few_cells(spark):
+    """Each row goes to as many cells as the other side has blocks; tiles, not blocks, bound what is dense at once."""
+    from contextvine.operators import grid
+
+    ids = spark.range(40_000).selectExpr("cast(id as string) AS model_id")
+    assert 4 <= grid.blocks(ids, "model_id") <= 6
+    assert grid.blocks(ids, "model_id", per_id=250) == pytest.approx(10, abs=1)  # ROWS bounds a block too
