@@ -247,3 +247,8 @@ def test_blocks_do_not_matter(spark, monkeypatch, name):
     cut = {(r.left_id, r.right_id): r.value for r in distances.distance(name, models, few).collect()}
     assert len(whole) == 11 * 8 and cut.keys() == whole.keys() and cut == pytest.approx(whole, abs=1e-6, nan_ok=True)
     assert {(r.seq_id, r.model_id): r.nll for r in scoring.nll(seqs, few).collect()} == pytest.approx(scores)
+
+
+def test_a_probability_that_is_the_root_of_its_background_scores_nothing(spark):
+    row = spark.createDataFrame([(2 / 5, 4 / 25)], "p double, b double")
+    assert row.select(scoring.SCORES["background"][0](F.col("p"), F.col("b"))).head(1)[0][0] == 0.0
