@@ -97,3 +97,16 @@ def test_rows_are_carried_to_few_cells(spark):
     ids = spark.range(40_000).selectExpr("cast(id as string) AS model_id")
     assert 4 <= grid.blocks(ids, "model_id") <= 6
     assert grid.blocks(ids, "model_id", per_id=250) == pytest.approx(10, abs=1)  # ROWS bounds a block too
+
+
+def test_context_sets_meet_in_blocks(spark, monkeypatch):
+    """Counts of the union and shared contexts by blocks, against the union itself; no pair is shuffled."""
+    from contextvine.operators import grid, vectors
+
+    left = spark.createDataFrame([("a", ""), ("a", "A"), ("a", "CA"), ("b", ""), ("c", "T")], "model_id string, context string")
+    right = spark.createDataFrame([("x", ""), ("x", "CA"), ("y", "G"), ("y", "T")], "model_id string, context string")
+    monkeypatch.setattr(grid, "IDS", 1)
+    union = vectors.context_union(left, right).groupBy("left_id", "right_id").agg(F.sum((F.col("in_left") & F.col("in_right")).cast("long")), F.sum((~F.col("in_right")).cast("long")), F.sum((~F.col("in_left")).cast("long")))
+    sizes = vectors.union_sizes(left, right)
+    assert {tuple(r) for r in sizes.collect()} == {tuple(r) for r in union.collect()} and sizes.count() == 6
+    assert {tuple(r) for r in vectors.shared_contexts(left, right).collect()} == {("a", "x", ""), ("a", "x", "CA"), ("a", "y", ""), ("b", "x", ""), ("b", "y", ""), ("c", "x", ""), ("c", "y", "T")}
