@@ -252,3 +252,19 @@ def test_blocks_do_not_matter(spark, monkeypatch, name):
 def test_a_probability_that_is_the_root_of_its_background_scores_nothing(spark):
     row = spark.createDataFrame([(2 / 5, 4 / 25)], "p double, b double")
     assert row.select(scoring.SCORES["background"][0](F.col("p"), F.col("b"))).head(1)[0][0] == 0.0
+
+
+def test_both_directions_meet_in_one_cell(spark, monkeypatch):
+    """The distance of samples, given and drawn, by blocks and against single scores; one grid, no join of two tables of pairs."""
+    from contextvine.operators import grid, sampling
+
+    seqs, models = several(spark)
+    monkeypatch.setattr(grid, "IDS", 3)
+    few = models.where("model_id < '2'")
+    score = {(r.seq_id, r.model_id): r.nll for r in scoring.nll(seqs, models).collect()}
+    found = sampling.nll_distance(few, models, left_samples=seqs, right_samples=seqs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    rows = {(r.left_id, r.right_id): r.value for r in found.collect()}
+    ids = {r.model_id for r in few.collect()}, {r.model_id for r in models.collect()}
+    assert rows.keys() == {(a, b) for a in ids[0] for b in ids[1] if {(a, b), (b, a)} <= score.keys()}
+    assert rows == pytest.approx({(a, b): (score[a, b] + score[b, a]) / 2 for a, b in rows}, nan_ok=True)
