@@ -89,15 +89,17 @@ class Walker:
         """Sum of scores and number of those not 0 for each model and lane; symbols are rows, the first ``lead`` only set the state."""
         n = lanes.shape[1]
         ll, times = np.zeros((len(self.ids), n)), np.zeros((len(self.ids), n), dtype=np.int64)
-        some = max(1, CELLS // max(1, n))
+        some, width = max(1, CELLS // max(1, n)), self.after.shape[1]
+        after, scores = (self.after * width).ravel(), self.scores.ravel()
         for at in range(0, len(self.ids), some):
-            state = np.repeat(self.start[at : at + some, None], n, axis=1)
+            state = np.repeat(width * self.start[at : at + some, None], n, axis=1)
             for t, symbols in enumerate(lanes):
+                step = state + symbols
                 if t >= lead:
-                    s = self.scores[state, symbols]
+                    s = scores.take(step)
                     ll[at : at + some] += s
                     times[at : at + some] += s != 0
-                state = self.after[state, symbols]
+                state = after.take(step)
         return ll, times
 
 
@@ -140,7 +142,7 @@ def walk_scores(seqs: DataFrame, models: DataFrame, own: bool = False, score: st
     strands = [seqs.select("seq_id", "seq", F.lit(0).alias("strand"))]
     if both_strands:
         strands.append(seqs.select("seq_id", reverse_complement(F.col("seq")).alias("seq"), F.lit(1).alias("strand")))
-    cut = None
+    cut, n_strands = None, len(strands)
     for k, strand in enumerate(strands):
         part = pieces(strand, 0, UNIT, before=order).withColumn("strand", F.lit(k))
         cut = part if cut is None else cut.unionByName(part)
@@ -151,13 +153,8 @@ def walk_scores(seqs: DataFrame, models: DataFrame, own: bool = False, score: st
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         walker = Walker(b)
-        symbols, row = _lanes(a, order, LANE)
-        ll, times = walker.walk(symbols, order)
-        m, n = len(walker.ids), a.num_rows
-        sums, counts = np.zeros((m, n)), np.zeros((m, n), dtype=np.int64)
-        if len(row):
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            sums[:, row[starts]], counts[:, row[starts]] = np.add.reduceat(ll, starts, axis=1), np.add.reduceat(times, starts, axis=1)
+        sums, counts = walked(walker, *_lanes(a, order, LANE), a.num_rows)
+        m, n = sums.shape
         model, piece = np.divmod(np.arange(m * n), max(1, n))
         piece = pa.array(piece)
         return pa.table({
@@ -165,6 +162,41 @@ def walk_scores(seqs: DataFrame, models: DataFrame, own: bool = False, score: st
             "ll": sums.ravel(), "n_scored": counts.ravel(), "length": a["length"].combine_chunks().take(piece),
         })
 
+    def walked(walker: Walker, symbols: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and counts for each model and row of the pieces."""
+        ll, times = walker.walk(symbols, order)
+        m = len(walker.ids)
+        sums, counts = np.zeros((m, n)), np.zeros((m, n), dtype=np.int64)
+        if len(row):
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            sums[:, row[starts]], counts[:, row[starts]] = np.add.reduceat(ll, starts, axis=1), np.add.reduceat(times, starts, axis=1)
+        return sums, counts
+
+    def ready(table: pa.Table) -> Walker | tuple:
+        if "piece" not in table.column_names:
+            return Walker(table)
+        coded = table["seq_id"].combine_chunks().dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        held = table["length"].combine_chunks()
+        head = np.flatnonzero(held.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(coded.dictionary), -1)
+        at[place[head]] = head
+        return coded.dictionary, place, table["strand"].to_numpy(), held.take(pa.array(at, mask=at < 0)), _lanes(table, order, LANE), table.num_rows
+
+    def meet(one: tuple, walker: Walker) -> pa.Table:
+        """A row per sequence and model with the sums of the sequence's pieces that are here."""
+        ids, place, strand, lengths, lanes, n = one
+        sums, counts = walked(walker, *lanes, n)
+        seq, model = np.divmod(np.arange(len(ids) * len(walker.ids)), max(1, len(walker.ids)))
+        out = {"seq_id": ids.take(pa.array(seq)), "model_id": walker.ids.take(pa.array(model)), "length": lengths.take(pa.array(seq))}
+        for k in range(n_strands):
+            total, times = np.zeros((len(ids), len(walker.ids))), np.zeros((len(ids), len(walker.ids)), dtype=np.int64)
+            rows = np.flatnonzero(strand == k)
+            np.add.at(total, place[rows], sums.T[rows])
+            np.add.at(times, place[rows], counts.T[rows])
+            out |= {f"ll_{k}": total.ravel(), f"n_{k}": times.ravel()}
+        return pa.table(out)
+
     if own:
         # a unit of a sequence and its model; the model goes to each unit
         units = left.withColumn("unit", F.floor(F.col("first") / UNIT)).withColumn("model_id", F.col("seq_id"))
@@ -173,8 +205,15 @@ def walk_scores(seqs: DataFrame, models: DataFrame, own: bool = False, score: st
         found = units.groupBy("model_id", "unit").cogroup(right.groupBy("model_id", "unit")).applyInArrow(lambda a, b: run(a, b) if a.num_rows and b.num_rows else grid.empty(schema), schema)
     else:
         size = F.greatest(F.ceil(F.length("seq") / UNIT), F.lit(1))
-        units = seqs.agg(F.coalesce(F.sum(size), F.lit(0))).head(1)[0][0] * len(strands)
-        found = grid.on_grid(left.withColumn("unit", F.floor(F.col("first") / UNIT)), rows, ["seq_id", "unit", "strand"], "model_id", run, schema, max(1, -(-units // grid.IDS)), grid.blocks(rows, "model_id"))
+        units, most, symbols = seqs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).head(1)[0]
+        n_left = max(grid.n_blocks(seqs.sparkSession, units, 2 * units * n_strands), -(-symbols * n_strands // (grid.IDS * UNIT)))
+        wide = f"seq_id {kind[0]}, model_id {kind[1]}, length long, " + ", ".join(f"ll_{k} double, n_{k} long" for k in range(n_strands))
+        cells = grid.on_grid(left.withColumn("unit", F.floor(F.col("first") / UNIT)), rows, ["seq_id", "unit"], "model_id", meet, wide, n_left, grid.blocks(rows, "model_id"), lambda _: ready)
+        if most > 1:  # only long sequences have sums in several cells
+            cells = cells.groupBy("seq_id", "model_id").agg(F.max("length").alias("length"), *(F.sum(f"{c}_{k}").alias(f"{c}_{k}") for k in range(n_strands) for c in ("ll", "n")))
+        values = [F.try_divide(-F.col(f"ll_{k}"), F.col(f"n_{k}")) for k in range(n_strands)]
+        nll = F.least(*values) if both_strands else values[0]
+        return cells.select("seq_id", "model_id", F.col("ll_0").alias("ll"), F.col("n_0").alias("n_scored"), "length", F.coalesce(nll, F.lit(float("nan"))).alias("nll"))
     sums = found.groupBy("seq_id", "model_id", "strand").agg(F.sum("ll").alias("ll"), F.sum("n_scored").alias("n_scored"), F.max("length").alias("length"))
     value = F.try_divide(-F.col("ll"), F.col("n_scored"))
     forward = lambda c: F.max(F.when(F.col("strand") == 0, F.col(c))).alias(c)

@@ -74,3 +74,16 @@ def test_loaded_models_and_nothing(spark, trained):
     same(A.walk_scores(seqs.withColumn("strand", F.lit("x")), few, False), scoring.nll(seqs, few, False))
     assert A.automaton(models.limit(0)).collect() == []
     assert A.walk_scores(seqs, models.limit(0)).collect() == [] and A.walk_scores(seqs.limit(0), models).collect() == []
+
+
+def test_short_sequences_need_no_sum_of_pairs(spark, monkeypatch):
+    """No table of pairs is shuffled where each sequence is one unit; blocks and strands don't matter."""
+    from .test_scoring import several
+
+    seqs, models = several(spark)
+    monkeypatch.setattr(grid, "IDS", 3)
+    found = A.walk_scores(seqs, models, both_strands=True)
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    want = {(r.seq_id, r.model_id): r.nll for r in scoring.nll(seqs, models, both_strands=True).collect()}
+    assert len(want) == 121 and {(r.seq_id, r.model_id): r.nll for r in found.collect()} == pytest.approx(want)
+    assert {r.length for r in found.collect()} == {60}
