@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.symbols import normalise
+from .records import normalised
 
 RANGE = 32 << 20  # bytes of a file for one task
 _MOST = 1 << 16  # bytes of a block
@@ -120,6 +120,7 @@ def _lines(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths, self.range = options["path"].split("\n"), int(options.get("range", RANGE))
+        self.normal = options.get("normal", "false") == "true"
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -156,10 +157,10 @@ class RangeReader(DataSourceReader):
             for offset, seq_id, seq in _records(_lines(parts), start, end if kind != "whole" else length + 1, first == 0, fastq):
                 rows.append((path, offset, seq_id, seq))
                 if len(rows) >= 1000:
-                    yield _batch(rows)
+                    yield _batch(rows, self.normal)
                     rows = []
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, self.normal)
 
 
 def _cut(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
@@ -176,9 +177,9 @@ def _cut(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         yield at, held
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], normal: bool) -> pa.RecordBatch:
     columns = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], names=["path", "offset", "seq_id", "seq"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), normalised(columns[3]) if normal else pa.array(columns[3], pa.string())], names=["path", "offset", "seq_id", "seq"])
 
 
 def _records(lines: Iterator[tuple[int, bytes]], start: int, end: int, whole_line: bool, fastq: bool) -> Iterator[tuple[int, str, str]]:
@@ -221,7 +222,7 @@ def _records(lines: Iterator[tuple[int, bytes]], start: int, end: int, whole_lin
 
 
 class RecordSource(DataSource):
-    """``spark.read.format("sequence_records").load(path)``."""
+    """``spark.read.format("sequence_records").load(path)``; with the option ``normal`` the sequences are normalised where they are read."""
 
     @classmethod
     def name(cls) -> str:
@@ -242,8 +243,8 @@ def read_records(spark: SparkSession, path: str | list[str], range_bytes: int =
     """
     spark.dataSource.register(RecordSource)
     paths = [path] if isinstance(path, str) else path
-    rows = spark.read.format("sequence_records").option("range", str(range_bytes)).load("\n".join(paths))
-    return rows.select("path", F.col("offset").alias("ord"), "seq_id", normalise(F.col("seq")).alias("seq"))
+    rows = spark.read.format("sequence_records").option("range", str(range_bytes)).option("normal", "true").load("\n".join(paths))
+    return rows.select("path", F.col("offset").alias("ord"), "seq_id", "seq")
 
 
 def write_block_fasta(seqs: DataFrame, path: str) -> None:

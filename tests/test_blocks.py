@@ -54,3 +54,17 @@ def test_written_folder_and_nothing(spark, tmp_path):
     assert blocks.read_block_fasta(spark, str(tmp_path / "none")).collect() == []
     (tmp_path / "empty.fa").write_text("")
     assert blocks.read_records(spark, str(tmp_path / "empty.fa")).collect() == []
+
+
+def test_sequences_are_normalised_where_they_are_read(spark, tmp_path):
+    """As the expression does, whose patterns cost more than reading."""
+    from pyspark.sql import functions as F
+
+    from contextvine.functions.symbols import normalise
+
+    seqs = ["acgtuACGTU-nN*", "straußeﬅſ", "A\U0001f600C日é", "", "x" * 3000]
+    (tmp_path / "a.fa").write_text("".join(f">{k}\n{s}\n" for k, s in enumerate(seqs)))
+    read = blocks.read_records(spark, str(tmp_path / "a.fa"), 100)
+    want = spark.createDataFrame([(str(k), s) for k, s in enumerate(seqs)], "seq_id string, seq string").select("seq_id", normalise(F.col("seq")).alias("seq"))
+    assert records(read) == records(want)
+    assert "regexp_replace" not in read._jdf.queryExecution().optimizedPlan().toString()
