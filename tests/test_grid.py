@@ -1,4 +1,6 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from contextvine.operators import distances, grid, sampling
 
@@ -36,3 +38,32 @@ def test_models_without_a_root_expect_no_word(spark):
     models = models.where("model_id <> '0\\t3' or context <> ''")
     found = distances.distance("jaccard-prob", models, length=3, n=50).where("left_id = '0\\t3' or right_id = '0\\t3'").collect()
     assert len(found) == 21 and all(r.value is None for r in found)
+
+
+@pytest.mark.parametrize("name", ["correlation", "dv"])
+def test_every_cell_is_a_task(spark, monkeypatch, name):
+    """Rows are dealt once, cells of few rows are not put together; more cells than tasks are told apart."""
+    _, models = several(spark)
+    whole = sorted((r.left_id, r.right_id, r.value) for r in distances.distance(name, models).collect())
+    monkeypatch.setattr(grid, "IDS", 2)
+    found = distances.distance(name, models)
+    n = grid.blocks(models, "model_id", mirrored=name == "dv")
+    parts = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().count()
+    assert n > 2 and parts > n  # by hash of their numbers and size they were one task or two
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cell" not in plan
+    near = lambda rows: [(a, b, None if v is None else pytest.approx(v, abs=1e-7)) for a, b, v in rows]
+    assert sorted((r.left_id, r.right_id, r.value) for r in found.collect()) == near(whole)
+    table = pa.table({"cell": pa.array([3, 3, 1, 1, 1, 5], pa.int64()), "l": list(range(6))})
+    for size in (1, 2, 6):
+        assert [t["l"].to_pylist() for t in grid._cells(iter(table.to_batches(size)))] == [[0, 1], [2, 3, 4], [5]]
+
+
+def test_equal_models_are_neighbours():
+    """Whatever their ids and the order of their rows, so that equal values of pairs follow each other in files."""
+    rows = [(f"m{k}", c, v) for k in range(12) for c, v in [("", 0.1 + k % 3), ("A", 0.5), ("T", None)][:: 1 if k % 2 else -1]]
+    side = pa.array([{"model_id": m, "context": c, "v": v} for m, c, v in rows], pa.struct({"model_id": pa.string(), "context": pa.string(), "v": pa.float64()}))
+    (tile,) = grid._tiles(side, "model_id", ["context", "v"])
+    ids = list(dict.fromkeys(tile["model_id"].to_pylist()))
+    kinds = [int(m[1:]) % 3 for m in ids]
+    assert len(ids) == 12 and tile.num_rows == 36 and sum(a != b for a, b in zip(kinds, kinds[1:])) == 2
