@@ -67,3 +67,49 @@ def test_equal_models_are_neighbours():
     ids = list(dict.fromkeys(tile["model_id"].to_pylist()))
     kinds = [int(m[1:]) % 3 for m in ids]
     assert len(ids) == 12 and tile.num_rows == 36 and sum(a != b for a, b in zip(kinds, kinds[1:])) == 2
+
+
+@pytest.mark.parametrize("name, options", [("canberra", {}), ("correlation", {}), ("jensenshannon", {}), ("nearest-dvstar", {"symmetric": True}), ("penalized-dvstar", {"symmetric": True}), ("nll", {"order": 40}), ("d2", {})])
+def test_two_tiles_meet_once(spark, monkeypatch, name, options):
+    """Symmetric distances compute a pair once, in a block with itself too, and give all of both directions."""
+    _, models = several(spark)
+    monkeypatch.setattr(grid, "IDS", 2)
+    rows = lambda right: sorted((r.left_id, r.right_id, -1.0 if r.value is None else round(r.value, 6)) for r in distances.distance(name, models, right, **options).collect())
+    two = rows(models.select("*"))
+    made, on_grid = [], grid.on_grid
+
+    def seen(left, right, left_id, right_id, run, schema, n_left, n_right, *a, **k):
+        made.append((n_left, k.get("mirrored") or (len(a) > 2 and a[2])))
+        return on_grid(left, right, left_id, right_id, run, schema, 1, 1, *a, **k)
+
+    once = rows(None)
+    monkeypatch.setattr(grid, "on_grid", seen)
+    block = rows(None)
+    assert len(once) == 11 * 11 and once == two and block == two and made[0][1]
+
+
+def test_values_of_six_places_are_numbers_of_a_dictionary(spark, tmp_path):
+    """A value of a pair takes far fewer than its eight bytes on disk, though thousands of values differ."""
+    import pyarrow.parquet as pq
+
+    p = [F.rand(k) for k in range(8)]
+    rows = spark.range(520).select(F.col("id").cast("string").alias("model_id"), F.explode(F.array(F.lit(""), F.lit("A"))).alias("context"))
+    rows = rows.select("*", *(F.round(p[k], 3).alias(f"p_{x}") for k, x in enumerate("acgt"))).localCheckpoint()
+    found = distances.distance("correlation", rows).select("left_id", "right_id", F.round("value", 5).alias("value"))
+    found.coalesce(1).write.parquet(path := str(tmp_path / "pairs"))
+    meta = pq.read_table(path).num_rows, [pq.ParquetFile(f).metadata.row_group(0).column(2) for f in tmp_path.glob("pairs/*.parquet")]
+    assert meta[0] == 520 * 520
+    for column in meta[1]:
+        assert "PLAIN" not in column.encodings and column.total_compressed_size < 5 * column.num_values
+
+
+def test_named_sizes_of_files_stay(spark):
+    from contextvine.session import BY_NUMBER, values_by_number
+
+    name, kept = "parquet.page.size", spark.conf.get("parquet.page.size", None)
+    try:
+        spark.conf.set(name, "4194304")
+        values_by_number(spark)
+        assert spark.conf.get(name) == "4194304" and spark.conf.get("parquet.dictionary.page.size") == str(BY_NUMBER["parquet.dictionary.page.size"])
+    finally:
+        spark.conf.set(name, kept) if kept else spark.conf.unset(name)
