@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,29 @@ def test_named_sizes_of_files_stay(spark):
         assert spark.conf.get(name) == "4194304" and spark.conf.get("parquet.dictionary.page.size") == str(BY_NUMBER["parquet.dictionary.page.size"])
     finally:
         spark.conf.set(name, kept) if kept else spark.conf.unset(name)
+
+
+def test_unlikely_beginnings_end_words(spark, monkeypatch):
+    """Few of the long words are scored whole, and the distance is that of scoring all; a cell is a task here too."""
+    from contextvine.operators import scoring
+
+    _, models = several(spark)
+    words = sampling.random_sequences(spark, 400, 9)
+    words = words.unionByName(words.limit(3).withColumn("seq", F.lit("AANAC"))).unionByName(spark.createDataFrame([("none", None)], "seq_id string, seq string"))
+    found = sampling.jaccard(models, models, 9, least_expected=0.005, words=words)
+    assert "hashpartitioning(cell" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: {(r.left_id, r.right_id): r.value for r in df.collect()}
+    cut = rows(found)
+    texts = [(r.seq_id, r.seq) for r in words.collect()]
+    every = scoring.Words([i for i, _ in texts], [t for _, t in texts], 3)
+    side = scoring.WordScores(scoring.log_scores(models).select("model_id", "context", *scoring.S, "count").toArrow(), every)
+    least = np.log(0.005) - np.log(side.root)
+    whole = np.concatenate([ll for _, ll in side.parts()], 1)
+    likely = np.flatnonzero((whole >= least[:, None]).any(0))
+    some = side.possible(least)
+    assert len(likely) and set(likely) <= set(some) and len(some) < every.n / 2
+    assert np.concatenate([ll for _, ll in side.parts(every.only(some))], 1) == pytest.approx(whole[:, some])
+    monkeypatch.setattr(scoring.WordScores, "possible", lambda self, least: np.arange(self.words.n))
+    uncut = rows(sampling.jaccard(models, models, 9, least_expected=0.005, words=words))
+    assert len(cut) == 121 and cut == pytest.approx(uncut, nan_ok=True)
+    assert any(v for v in cut.values())
