@@ -206,6 +206,7 @@ def walk_scores(seqs: DataFrame, models: DataFrame, own: bool = False, score: st
     else:
         size = F.greatest(F.ceil(F.length("seq") / UNIT), F.lit(1))
         units, most, symbols = seqs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).head(1)[0]
+        rows = stored(rows, "automata")  # counted and then dealt
         n_left = max(grid.n_blocks(seqs.sparkSession, units, 2 * units * n_strands), -(-symbols * n_strands // (grid.IDS * UNIT)))
         wide = f"seq_id {kind[0]}, model_id {kind[1]}, length long, " + ", ".join(f"ll_{k} double, n_{k} long" for k in range(n_strands))
         cells = grid.on_grid(left.withColumn("unit", F.floor(F.col("first") / UNIT)), rows, ["seq_id", "unit"], "model_id", meet, wide, n_left, grid.blocks(rows, "model_id"), lambda _: ready)
