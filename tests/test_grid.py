@@ -140,3 +140,14 @@ def test_unlikely_beginnings_end_words(spark, monkeypatch):
     uncut = rows(sampling.jaccard(models, models, 9, least_expected=0.005, words=words))
     assert len(cut) == 121 and cut == pytest.approx(uncut, nan_ok=True)
     assert any(v for v in cut.values())
+
+
+def test_stored_distances_are_those_returned(spark, sf_dir, monkeypatch):
+    """Values are written to six places, so their files need no more than what the query returns."""
+    from contextvine.plans import queries
+
+    written, write = [], queries.sinks.write_distances
+    monkeypatch.setattr(queries.sinks, "write_distances", lambda df, *a, **k: written.append(df) or write(df, *a, **k))
+    back = queries.QUERIES["distances_stored"](spark, sf_dir)
+    assert written[0].where(F.abs(F.col("value") * 1e6 - F.round(F.col("value") * 1e6)) > 1e-7).count() == 0
+    assert back.count() == written[0].count() > 0
